@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import dac, decontaminate, line_dedup, packing, quality, simhash, token_counts, toxicity
+from tessera.llm import ann, dac, decontaminate, language_model, line_dedup, packing, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
+        ann.op1_ann,
         decontaminate.op2_decontaminate,
         simhash.op3_simhash,
         quality.op4_quality,
+        language_model.op5_language_model,
         line_dedup.op6_line_dedup,
         token_counts.op7_token_counts,
         packing.op8_packing,

@@ -119,7 +119,7 @@ class Trie:
         lo, hi = self.pointers.get(c), self.pointers.get(c + 1)
         goal = r + c * max(1, self.vocabulary.n)
         at = self.raised.successor(goal, lo, hi)
-        return float(self.codes[at]) * FLOOR / 255 if at < hi and self.raised.get(at) == goal else None
+        return float(self.codes[at]) * (FLOOR / 255) if at < hi and self.raised.get(at) == goal else None
 
     def find_many(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The same for many pairs, each level read once; NaN where a pair is not held."""

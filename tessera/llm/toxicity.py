@@ -46,19 +46,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train, per_
     return [(t, y) for _, t, y in got], counts.get(1, 0) / n if n else 0.0
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
-    """Newton's method; the last coefficient is the intercept."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-1, steps: int = 60) -> np.ndarray:
+    """Newton's method with halved steps where the loss would grow; the last coefficient is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    b = np.zeros(x.shape[1])
-    penalty = np.full(len(b), ridge)
+    penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
+
+    def loss(b):
+        z = x @ b
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (penalty * b * b).sum()
+
+    b = np.zeros(x.shape[1])
+    now = loss(b)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         g = x.T @ (weight * (p - y)) + penalty * b
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
         step = np.linalg.solve(h, g)
-        b -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        while (new := loss(b - step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        b, gained, now = b - step, now - new, new
+        if gained < 1e-9:
             break
     return b
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import store
 from tessera.llm.tokens import coder, default_path
+from tessera.llm.words import slices
 
 MAGIC = b"DAC1"
 #: Bits of each level's chunk; a value that does not end at a level goes on at the next.
@@ -125,9 +126,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int
             body = encode(np.frombuffer(b"".join(raw), dtype="<u4"), keys, lengths)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([int(lengths.sum())], pa.int64()), pa.array([body], pa.binary())], names=["shard", "before", "n_ids", "image"])
 
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = c.ids(text.as_py() or "") + end
+        for batch in slices(batches):
+            for key, ids in zip(batch.column(0).to_pylist(), c.ids_many([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids += end
                 keys.append(key)
                 raw.append(ids)
                 held += len(ids) >> 2

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.tokens import coder, default_path
+from tessera.llm.words import slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 #: Ids held by one task while it packs.
@@ -145,9 +146,9 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, max_tokens: i
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=names)
 
         def full():
-            for batch in batches:
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = memoryview(c.ids(text.as_py() or "") + end)
+            for batch in slices(batches):
+                for key, raw in zip(batch.column(0).to_pylist(), c.ids_many([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                    ids = memoryview(raw + end)
                     yield from packer.add(key, ids, len(ids) >> 2)
                     if packer.held > POOL_IDS:
                         yield from packer.drain(last=False)

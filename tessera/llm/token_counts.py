@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import store
 from tessera.llm.tokens import coder, default_path, version_digest
+from tessera.llm.words import slices
 
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
 
@@ -40,9 +41,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, limit
         import pyarrow as pa
 
         c = coder(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([version] * batch.num_rows, pa.string()), pa.array([c.count(t) for t in batch.column(1).to_pylist()], pa.int64())],
+                [batch.column(0), pa.array([version] * batch.num_rows, pa.string()), pa.array([len(x) >> 2 for x in c.ids_many(batch.column(1).to_pylist())], pa.int64())],
                 names=["digest", "tokenizer", "n_tokens"],
             )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from functools import lru_cache
@@ -11,8 +12,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces held per generation and worker; the older generation is dropped when the younger is full.
-MEMO_PIECES = 120_000
+#: Pieces from which a worker's memo begins a new generation; the one before the last is dropped then.
+MEMO_PIECES = 200_000
 #: White space beyond single blanks and newlines: such a text is encoded whole.
 _RISKY = re.compile(r"[^\S \n]|[ \n]{2}")
 
@@ -32,29 +33,13 @@ def version_digest(path: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
-class _Memo(dict):
-    """piece -> value, two generations."""
-
-    def __init__(self, make):
-        self.make, self.old = make, {}
-
-    def __missing__(self, piece):
-        value = self.old.get(piece)
-        if value is None:
-            value = self.make(piece)
-        if len(self) >= MEMO_PIECES:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = value
-        return value
-
-
 class Coder:
     """Encodes as the tokenizers library does, without added special tokens.
 
     A byte-level pre-tokenizer never carries a match over a single blank or newline between two visible
     characters, so the pieces there can be encoded apart; a word-level one drops white space altogether.
-    Any other text is encoded whole.
+    Pieces that the memo lacks are encoded by the library in one call for many texts. Any other text is
+    encoded whole.
     """
 
     def __init__(self, path: str):
@@ -63,41 +48,69 @@ class Coder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_padding()
         self.lib.no_truncation()
-        import json
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        added = [t["content"] for t in spec.get("added_tokens", [])]
-        plain = not any(re.search(r"\s", t) for t in added) and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", []))
+        added = spec.get("added_tokens", [])
+        plain = not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added)
         parts = pre.get("pretokenizers", [])
         self.bytes_level = plain and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.drops_space = plain and bool(parts) and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert", False)
-        raw = lambda s: np.array(self.lib.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self.whole = raw
-        self.bare = _Memo(raw)
-        self.spaced = _Memo(lambda s: raw(" " + s))
-        self.newline = raw("\n")
-
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
+        self.newline = self._array(["\n"])[0] if self.bytes_level else None
+        self.bytes_level = self.bytes_level and len(self.newline) == 1
+        self.blank = self._array([" "])[0].tobytes()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _array(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces (without white space but a leading blank) in one call, and cut the ids at the pieces' ends."""
+        if not pieces:
+            return
+        if self.bytes_level:
+            ids = self._array(["\n".join(pieces) + "\n"])[0]
+            ends = np.flatnonzero(ids == self.newline[0])
+            starts = np.concatenate([[0], ends[:-1] + 1])
+        else:
+            e = self.lib.encode(" ".join(pieces), add_special_tokens=False)
+            ids = np.array(e.ids, dtype="<u4")
+            at = np.fromiter((o[0] for o in e.offsets), dtype=np.int64, count=len(ids))
+            size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) + 1
+            cut = np.searchsorted(at, np.concatenate([[0], np.cumsum(size)]))
+            starts, ends = cut[:-1], cut[1:]
+        raw = ids.tobytes()
+        for p, a, b in zip(pieces, (starts * 4).tolist(), (ends * 4).tolist(), strict=True):
+            self.young[p] = raw[a:b]
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """Pieces, where a newline is a piece; None for a text to be encoded whole."""
         if self.drops_space:
-            bare = self.bare
-            return b"".join([bare[p] for p in text.replace("\n", " ").split(" ") if p])
+            return text.replace("\n", " ").split(" ")
         if not self.bytes_level or _RISKY.search(text):
-            return self.whole(text)
-        out, spaced = [], self.spaced
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(self.newline)
-            pieces = line.split(" ")
-            if pieces[0]:
-                out.append(self.bare[pieces[0]])
-            out += [spaced[p] for p in pieces[1:]]
-        return b"".join(out)
-
-    def count(self, text: str) -> int:
-        return len(self.ids(text)) >> 2
+            return None
+        return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if "\x00" not in text else None
+
+    def ids_many(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        if len(self.young) >= MEMO_PIECES:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        cut = [self._pieces(t) for t in texts]
+        young[""] = b""
+        if self.bytes_level:
+            young["\n"], young[" "] = self.newline.tobytes(), self.blank
+        missing = set().union(*[p for p in cut if p is not None]) - young.keys()
+        known = missing & old.keys()
+        for p in known:
+            young[p] = old[p]
+        self._learn(sorted(missing - known))
+        get = young.__getitem__
+        return [self._array([t])[0].tobytes() if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut, strict=True)]
+
+    def ids(self, text: str) -> bytes:
+        return self.ids_many([text])[0]
 
 
 @lru_cache(maxsize=4)

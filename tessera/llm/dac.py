@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import store
 from tessera.llm.tokens import coder, default_path
-from tessera.llm.words import slices
+from tessera.llm.words import map_texts, slices
 
 MAGIC = b"DAC1"
 #: Bits of each level's chunk; a value that does not end at a level goes on at the next.
@@ -139,7 +139,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int
             yield image()
 
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit(""))).mapInArrow(run, IMAGES).write.parquet(path)
+    map_texts(ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit(""))), run, IMAGES).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.words import mix64, shingles, slices, words
+from tessera.llm.words import map_texts, mix64, shingles, slices, words
 
 #: Words of a shingle, and the weighted-shingle similarity from which a window is a leak of its item.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -218,7 +218,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     cols = [batch.column(0).take(rows), *(pa.array([getattr(x, f) for x in found], t) for f, t in (("item_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("bits", pa.int32()), ("similarity", pa.float64())))]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, LEAKS)
+        part = map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, LEAKS)
         out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], LEAKS)
 
@@ -235,7 +235,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[x.row for x in b.leaks(batch.column(at))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_texts(docs, run, docs.schema)
     return docs
 
 

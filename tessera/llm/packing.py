@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.tokens import coder, default_path
-from tessera.llm.words import slices
+from tessera.llm.words import map_texts, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 #: Ids held by one task while it packs.
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, max_tokens: i
 
         yield from rows(full())
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.toxicity import fold
-from tessera.llm.words import buffers, shingles, slices, words
+from tessera.llm.words import buffers, map_texts, shingles, slices, words
 
 #: Labelled rows of each class in the training sample at most, in the order of a hash of their ids.
 SAMPLE = 6000
@@ -182,7 +182,7 @@ def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
             x = statistics(batch.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x[:, k]) for k in range(len(FEATURES)))], names=[*keep, *FEATURES])
 
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join([*fields, *(f"{f} double" for f in FEATURES)]))
+    return map_texts(docs.select(*keep, "text"), run, ", ".join([*fields, *(f"{f} double" for f in FEATURES)]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows, per_class: int = SAMPLE) -> Rules:

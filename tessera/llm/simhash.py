@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import store
 from tessera.llm.components import EDGES, components, forest
-from tessera.llm.words import SPACE, mix64, shingles, slices, words
+from tessera.llm.words import SPACE, map_texts, mix64, shingles, slices, words
 
 #: Fingerprints in one table's bucket up to which they are compared with each other in one task.
 BUCKET = 512
@@ -63,7 +63,7 @@ def xxh_fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFram
             h = np.fromiter((one(raw[a:b], seed) for a, b in zip(at[first].tolist(), (at[last] + length[last]).tolist(), strict=True)), dtype=np.uint64, count=len(of))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(majority(h, bounds).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -162,7 +162,7 @@ def word_prints(docs: DataFrame) -> DataFrame:
             cols = [majority(mix64(s ^ np.uint64(0xA0761D6478BD642F * (k + 1) & (2**64 - 1))), bounds) & low for k in range(PRINTS)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.view(np.int64)) for c in cols)], names=["doc_id", *(f"f{k}" for k in range(PRINTS))])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"f{k} long" for k in range(PRINTS)))
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, " + ", ".join(f"f{k} long" for k in range(PRINTS)))
 
 
 def copies(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import store
 from tessera.llm.tokens import coder, default_path, version_digest
-from tessera.llm.words import slices
+from tessera.llm.words import map_texts, slices
 
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
 
@@ -47,7 +47,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, limit
                 names=["digest", "tokenizer", "n_tokens"],
             )
 
-    fresh.mapInArrow(encode, CACHE_SCHEMA).dropDuplicates(["digest"]).write.mode("append").parquet(cache_path)
+    map_texts(fresh, encode, CACHE_SCHEMA).dropDuplicates(["digest"]).write.mode("append").parquet(cache_path)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
     stored = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     sized = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("digest"))

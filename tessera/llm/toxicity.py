@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.words import LOWER, SPACE, buffers, shingles, slices, words
+from tessera.llm.words import LOWER, SPACE, buffers, map_texts, shingles, slices, words
 
 #: Bytes of a window, and from one window's start to the next.
 WINDOW, STEP = 48, 24
@@ -278,7 +278,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataF
             p = s(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double, predicted int")
 
 
 def reject(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
@@ -290,7 +290,7 @@ def reject(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> Data
         for batch in slices(batches):
             yield batch.filter(pa.array(s(batch.column(at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at once; one longer text is handled alone.
 SLICE_BYTES = 2_000_000
@@ -70,6 +71,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
                 start, held = i, 0
             held += n + 64
         yield batch.slice(start)
+        pa.default_memory_pool().release_unused()
+
+
+#: Rows of an Arrow batch of texts at most.
+BATCH_ROWS = 1000
+
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow over texts in batches of few rows, as one may be very long. This sets the session's Arrow batch size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df.mapInArrow(run, schema)
 
 
 @dataclass

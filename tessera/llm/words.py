@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -58,6 +60,13 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def _release() -> None:
+    """Give freed memory back to the system, which the allocators else keep for the worker's life."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of `column`."""
     for batch in batches:
@@ -71,7 +80,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
                 start, held = i, 0
             held += n + 64
         yield batch.slice(start)
-        pa.default_memory_pool().release_unused()
+        _release()
 
 
 #: Rows of an Arrow batch of texts at most.

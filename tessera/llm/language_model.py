@@ -45,6 +45,15 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint16) if not len(x) or x.max() < 1 << 16 else x.astype(np.uint32)
 
 
+def _planes(x: np.ndarray) -> tuple[str, np.ndarray]:
+    """An array by byte planes, of which the high ones hardly vary and so compress away."""
+    return x.dtype.str, np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T)
+
+
+def _joined(x: tuple[str, np.ndarray]) -> np.ndarray:
+    return np.ascontiguousarray(x[1].T).view(x[0]).ravel()
+
+
 def tokens(docs: DataFrame, learns) -> DataFrame:
     """Batches of documents as ids into the batch's own words: what later steps read instead of texts. `learns`: rows to learn from."""
 
@@ -64,7 +73,12 @@ def tokens(docs: DataFrame, learns) -> DataFrame:
             vocabulary, at = np.unique(out, return_inverse=True)
             learn = np.array(batch.column(2).to_pylist(), dtype=bool)
             seen = np.bincount(at, np.repeat(learn, total), minlength=len(vocabulary)).astype(np.int64)
-            yield _rows([(base + n, -1, _pack((batch.column(0).to_pylist(), learn, total, vocabulary, seen, at.astype(np.uint32))))])
+            # the commonest words first, so that most ids are small
+            order = np.argsort(-np.bincount(at, minlength=len(vocabulary)), kind="stable")
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            vocabulary, seen, at = vocabulary[order], seen[order], place[at]
+            yield _rows([(base + n, -1, _pack((batch.column(0).to_pylist(), learn, total, vocabulary, _small(seen), _planes(_small(at)))))])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learns, F.lit(False)).alias("learn")).mapInArrow(run, BLOBS)
 
@@ -132,6 +146,7 @@ def score(docs: DataFrame, learns, held_out) -> DataFrame:
 
     def bigrams(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, learn, total, vocabulary, _, at = _unpack(left.column("blob")[0].as_py())
+        at = _joined(at)
         b = key[0].as_py()
         c, word = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
         to = _shard(vocabulary, shards)
@@ -162,7 +177,7 @@ def score(docs: DataFrame, learns, held_out) -> DataFrame:
             new = np.ones(len(x), dtype=bool)
             new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
             i = np.flatnonzero(new)
-            rows.append((b, s, _pack((x[i].astype(np.uint32), y[i].astype(np.uint32), p[at[o[i]]].astype(np.float32), before_count[o[i]].astype(np.uint32), _small(np.diff(np.concatenate([i, [len(x)]]))), _small(of[o]), np.packbits(learn), len(total)))))
+            rows.append((b, s, _pack((_planes(x[i].astype(np.uint32)), _planes(y[i].astype(np.uint32)), _planes(p[at[o[i]]].astype(np.float16)), _planes(before_count[o[i]].astype(np.uint32)), _small(np.diff(np.concatenate([i, [len(x)]]))), _small(of[o]), np.packbits(learn), len(total)))))
         return pa.Table.from_batches([_rows(rows)])
 
     def look_up(group: pa.Table) -> pa.Table:
@@ -170,7 +185,7 @@ def score(docs: DataFrame, learns, held_out) -> DataFrame:
         if shard < 0:
             return group
         parts = sorted(zip(group.column(0).to_pylist(), group.column(2).to_pylist(), strict=True))
-        got = [_unpack(x) for _, x in parts]
+        got = [(*map(_joined, x[:4]), *x[4:]) for x in (_unpack(b) for _, b in parts)]
         pairs = np.concatenate([(x[0].astype(np.int64) << 32) | x[1] for x in got])
         seen = []
         for _, _, _, _, many, of, learn, n_docs in got:

@@ -16,7 +16,7 @@ from tessera.llm.toxicity import fold
 from tessera.llm.words import mix64, slices, words
 
 #: Text bytes of a batch, whose words are looked up together.
-BATCH = 4_000_000
+BATCH = 6_000_000
 #: A context's weight of the lower order is its count to this power.
 BACKOFF = 0.85
 END = np.uint64(0x5EED5EED5EED5EED)
@@ -28,7 +28,7 @@ BLOBS = "batch long, shard int, blob binary"
 def _pack(x) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
+    return zstandard.ZstdCompressor(level=4).compress(pickle.dumps(x, protocol=5))
 
 
 def _unpack(b):

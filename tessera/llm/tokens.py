@@ -63,7 +63,7 @@ class Coder:
         self.old: dict[str, bytes] = {}
 
     def _array(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4") for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces (without white space but a leading blank) in one call, and cut the ids at the pieces' ends."""

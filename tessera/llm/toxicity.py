@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,16 +14,22 @@ from tessera.llm.words import LOWER, SPACE, buffers, map_texts, shingles, slices
 
 #: Bytes of a window, and from one window's start to the next.
 WINDOW, STEP = 48, 24
+#: Bytes before each window that both dictionaries hold.
+LEAD = 16
 #: Labelled documents of each class in the training sample at most, in the order of a hash of their ids.
 SAMPLE = 3000
 #: Bytes of each dictionary at most; half is for the words that the two classes share.
 DICTIONARY = 4096
-#: How much commoner in toxic texts a word must be to speak for them.
+#: Bytes, with the blank before it, of the shortest beginning of a word that can speak for a class.
+SHORTEST = 5
+#: How much commoner in toxic texts a beginning must be to speak for them.
 RATIO = 20
-#: Negative logarithm of the chance that a word's texts are toxic so often by luck.
+#: Negative logarithm of the chance that a beginning's texts are toxic so often by luck.
 SURE = 10.0
 #: Gains are clipped to this range, in bytes.
 LEAST, MOST = -8, 12
+#: Log-likelihood ratios beyond which windows are counted.
+STRONG = (0.5, 1.5, 2.5)
 
 
 def fold(col: str, parts: int):
@@ -85,7 +92,7 @@ def _compressor(content: bytes):
 
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     p = zstandard.ZstdCompressionParameters(
-        window_log=12, hash_log=10, chain_log=10, search_log=3, min_match=4, target_length=8, strategy=zstandard.STRATEGY_GREEDY,
+        window_log=12, hash_log=13, chain_log=12, search_log=4, min_match=5, target_length=8, strategy=zstandard.STRATEGY_LAZY2,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     d.precompute_compress(compression_params=p)
@@ -93,10 +100,16 @@ def _compressor(content: bytes):
 
 
 class Gains:
-    """Per window: compressed length with the ordinary dictionary less that with the toxic one."""
+    """Per window: compressed length with the ordinary dictionary less that with the toxic one.
+
+    Each window follows the same `LEAD` bytes of what the dictionaries share. They compress in any case, so no frame is
+    stored raw, where a match that saves a few bytes would not show.
+    """
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.toxic, self.ordinary = _compressor(toxic), _compressor(ordinary)
+        shared = len(os.path.commonprefix([toxic, ordinary]))
+        self.lead = np.frombuffer(toxic[max(0, shared - LEAD) : shared].rjust(LEAD), dtype=np.uint8)
 
     def windows(self, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows (offset, length) of every text, and how many each text has; a short text is one window."""
@@ -111,13 +124,14 @@ class Gains:
         import zstandard
 
         out = np.zeros(len(seg), dtype=np.int32)
-        raw = data.tobytes()
         for i in range(0, len(seg), 20_000):
-            part = seg[i : i + 20_000]
-            lo, hi = int(part[0, 0]), int(part[-1].sum())
-            moved = part.copy()
-            moved[:, 0] -= np.uint64(lo)
-            buf = zstandard.BufferWithSegments(raw[lo:hi], moved.tobytes())
+            part = seg[i : i + 20_000].astype(np.int64)
+            size = part[:, 1]
+            grid = np.empty((len(part), LEAD + WINDOW), dtype=np.uint8)
+            grid[:, :LEAD] = self.lead
+            grid[:, LEAD:] = data[np.minimum(part[:, :1] + np.arange(WINDOW), len(data) - 1)]
+            at = np.stack([np.arange(len(part)) * (LEAD + WINDOW), LEAD + size], 1).astype(np.uint64)
+            buf = zstandard.BufferWithSegments(grid.tobytes(), at.tobytes())
             for sign, c in ((1, self.ordinary), (-1, self.toxic)):
                 out[i : i + len(part)] += sign * np.fromiter(map(len, c.multi_compress_to_buffer(buf, threads=1)), dtype=np.int32, count=len(part))
         return out
@@ -128,7 +142,8 @@ def clipped(gain: np.ndarray) -> np.ndarray:
 
 
 def features(gain: np.ndarray, count: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """Per text, of its windows' log-likelihood ratios: their sum, their mean, the largest; and log(1 + windows)."""
+    """Per text, of its windows' log-likelihood ratios: their sum, their mean, the largest; log(1 + windows); and log(1 +
+    the windows beyond each of `STRONG`)."""
     llr = odds[clipped(gain)]
     text = np.repeat(np.arange(len(count)), count)
     total = np.bincount(text, llr, minlength=len(count))
@@ -136,7 +151,8 @@ def features(gain: np.ndarray, count: np.ndarray, odds: np.ndarray) -> np.ndarra
     has = count > 0
     if has.any():
         most[has] = np.maximum.reduceat(llr, (np.cumsum(count) - count)[has])
-    return np.stack([np.sign(total) * np.log1p(np.abs(total)), total / np.maximum(1, count), most, np.log1p(count)], 1)
+    strong = [np.log1p(np.bincount(text, llr > x, minlength=len(count))) for x in STRONG]
+    return np.stack([np.sign(total) * np.log1p(np.abs(total)), total / np.maximum(1, count), most, np.log1p(count), *strong], 1)
 
 
 def collapsed(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -156,50 +172,95 @@ def collapsed(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def _vocabulary(texts: list[str]) -> dict[bytes, int]:
-    """Words and how many texts hold each."""
+def _words(text: str) -> set[bytes]:
+    """Distinct words of fewer bytes than a window, each with a blank before it."""
+    w = words(pa.array([text]))
+    raw = w.data.tobytes()
+    return {b" " + raw[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True) if b - a < WINDOW}
+
+
+def _starts(word: bytes) -> list[bytes]:
+    """The word and its beginnings that a match can have."""
+    return [word[:n] for n in range(min(SHORTEST, len(word)), len(word) + 1)]
+
+
+def _tally(texts: list[set[bytes]], keep: set[bytes] | None = None) -> dict[bytes, int]:
+    """How many texts hold a word with each beginning, or with each of those in `keep`."""
+    known: dict[bytes, list[bytes]] = {}
+    out: dict[bytes, int] = {}
+    for t in texts:
+        found: set[bytes] = set()
+        for w in t:
+            if w not in known:
+                known[w] = [x for x in _starts(w) if keep is None or x in keep]
+            found.update(known[w])
+        for x in found:
+            out[x] = out.get(x, 0) + 1
+    return out
+
+
+def _by_count(texts: list[set[bytes]]) -> list[bytes]:
+    """Words, those of most texts first."""
     tally: dict[bytes, int] = {}
     for t in texts:
-        w = words(pa.array([t]))
-        raw = w.data.tobytes()
-        for x in {raw[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True) if b - a < WINDOW}:
-            tally[x] = tally.get(x, 0) + 1
-    return tally
+        for w in t:
+            tally[w] = tally.get(w, 0) + 1
+    return sorted(tally, key=lambda w: (-tally[w], w))
 
 
 def _content(ranked: list[bytes], size: int) -> bytes:
-    """Words as dictionary content of at most `size` bytes, the first at the end, where matches are cheapest."""
+    """Words or beginnings as dictionary content of at most `size` bytes, the first at the end, where matches are cheapest."""
     out, held = [], 1
     for w in ranked:
-        if held + len(w) + 1 > size:
+        if held + len(w) > size:
             break
         out.append(w)
-        held += len(w) + 1
-    return b" " + b" ".join(reversed(out)) + b" "
+        held += len(w)
+    return b"".join(reversed(out)) + b" "
+
+
+def _marks(ordinary: list[set[bytes]], toxic: list[set[bytes]]) -> list[bytes]:
+    """Beginnings of words that speak for toxic text, the surest first and none that begins another.
+
+    Those speak whose texts are toxic so often that chance would not do it, by the Chernoff bound `SURE`. A beginning
+    that several words share counts the texts of all of them; of equally sure ones the longest is taken.
+    """
+    q = len(toxic) / max(1, len(toxic) + len(ordinary))
+    least = SURE / max(1e-9, -np.log(max(q, 1e-9)))
+    held = {x: b for x, b in _tally(toxic).items() if b > least}
+    other = _tally(ordinary, set(held))
+    sure = {}
+    for x, b in held.items():
+        n = b + other.get(x, 0)
+        r = b / n
+        if r > q and b * (1 - q) > RATIO * q * (n - b):
+            s = n * (r * np.log(r / q) + (1 - r) * np.log(max(1 - r, 1e-12) / max(1 - q, 1e-12)))
+            if s > SURE:
+                sure[x] = s
+    taken: list[bytes] = []
+    covered: set[bytes] = set()
+    for x in sorted(sure, key=lambda x: (-sure[x], -len(x), x)):
+        mine = _starts(x)
+        if x not in covered and not covered.intersection(mine):
+            taken.append(x)
+            covered.add(x)
+            # neither what begins this one nor what it begins
+            covered.update(y for y in sure if y.startswith(x))
+            covered.update(y for y in mine if y in sure)
+    return taken
 
 
 def dictionaries(sample: list[tuple[str, int]]) -> tuple[bytes, bytes]:
     """Contents of the toxic and of the ordinary dictionary.
 
-    Both begin with the commonest words of ordinary text. The toxic one ends with the words that speak for toxic text:
-    those whose texts are toxic so often that chance would not do it, by the Chernoff bound `SURE`. The ordinary one
-    ends with as many bytes of further ordinary words.
+    Both hold the commonest words of ordinary text, which match alike in either. The toxic one ends with the beginnings
+    of words that speak for toxic text (`_marks`), where the ordinary one has as many zero bytes.
     """
     lone = collapsed(sample)
-    plain, marked = ([t for t, y in lone if y == k] for k in (0, 1))
-    q = len(marked) / max(1, len(lone))
-    ordinary, toxic = _vocabulary(plain), _vocabulary(marked)
-    speak = {}
-    for w, b in toxic.items():
-        n = b + ordinary.get(w, 0)
-        r = b / n
-        sure = n * (r * np.log(r / q) + (1 - r) * np.log(max(1 - r, 1e-12) / max(1 - q, 1e-12))) if r > q else 0.0
-        if sure > SURE and b * (1 - q) > RATIO * q * (n - b):
-            speak[w] = sure
-    own = _content(sorted(speak, key=lambda w: (-speak[w], w)), DICTIONARY // 2)
-    common = sorted(ordinary, key=lambda w: (-ordinary[w], w))
-    base = _content(common, DICTIONARY - DICTIONARY // 2)
-    return base + own, base + _content(common[base.count(b" ") :], len(own)).rjust(len(own))
+    plain, marked = ([_words(t) for t, y in lone if y == k] for k in (0, 1))
+    own = _content(_marks(plain, marked), DICTIONARY // 2)
+    base = _content(_by_count(plain), DICTIONARY - DICTIONARY // 2)
+    return base + own, base + bytes(len(own))
 
 
 def train(sample: list[tuple[str, int]], prevalence: float) -> Model | None:

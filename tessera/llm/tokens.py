@@ -16,6 +16,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 MEMO_PIECES = 100_000
 #: White space beyond single blanks and newlines: such a text is encoded whole.
 _RISKY = re.compile(r"[^\S \n]|[ \n]{2}")
+#: A letter and a stop or comma after it that ends a word: every pre-tokenizer here cuts between the two.
+_STOP = re.compile(r"([A-Za-z])([.,])(?=[ \n])")
 
 
 def default_path(name: str) -> str:
@@ -37,7 +39,8 @@ class Coder:
     """Encodes as the tokenizers library does, without added special tokens.
 
     A byte-level pre-tokenizer never carries a match over a single blank or newline between two visible
-    characters, so the pieces there can be encoded apart; a word-level one drops white space altogether.
+    characters, so the pieces there can be encoded apart; a word-level one drops white space altogether. Both cut
+    between a letter and a stop or comma.
     Pieces that the memo lacks are encoded by the library in one call for many texts. Any other text is
     encoded whole.
     """
@@ -59,20 +62,43 @@ class Coder:
         self.newline = self._array(["\n"])[0] if self.bytes_level else None
         self.bytes_level = self.bytes_level and len(self.newline) == 1
         self.blank = self._array([" "])[0].tobytes()
+        lowers = any(x.get("type") == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", []))
+        #: Added tokens in lower case, where the normalizer lowers and so A-Z may be lowered before; a text that holds one is not.
+        self.folds = [t["content"].lower() for t in added] if lowers and added else []
+        self.mark = None if self.bytes_level or not self.drops_space else self._mark()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _array(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _mark(self) -> tuple[str, int] | None:
+        """A pictograph that is one token, as a mark between pieces: the last of those in the vocabulary."""
+        signs = [chr(x) for x in range(0x1F6FF, 0x1F2FF, -1)]
+        for sign, ids in zip(signs, self._array([f"{x} {x}" for x in signs]), strict=True):
+            if len(ids) == 2 and ids[0] == ids[1] and self._array([f"a {sign} a"])[0].tolist()[1:-1] == [ids[0]]:
+                return sign, int(ids[0])
+        return None
+
+    def _cuts(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of the pieces in one call, with starts and ends; None if one of them holds the mark's id itself."""
+        if self.bytes_level:
+            ids, mark = self._array(["\n".join(pieces) + "\n"])[0], self.newline[0]
+        elif self.mark:
+            word, mark = self.mark
+            ids = self._array([f" {word} ".join(pieces) + f" {word}"])[0]
+        else:
+            return None
+        ends = np.flatnonzero(ids == mark)
+        return (ids, np.concatenate([[0], ends[:-1] + 1]), ends) if len(ends) == len(pieces) else None
+
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces (without white space but a leading blank) in one call, and cut the ids at the pieces' ends."""
         if not pieces:
             return
-        if self.bytes_level:
-            ids = self._array(["\n".join(pieces) + "\n"])[0]
-            ends = np.flatnonzero(ids == self.newline[0])
-            starts = np.concatenate([[0], ends[:-1] + 1])
+        cuts = self._cuts(pieces)
+        if cuts:
+            ids, starts, ends = cuts
         else:
             e = self.lib.encode(" ".join(pieces), add_special_tokens=False)
             ids = np.array(e.ids, dtype="<u4")
@@ -87,10 +113,14 @@ class Coder:
     def _pieces(self, text: str) -> list[str] | None:
         """Pieces, where a newline is a piece; None for a text to be encoded whole."""
         if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        if not self.bytes_level or _RISKY.search(text):
+            text = text.replace("\n", " ")
+            if self.folds:
+                low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+                text = text if any(x in low for x in self.folds) else low
+            return _STOP.sub(r"\1 \2", text).split(" ")
+        if not self.bytes_level or "\x00" in text or _RISKY.search(text):
             return None
-        return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if "\x00" not in text else None
+        return _STOP.sub("\\1\x00\\2", text).replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
 
     def ids_many(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""

@@ -13,7 +13,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces from which a worker's memo begins a new generation; the one before the last is dropped then.
-MEMO_PIECES = 100_000
+MEMO_PIECES = 250_000
 #: White space beyond single blanks and newlines: such a text is encoded whole.
 _RISKY = re.compile(r"[^\S \n]|[ \n]{2}")
 #: A letter and a stop or comma after it that ends a word: every pre-tokenizer here cuts between the two.

@@ -64,7 +64,11 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
     many neighbours is one side of a join that adaptive execution splits. No part of the graph reaches the driver.
     """
     spark = edges.sparkSession
-    now = store.stage(edges.where("a <> b").select("a", "b").mapInArrow(contract, EDGES), name)
+    raw = store.stage(edges.where("a <> b").select("a", "b").mapInArrow(contract, EDGES), name)
+    # a scan reads many small files in one task, so that the forests of many tasks become one before any join
+    now = store.stage(raw.mapInArrow(contract, EDGES), name)
+    if store.staged_path(raw):
+        store.discard(spark, store.staged_path(raw))
     path, before = store.staged_path(now), None
     for _ in range(most):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

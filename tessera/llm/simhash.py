@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import store
-from tessera.llm.components import EDGES, components, forest
+from tessera.llm.components import EDGES, HELD, components, forest
 from tessera.llm.words import SPACE, map_texts, mix64, shingles, slices, words
 
 #: Fingerprints in one table's bucket up to which they are compared with each other in one task.
@@ -165,13 +165,63 @@ def word_prints(docs: DataFrame) -> DataFrame:
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, " + ", ".join(f"f{k} long" for k in range(PRINTS)))
 
 
+#: Rows of a bucket compared with as many others at once.
+TILE = 512
+#: Rows up to which the buckets of a batch are compared together.
+SMALL = 64
+
+
+def runs(batches):
+    """Columns of a table sorted by its first, cut so that equal values of it stay together."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(c) for c in batch.columns]
+        held.append(cols)
+        n += batch.num_rows
+        # a run that goes on is only gathered
+        if cols[0][-1] == held[0][0][0]:
+            continue
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1
+        yield [c[:cut] for c in cols]
+        held = [[c[cut:].copy() for c in cols]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def far(f: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return sum(np.bitwise_count(f[i, k] ^ f[j, k]).astype(np.int16) for k in range(f.shape[1]))
+
+
+def close(key: np.ndarray, f: np.ndarray, most: int):
+    """(i, j), i < j, of all rows of one key that differ in at most `most` bits; `key` is sorted."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(first, len(key)))
+    end = np.repeat(first + size, size)
+    i = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+    d = 1
+    while len(i := i[i + d < end[i]]):
+        near = i[far(f, i, i + d) <= most]
+        yield near, near + d
+        d += 1
+    for lo, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        for a in range(lo, lo + n, TILE):
+            for b in range(a, lo + n, TILE):
+                x, y = np.arange(a, min(a + TILE, lo + n)), np.arange(b, min(b + TILE, lo + n))
+                i, j = np.nonzero(far(f, x[:, None], y[None, :]) <= most)
+                i, j = i + a, j + b
+                yield i[i < j], j[i < j]
+
+
 def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, keeper) of documents that are near copies of another, where keeper, the smallest doc_id of the group, differs.
 
     Two texts are near copies if their fingerprints say a similarity of at least `SIMILARITY`: of all
     `PRINTS` x `BITS` bits they differ in at most the share that sets of that similarity differ in on average. They meet
     in the covering tables of each fingerprint, where every pair within `RADIUS` bits of one fingerprint collides.
-    In a bucket each text is compared with the one before it and with the smallest, so candidates grow as texts do.
+    All pairs of a bucket are compared, whatever it holds.
     Rows without a doc_id take no part; rows that repeat a doc_id are one document.
     """
     names = [f"f{k}" for k in range(PRINTS)]
@@ -191,31 +241,26 @@ def copies(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), node, *(pa.array(x.view(np.int64)) for x in f)], names=["key", "node", *names])
 
     def meet(batches):
-        """Rows of a partition, sorted by key and node: links to the row before and to the first of the key."""
-        held = None
-        for batch in batches:
-            key, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            f = np.stack([np.asarray(batch.column(2 + k)).view(np.uint64) for k in range(PRINTS)], 1)
-            if held is not None:
-                key, node, f = np.concatenate([held[0], key]), np.concatenate([held[1], node]), np.concatenate([held[2], f])
-            if not len(key):
-                continue
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = key[1:] != key[:-1]
-            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-            i = np.flatnonzero(~new)
-            pairs = np.unique(np.concatenate([np.stack([i, i - 1], 1), np.stack([i, first[i]], 1)]), axis=0)
-            far = np.bitwise_count(f[pairs[:, 0]] ^ f[pairs[:, 1]]).sum(1, dtype=np.int64)
-            pairs = pairs[far <= most]
-            x, y = node[pairs[:, 0]], node[pairs[:, 1]]
-            if len(x):
-                x, y = np.unique(np.stack([x, y], 1), axis=0).T
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
-            tail = np.unique([first[-1], len(key) - 1])
-            held = key[tail], node[tail], f[tail]
+        """Rows of a partition, sorted by key: a forest of the links of each run of buckets, all of a bucket's pairs compared."""
+        for key, node, *prints in runs(batches):
+            f, edges, n = np.stack(prints, 1).view(np.uint64), [], 0
+
+            def put(edges):
+                x, y = forest(*(np.concatenate(e) for e in zip(*edges, strict=True)))
+                return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+            for i, j in close(key, f, most):
+                if len(i):
+                    edges.append((node[i], node[j]))
+                    n += len(i)
+                if n > HELD:
+                    yield put(edges)
+                    edges, n = [], 0
+            if edges:
+                yield put(edges)
 
     fields = ", ".join(f"{n} long" for n in ("key", "node", *names))
-    dealt = nodes.select("node", *names).mapInArrow(deal, fields).repartition("key").sortWithinPartitions("key", "node")
+    dealt = nodes.select("node", *names).mapInArrow(deal, fields).repartition("key").sortWithinPartitions("key")
     of = components(dealt.mapInArrow(meet, EDGES), "copies")
     keeper = nodes.join(of, "node", "left").select(*names, F.coalesce("component", "node").alias("keeper"))
     return prints.join(keeper, names).where("doc_id <> keeper").select("doc_id", "keeper")

@@ -150,6 +150,30 @@ def test_near_copies(spark, none):
     assert simhash.drop_copies(none).isEmpty()
 
 
+def test_stranger_between_copies_hides_none(spark, monkeypatch):
+    # one bucket: the first text is a stranger, and another lies between two copies
+    monkeypatch.setattr(simhash, "masks", lambda bits, radius: [0])
+    rng = random.Random(11)
+    a = prose(rng, 300, 5000).split()
+    texts = [prose(rng, 300, 5000), " ".join(a), prose(rng, 300, 5000), " ".join(a[:-1])]
+    df = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {(r["doc_id"], r["keeper"]) for r in simhash.copies(df).collect()} == {(4, 2)}
+
+
+def test_bucket_pairs():
+    rng = random.Random(12)
+    one, other, third = ([rng.getrandbits(48) for _ in range(3)] for _ in range(3))
+    rows = [(7, 1, *third), (7, 2, *one), (7, 3, *other), (7, 4, *one)] + [(8, k, *[rng.getrandbits(48) for _ in range(3)]) for k in range(1200)] + [(8, 2000, *one), (9, 5, *one)]
+    rows.insert(5, (8, -5, *one))
+    cols = list(zip(*rows, strict=True))
+    table = pa.table([pa.array(c, pa.int64()) for c in cols], names=["key", "node", "f0", "f1", "f2"])
+    found = set()
+    for key, node, *prints in simhash.runs(table.to_batches(max_chunksize=100)):
+        for x, y in simhash.close(key, np.stack(prints, 1).view(np.uint64), 21):
+            found |= {tuple(sorted((int(node[i]), int(node[j])))) for i, j in zip(x, y, strict=True)}
+    assert found == {(2, 4), (-5, 2000)}
+
+
 def test_decontamination_against_brute_force(spark, none):
     rng = random.Random(2)
     items = [(i, prose(rng, n, 3000)) for i, n in enumerate([40, 40, 25, 60, 3])] + [(9, None), (None, "x y z")]

@@ -142,27 +142,72 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRINTS, BITS, RADIUS = 3, 48, 5
 #: Words of a shingle, and the similarity from which two texts count as near copies.
 SHINGLE, SIMILARITY = 5, 0.8
+#: Bits of all fingerprints up to which a pair is a candidate: at that similarity they differ in 21 on average, with a deviation of 4.
+LOOSE = 34
+#: Smallest hashes of a set, by which a text first meets the smallest doc_id of its large group.
+LEASTS = 4
+
+
+def _sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct `SHINGLE`-word shingles of each text, and their bounds."""
+    w = words(col)
+    s, bounds = shingles(w, w.hashes(), SHINGLE)
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((s, of))
+    s, of = s[order], of[order]
+    fresh = np.ones(len(s), dtype=bool)
+    fresh[1:] = (s[1:] != s[:-1]) | (of[1:] != of[:-1])
+    return s[fresh], np.concatenate([[0], np.cumsum(np.bincount(of[fresh], minlength=len(bounds) - 1))]).astype(np.int64)
 
 
 def word_prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0, f1, f2): independent fingerprints of the set of `SHINGLE`-word shingles."""
+    """(doc_id, f0, f1, f2, m0 to m3): independent fingerprints and least hashes of the set of `SHINGLE`-word shingles."""
     low = np.uint64((1 << BITS) - 1)
+    names = [*(f"f{k}" for k in range(PRINTS)), *(f"m{k}" for k in range(LEASTS))]
 
     def run(batches):
         for batch in slices(batches, limit=1_000_000):
-            w = words(batch.column(1))
-            s, bounds = shingles(w, w.hashes(), SHINGLE)
-            of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            order = np.lexsort((s, of))
-            s, of = s[order], of[order]
-            fresh = np.ones(len(s), dtype=bool)
-            fresh[1:] = (s[1:] != s[:-1]) | (of[1:] != of[:-1])
-            s, of = s[fresh], of[fresh]
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(bounds) - 1))]).astype(np.int64)
-            cols = [majority(mix64(s ^ np.uint64(0xA0761D6478BD642F * (k + 1) & (2**64 - 1))), bounds) & low for k in range(PRINTS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.view(np.int64)) for c in cols)], names=["doc_id", *(f"f{k}" for k in range(PRINTS))])
+            s, bounds = _sets(batch.column(1))
+            salted = lambda k: mix64(s ^ np.uint64(0xA0761D6478BD642F * (k + 1) & (2**64 - 1)))  # noqa: E731, B023
+            cols = [pa.array((majority(salted(k), bounds) & low).view(np.int64)) for k in range(PRINTS)]
+            some = np.diff(bounds) > 0
+            for k in range(PRINTS, PRINTS + LEASTS):
+                least = np.zeros(len(some), dtype=np.uint64)
+                if some.any():
+                    least[some] = np.minimum.reduceat(salted(k), bounds[:-1][some])
+                cols.append(pa.array(least.view(np.int64), mask=~some))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *names])
+
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, " + ", ".join(f"f{k} long" for k in range(PRINTS)))
+
+def verified(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """The edges (a, b: doc_id) whose texts' shingle sets have a similarity of at least `SIMILARITY`."""
+
+    def collect(batches):
+        for batch in slices(batches, limit=1_000_000):
+            s, bounds = _sets(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(s.view(np.int64)))], names=["node", "own"])
+
+    def compare(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for i in range(batch.num_rows):
+                x, y = (np.asarray(batch.column(k)[i].values) for k in (2, 3))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = both >= SIMILARITY * (len(x) + len(y) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    edges = store.stage(edges.distinct(), "candidates")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+    sets = store.stage(map_texts(texts, collect, "node long, own array<long>"), "candidate-sets")
+    met = edges.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    out = store.stage(met.mapInArrow(compare, EDGES), "verified")
+    for x in (edges, sets):
+        if store.staged_path(x):
+            store.discard(docs.sparkSession, store.staged_path(x))
+    return out
 
 
 #: Rows of a bucket compared with as many others at once.
@@ -195,22 +240,25 @@ def far(f: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(f[i, k] ^ f[j, k]).astype(np.int16) for k in range(f.shape[1]))
 
 
-def close(key: np.ndarray, f: np.ndarray, most: int):
-    """(i, j), i < j, of all rows of one key that differ in at most `most` bits; `key` is sorted."""
+def close(key: np.ndarray, label: np.ndarray, f: np.ndarray, most: int):
+    """(i, j), i < j, of all rows of one key, but different labels, that differ in at most `most` bits; sorted by key, then label."""
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(first, len(key)))
     end = np.repeat(first + size, size)
     i = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
     d = 1
     while len(i := i[i + d < end[i]]):
-        near = i[far(f, i, i + d) <= most]
+        apart = i[label[i] != label[i + d]]
+        near = apart[far(f, apart, apart + d) <= most]
         yield near, near + d
         d += 1
     for lo, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         for a in range(lo, lo + n, TILE):
             for b in range(a, lo + n, TILE):
                 x, y = np.arange(a, min(a + TILE, lo + n)), np.arange(b, min(b + TILE, lo + n))
-                i, j = np.nonzero(far(f, x[:, None], y[None, :]) <= most)
+                if label[a] == label[y[-1]]:
+                    continue
+                i, j = np.nonzero((far(f, x[:, None], y[None, :]) <= most) & (label[x][:, None] != label[y][None, :]))
                 i, j = i + a, j + b
                 yield i[i < j], j[i < j]
 
@@ -218,50 +266,61 @@ def close(key: np.ndarray, f: np.ndarray, most: int):
 def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, keeper) of documents that are near copies of another, where keeper, the smallest doc_id of the group, differs.
 
-    Two texts are near copies if their fingerprints say a similarity of at least `SIMILARITY`: of all
-    `PRINTS` x `BITS` bits they differ in at most the share that sets of that similarity differ in on average. They meet
-    in the covering tables of each fingerprint, where every pair within `RADIUS` bits of one fingerprint collides.
-    All pairs of a bucket are compared, whatever it holds.
+    Two texts are near copies if their sets of `SHINGLE`-word shingles have a similarity of at least `SIMILARITY`. Candidates
+    differ in at most `LOOSE` of all `PRINTS` x `BITS` bits and meet in the covering tables of a fingerprint, where every pair
+    within `RADIUS` bits of one collides; each is then judged by the texts. All pairs of a bucket are compared but for
+    those that are in one group already: a text is first judged against the smallest doc_id that shares one of its least
+    hashes, so that a large group doesn't give the square of its size. Equal fingerprints are one text.
     Rows without a doc_id take no part; rows that repeat a doc_id are one document.
     """
+    docs = docs.where("doc_id is not null")
     names = [f"f{k}" for k in range(PRINTS)]
-    prints = store.stage(word_prints(docs.where("doc_id is not null")), "prints")
-    nodes = store.stage(prints.groupBy(*names).agg(F.min("doc_id").alias("node")), "print-nodes")
+    leasts = [f"m{k}" for k in range(LEASTS)]
+    prints = store.stage(word_prints(docs), "prints")
+    nodes = store.stage(prints.groupBy(*names).agg(F.min("doc_id").alias("node"), *(F.min(m).alias(m) for m in leasts)), "print-nodes")
+
+    one = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(m).alias("m")) for k, m in enumerate(leasts)])).alias("x")
+    met = nodes.select("node", *names, one).select("node", *names, "x.k", "x.m").where("m is not null")
+    hub = met.groupBy("k", "m").agg(F.min(F.struct("node", *names)).alias("h"), F.count("*").alias("n")).where("n > 1").select("k", "m", "h")
+    bits = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"h.{n}"))) for n in names), F.lit(0))
+    first = met.join(hub, ["k", "m"]).where((F.col("node") != F.col("h.node")) & (bits <= LOOSE))
+    sure = components(verified(first.select(F.col("node").alias("a"), F.col("h.node").alias("b")), docs), "copies")
+    named = nodes.join(sure, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *names)
+
     family = masks(BITS, RADIUS)
-    cos = 2 * SIMILARITY / (1 + SIMILARITY)
-    most = int(PRINTS * BITS * np.arccos(cos) / np.pi)
     salt = [mix64(np.uint64(1 + t) * np.ones(1, np.uint64))[0] for t in range(PRINTS * len(family))]
 
     def deal(batches):
         for batch in batches:
-            node, f = batch.column(0), [np.asarray(batch.column(1 + k)).view(np.uint64) for k in range(PRINTS)]
+            node, label, f = batch.column(0), batch.column(1), [np.asarray(batch.column(2 + k)).view(np.uint64) for k in range(PRINTS)]
             for k in range(PRINTS):
                 for t, m in enumerate(family):
                     key = mix64((f[k] & np.uint64(m)) ^ salt[k * len(family) + t])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), node, *(pa.array(x.view(np.int64)) for x in f)], names=["key", "node", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), node, label, *(pa.array(x.view(np.int64)) for x in f)], names=["key", "node", "label", *names])
 
     def meet(batches):
-        """Rows of a partition, sorted by key: a forest of the links of each run of buckets, all of a bucket's pairs compared."""
-        for key, node, *prints in runs(batches):
-            f, edges, n = np.stack(prints, 1).view(np.uint64), [], 0
+        """Rows of a partition, sorted by key and label: all candidates of different labels."""
+        for key, node, label, *own in runs(batches):
+            found, n = [], 0
 
-            def put(edges):
-                x, y = forest(*(np.concatenate(e) for e in zip(*edges, strict=True)))
+            def put(found):
+                x, y = np.unique(np.concatenate(found, axis=1), axis=1)
                 return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-            for i, j in close(key, f, most):
+            for i, j in close(key, label, np.stack(own, 1).view(np.uint64), LOOSE):
                 if len(i):
-                    edges.append((node[i], node[j]))
+                    found.append(np.sort(np.stack([node[i], node[j]]), axis=0))
                     n += len(i)
                 if n > HELD:
-                    yield put(edges)
-                    edges, n = [], 0
-            if edges:
-                yield put(edges)
-
-    fields = ", ".join(f"{n} long" for n in ("key", "node", *names))
-    dealt = nodes.select("node", *names).mapInArrow(deal, fields).repartition("key").sortWithinPartitions("key")
-    of = components(dealt.mapInArrow(meet, EDGES), "copies")
+                    yield put(found)
+                    found, n = [], 0
+            if found:
+                yield put(found)
+
+    fields = ", ".join(f"{n} long" for n in ("key", "node", "label", *names))
+    dealt = named.mapInArrow(deal, fields).repartition("key").sortWithinPartitions("key", "label")
+    rest = verified(dealt.mapInArrow(meet, EDGES), docs)
+    of = components(rest.union(sure.select(F.col("node").alias("a"), F.col("component").alias("b"))), "copies")
     keeper = nodes.join(of, "node", "left").select(*names, F.coalesce("component", "node").alias("keeper"))
     return prints.join(keeper, names).where("doc_id <> keeper").select("doc_id", "keeper")
 

@@ -160,6 +160,29 @@ def test_stranger_between_copies_hides_none(spark, monkeypatch):
     assert {(r["doc_id"], r["keeper"]) for r in simhash.copies(df).collect()} == {(4, 2)}
 
 
+def test_copies_are_judged_by_texts(spark):
+    # pairs on either side of the similarity, which the fingerprints' mean distance takes for the other
+    rng = random.Random(21)
+    texts, want = [], set()
+    for k in range(40):
+        a = [f"{k}x{i}" for i in range(204)]
+        cut = 177 if k % 2 else 158  # of 200 shingles, the first ones stay
+        b = a[:cut] + [f"{k}y{i}" for i in range(204 - cut)]
+        s = lambda u: {tuple(u[i : i + 5]) for i in range(len(u) - 4)}
+        if len(s(a) & s(b)) / len(s(a) | s(b)) >= 0.8:
+            want.add((2 * k + 1, 2 * k))
+        texts += [" ".join(a), " ".join(b)]
+    assert len(want) == 0
+    for k in range(40, 60):
+        a = [f"{k}x{i}" for i in range(204)]
+        b = a[:183] + [f"{k}y{i}" for i in range(21)]
+        assert len(s(a) & s(b)) / len(s(a) | s(b)) >= 0.8
+        want.add((2 * k + 1, 2 * k))
+        texts += [" ".join(a), " ".join(b)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["keeper"]) for r in simhash.copies(df).collect()} == want
+
+
 def test_bucket_pairs():
     rng = random.Random(12)
     one, other, third = ([rng.getrandbits(48) for _ in range(3)] for _ in range(3))
@@ -169,7 +192,7 @@ def test_bucket_pairs():
     table = pa.table([pa.array(c, pa.int64()) for c in cols], names=["key", "node", "f0", "f1", "f2"])
     found = set()
     for key, node, *prints in simhash.runs(table.to_batches(max_chunksize=100)):
-        for x, y in simhash.close(key, np.stack(prints, 1).view(np.uint64), 21):
+        for x, y in simhash.close(key, node, np.stack(prints, 1).view(np.uint64), 21):
             found |= {tuple(sorted((int(node[i]), int(node[j])))) for i, j in zip(x, y, strict=True)}
     assert found == {(2, 4), (-5, 2000)}
 

@@ -139,30 +139,32 @@ class Benchmark:
 
     def _text(self, r: int, s: np.ndarray, hit: np.ndarray, best: dict) -> None:
         for length in self.lengths:
-            if length.words < SHINGLE or length.span > len(s):
+            if length.words < SHINGLE:
                 continue
+            # a text shorter than the item is one window
+            span = min(length.span, len(s))
             # windows that hold a hit
             cover = np.zeros(len(s) + 1, dtype=np.int64)
-            np.add.at(cover, np.maximum(0, hit - length.span + 1), 1)
+            np.add.at(cover, np.maximum(0, hit - span + 1), 1)
             np.add.at(cover, hit + 1, -1)
             starts = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-            starts = starts[starts + length.span <= len(s)]
+            starts = starts[starts + span <= len(s)]
             for lo in range(0, len(starts), WINDOWS):
                 part = starts[lo : lo + WINDOWS]
                 # runs of adjoining windows share their running sums
                 cuts = np.flatnonzero(np.diff(part) > 1) + 1
                 for run in np.split(part, cuts):
-                    a, b = int(run[0]), int(run[-1]) + length.span
+                    a, b = int(run[0]), int(run[-1]) + span
                     sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(s[a:b]), axis=0, dtype=np.int32)])
-                    prints = fingerprint(sums[length.span :] - sums[: -length.span])
+                    prints = fingerprint(sums[span:] - sums[:-span])
                     for x, k in length.candidates(prints):
-                        similarity = self._similar(s[a + x : a + x + length.span], length.shapes[k])
+                        similarity = self._similar(s[a + x : a + x + span], length.shapes[k])
                         if similarity >= SIMILARITY:
                             key = (r, int(length.ids[k]))
                             bits = int(np.bitwise_count(prints[x] ^ length.prints[k]))
                             old = best.get(key)
                             if old is None or (similarity, -a - x) > (old.similarity, -old.start):
-                                best[key] = Leak(r, key[1], a + x, length.words, bits, similarity)
+                                best[key] = Leak(r, key[1], a + x, min(length.words, len(s) + SHINGLE - 1), bits, similarity)
 
     @staticmethod
     def _similar(window: np.ndarray, shape: tuple[np.ndarray, np.ndarray]) -> float:
@@ -203,7 +205,7 @@ LEAKS = "doc_id long, item_id long, start_word long, n_words long, hamming int,
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity): for each row of `docs` and item, the best window at or over the similarity.
 
-    Windows slide by a word and have as many words as the item; ties go to the earlier window. Null texts have no words. Repeated
+    Windows slide by a word and have as many words as the item, or are the whole of a shorter text; ties go to the earlier window. Null texts have no words. Repeated
     rows each give their leaks. No benchmark or no documents give no rows.
     """
     spark, out = docs.sparkSession, None

@@ -223,6 +223,24 @@ def test_decontamination_against_brute_force(spark, none):
     assert decontaminate.find_leaks(none, bench).isEmpty() and decontaminate.find_leaks(df, bench.limit(0)).isEmpty()
 
 
+def test_decontamination_of_texts_shorter_than_an_item(spark):
+    rng = random.Random(6)
+    items = [(i, prose(rng, n, 3000)) for i, n in enumerate([59, 30, 12])]
+    rows = [(100 * k + n, " ".join(x.split()[:n])) for k, x in items for n in range(1, len(x.split()) + 1)]
+    s = lambda u: Counter(tuple(u[j : j + 5]) for j in range(len(u) - 4)) if len(u) >= 5 else Counter([tuple(u)])
+    want = set()
+    for i, t in rows:
+        for k, x in items:
+            w, v = t.split(), x.split()
+            n = min(len(w), len(v))
+            if any(sum((s(w[j : j + n]) & s(v)).values()) / sum((s(w[j : j + n]) | s(v)).values()) >= 0.8 for j in range(len(w) - n + 1)):
+                want.add((i, k, n))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert (54, 0, 54) in want
+    assert {(r["doc_id"], r["item_id"], r["n_words"]) for r in decontaminate.find_leaks(df, bench).collect()} == want
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(df, bench).collect()} == {i for i, _ in rows} - {i for i, _, _ in want}
+
+
 def test_line_templates_drop_across_documents(spark, none):
     rng = random.Random(4)
     rows = [(i, f"Page {i} of 90 seen\n{prose(rng, 20, 9000)}\n\nshort") for i in range(8)]

@@ -255,6 +255,23 @@ def test_line_templates_drop_across_documents(spark, none):
     assert line_dedup.dedup_lines(none).isEmpty()
 
 
+def test_pipeline_drops_long_blocks_but_not_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    block = [f"footer line {chr(97 + k)} of the site" for k in range(12)]
+    rows = [(i, "\n".join([prose(rng, 60, 9000), *block])) for i in range(20)]
+    body, shared = [prose(rng, 40, 9000) for _ in range(8)], "one line that others have too"
+    for k in range(60):  # near copies, each with a word of its own in one line
+        own = list(body)
+        own[k % 8] += " word" + chr(97 + k // 26) + chr(97 + k % 26)
+        rows.append((1000 + k, "\n".join([*own, shared])))
+    rows += [(2000 + k, prose(rng, 60, 9000) + "\n" + shared) for k in range(4)]
+    df = spark.createDataFrame([(i, t, 0, "d") for i, t in rows], "doc_id long, text string, n_chars long, source string")
+    want = {i: "\n".join(x for x in t.split("\n") if x not in block and x != shared) for i, t in rows}
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, df, "").collect()} == want
+
+
 def labelled(spark, bad):
     rng = random.Random(6)
     rows, labels = [], []

@@ -296,22 +296,23 @@ def _(s, d):
 
 @query(
     "j9_reconcile",
-    """WITH c AS (SELECT o_orderkey AS k, 4 AS planned FROM orders WHERE o_orderkey % 7 <> 0), f AS (SELECT l_orderkey AS k, count(*) AS counted FROM lineitem GROUP BY 1)
+    """WITH c AS (SELECT o_orderkey AS k, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS planned FROM orders), f AS (SELECT l_orderkey AS k, count(*) AS counted FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1)
     SELECT k, CASE WHEN counted IS NULL THEN 'missing' WHEN planned IS NULL THEN 'extra' WHEN counted < planned THEN 'below' WHEN counted > planned THEN 'above' ELSE 'same' END AS verdict FROM c FULL JOIN f USING (k)""",
 )
 def _(s, d):
-    plan = table(s, d, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("k"), F.lit(4).alias("planned"))
-    found = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("counted"))
+    plan = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.substring("o_orderpriority", 1, 1).cast("long").alias("planned"))
+    found = table(s, d, "lineitem").where("l_returnflag <> 'A'").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("counted"))
     return R.reconcile(plan, found, ["k"], "planned", "counted").select("k", "verdict")
 
 
 @query(
     "j10_waits",
-    """WITH e AS (SELECT o_custkey % 40 AS pass, o_orderpriority AS g, min(o_orderkey % 3) AS low, max(o_orderkey % 3) AS high FROM orders WHERE o_orderkey % 11 = 0 GROUP BY 1, 2)
+    """WITH e AS (SELECT c_nationkey AS pass, o_orderstatus AS g, min(substr(o_orderpriority, 1, 1)) AS low, max(substr(o_orderpriority, 1, 1)) AS high FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)
     SELECT DISTINCT p.pass, q.pass AS waits_on FROM e p JOIN e q ON p.g = q.g AND q.pass < p.pass AND q.low < p.high""",
 )
 def _(s, d):
-    u = table(s, d, "orders").where("o_orderkey % 11 = 0").select((F.col("o_custkey") % 40).alias("unit_pass"), (F.col("o_custkey") % 40).alias("pos"), F.col("o_orderpriority").alias("g"), (F.col("o_orderkey") % 3).alias("rank"))
+    u = table(s, d, "orders").join(table(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    u = u.select(F.col("c_nationkey").alias("unit_pass"), F.col("c_nationkey").alias("pos"), F.col("o_orderstatus").alias("g"), F.substring("o_orderpriority", 1, 1).alias("rank"))
     return graph.waits(u, "unit_pass", "pos", "g", "rank")
 
 

@@ -4,6 +4,8 @@ import glob
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.plans import registry
@@ -11,9 +13,19 @@ from tessera.plans import registry
 DATA = "/root/testdata/sf0.001"
 
 
+def cell(x):
+    if isinstance(x, (list, tuple)) or hasattr(x, "tolist") and getattr(x, "ndim", 0):
+        return [cell(y) for y in x]
+    if pd.isna(x):
+        return None
+    if isinstance(x, (bool, np.bool_)):
+        return bool(x)
+    return float(x) if isinstance(x, (int, float, np.number)) else str(x)
+
+
 def rows(frame):
     cols = sorted(frame.columns)
-    return sorted(repr(tuple(None if x != x or x is None else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) if not isinstance(x, bool) else bool(x) for x in r)) for r in frame[cols].astype(object).itertuples(index=False, name=None))
+    return sorted(repr([cell(x) for x in r]) for r in frame[cols].astype(object).itertuples(index=False, name=None))
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")

@@ -245,19 +245,53 @@ def test_line_templates_drop_across_documents(spark, none):
     rng = random.Random(4)
     rows = [(i, f"Page {i} of 90 seen\n{prose(rng, 20, 9000)}\n\nshort") for i in range(8)]
     copy = "same body in every copy\nand a second line of it"
-    rows += [(100 + i, copy) for i in range(9)] + [(200, None), (201, ""), (None, "Page 7 of 90 seen\nown words are here"), (0, rows[0][1])]
+    rows += [(100 + i, copy) for i in range(9)] + [(200, None), (201, ""), (None, "Page 7 of 90 seen\nown words are here"), (0, rows[0][1]), (202, "\n".join(prose(rng, 9, 9000) for _ in range(3000)))]
     df = spark.createDataFrame([(i, t, 0.0, "d", "l") for i, t in rows], SCHEMA)
     got = line_dedup.dedup_lines(df)
     assert got.columns == [*df.columns, "lines_before", "lines_dropped"] and got.count() == len(rows)
     out = {r["doc_id"]: r for r in got.collect()}
     assert "Page" not in out[3]["text"] and out[3]["text"].endswith("\n\nshort") and out[3]["lines_dropped"] == 1
     assert out[104]["text"] == copy and out[200]["text"] is None and out[201]["text"] == "" and out[None]["text"] == "own words are here"
+    assert out[202]["text"] == rows[-1][1] and out[202]["lines_before"] == 3000
     assert line_dedup.dedup_lines(none).isEmpty()
-
-
-def test_pipeline_drops_long_blocks_but_not_near_copies(spark):
-    import corpus_pipeline
-
+    clash = df.selectExpr("*", "1 AS lines_before", "2 AS b1", "3 AS `row`", "4 AS `a.b`")
+    assert line_dedup.dedup_lines(clash).columns == [*clash.columns, "lines_dropped"]
+    assert line_dedup.dedup_lines(clash, report=False).columns == clash.columns and line_dedup.dedup_lines(clash, report=False).where("b1 <> 2 OR `row` <> 3 OR `a.b` <> 4").isEmpty()
+
+
+def words_only(rng, n):
+    """Words of letters alone, nearly all different."""
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n))
+
+
+@pytest.mark.parametrize("lines", [1, 3, 12])
+@pytest.mark.parametrize("length", [4, 12, 60])
+def test_blocks_of_recurring_lines_go(spark, lines, length):
+    rng = random.Random(lines)
+    block = [f"footer line {chr(97 + k)} of the whole site" for k in range(lines)]
+    own = [words_only(rng, length) for _ in range(60)]
+    df = spark.createDataFrame([(i, "\n".join([*block[: i % (lines + 1)], x, *block[i % (lines + 1) :]])) for i, x in enumerate(own)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert got == dict(enumerate(own))
+
+
+def test_fields_without_marks_are_generalised(spark):
+    rng = random.Random(8)
+    names = ["alice", "bob", "carol", "dave", "erin", "frank", "grace", "heidi", "ivan", "judy"]
+    line = lambda x: f"Posted by {x} in the forum today"
+    alone = spark.createDataFrame([(i, line(x)) for i, x in enumerate(names)], "doc_id long, text string")
+    assert {r["text"] for r in line_dedup.dedup_lines(alone).collect()} == {""}
+    some = [words_only(rng, 14) for _ in names]
+    with_own = spark.createDataFrame([(i, line(x) + "\n" + y) for i, (x, y) in enumerate(zip(names, some, strict=True))], "doc_id long, text string")
+    assert sorted(r["text"] for r in line_dedup.dedup_lines(with_own).collect()) == sorted(some)
+    marked = spark.createDataFrame([(i, line(f"user{i}")) for i in range(10)], "doc_id long, text string")
+    assert {r["text"] for r in line_dedup.dedup_lines(marked).collect()} == {""}
+    # four texts do not make a template; neither do lines that share less than three quarters
+    few = spark.createDataFrame([(i, line(x)) for i, x in enumerate(names[:4])] + [(10 + i, f"Posted by {words_only(rng, 3)} today here now") for i in range(9)], "doc_id long, text string")
+    assert line_dedup.dedup_lines(few).where("lines_dropped > 0").isEmpty()
+
+
+def test_near_copies_keep_their_lines(spark):
     rng = random.Random(17)
     block = [f"footer line {chr(97 + k)} of the site" for k in range(12)]
     rows = [(i, "\n".join([prose(rng, 60, 9000), *block])) for i in range(20)]
@@ -269,7 +303,21 @@ def test_pipeline_drops_long_blocks_but_not_near_copies(spark):
     rows += [(2000 + k, prose(rng, 60, 9000) + "\n" + shared) for k in range(4)]
     df = spark.createDataFrame([(i, t, 0, "d") for i, t in rows], "doc_id long, text string, n_chars long, source string")
     want = {i: "\n".join(x for x in t.split("\n") if x not in block and x != shared) for i, t in rows}
-    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, df, "").collect()} == want
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, report=False).collect()} == want
+
+
+def test_line_dedup_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(31)
+    pool = [f"line {words_only(rng, rng.randint(1, 9))} end {k}" for k in range(12)] + ["Seen by {} at the main gate of town", "{} entered the old house by the door", "No {} here", "", "x"]
+    rows = [(i if i % 17 else None, None if i % 40 == 3 else "\n".join(rng.choice(pool).format(words_only(rng, 1)) for _ in range(rng.randint(0, 6))) + rng.choice(["", "\n" + words_only(rng, 11)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    got = sorted((tuple(r) for r in line_dedup.dedup_lines(df).collect()), key=key)
+    documents = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())})  # noqa: F841  the SQL's table
+    want = sorted(duckdb.sql(line_dedup.OP6_SQL).fetchall(), key=key)
+    assert got == want and any(r[3] for r in got)
 
 
 def labelled(spark, bad):

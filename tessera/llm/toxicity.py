@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +17,10 @@ WINDOW, STEP = 48, 24
 LEAD = 16
 #: Labelled documents of each class in the training sample at most, in the order of a hash of their ids.
 SAMPLE = 3000
-#: Bytes of each dictionary at most; half is for the words that the two classes share.
-DICTIONARY = 4096
+#: Bytes of each dictionary at most, so that all of it is within a window's reach; half may be marks of its class.
+DICTIONARY = 3900
+#: Bytes of the longest text in the training sample.
+SAMPLE_BYTES = 200_000
 #: Bytes, with the blank before it, of the shortest beginning of a word that can speak for a class.
 SHORTEST = 5
 #: How much commoner in toxic texts a beginning must be to speak for them.
@@ -39,7 +40,8 @@ def fold(col: str, parts: int):
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train, per_class: int) -> tuple[list[tuple[str, int]], float]:
     """Texts and labels of up to `per_class` training rows of each class, and the share of label 1 in all training rows.
 
-    Only labels where `train` holds are read. A doc_id with several labels counts with the largest.
+    Only labels where `train` holds are read. A doc_id with several labels counts with the largest. A text of over
+    `SAMPLE_BYTES` is not picked, so that what reaches the driver is bounded.
     """
     rows = labels.where(train).where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(F.col(target).cast("int")).alias("y")).where(F.col("y").isin(0, 1))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -47,7 +49,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train, per_
     for y in (0, 1):
         some = rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").collect()
+    got = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").collect()
     got = sorted({(r["doc_id"], r["text"], r["y"]) for r in got})
     n = sum(counts.values())
     return [(t, y) for _, t, y in got], counts.get(1, 0) / n if n else 0.0
@@ -92,7 +94,7 @@ def _compressor(content: bytes):
 
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     p = zstandard.ZstdCompressionParameters(
-        window_log=12, hash_log=13, chain_log=12, search_log=4, min_match=5, target_length=8, strategy=zstandard.STRATEGY_LAZY2,
+        window_log=14, hash_log=14, chain_log=14, search_log=4, min_match=5, target_length=8, strategy=zstandard.STRATEGY_LAZY2,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     d.precompute_compress(compression_params=p)
@@ -103,13 +105,13 @@ class Gains:
     """Per window: compressed length with the ordinary dictionary less that with the toxic one.
 
     Each window follows the same `LEAD` bytes of what the dictionaries share. They compress in any case, so no frame is
-    stored raw, where a match that saves a few bytes would not show.
+    stored raw, where a match that saves a few bytes would not show. They are from before the dictionaries' last bytes,
+    which the compressor doesn't index.
     """
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.toxic, self.ordinary = _compressor(toxic), _compressor(ordinary)
-        shared = len(os.path.commonprefix([toxic, ordinary]))
-        self.lead = np.frombuffer(toxic[max(0, shared - LEAD) : shared].rjust(LEAD), dtype=np.uint8)
+        self.lead = np.frombuffer(toxic[-4 * LEAD : -3 * LEAD].rjust(LEAD), dtype=np.uint8)
 
     def windows(self, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows (offset, length) of every text, and how many each text has; a short text is one window."""
@@ -251,16 +253,22 @@ def _marks(ordinary: list[set[bytes]], toxic: list[set[bytes]]) -> list[bytes]:
 
 
 def dictionaries(sample: list[tuple[str, int]]) -> tuple[bytes, bytes]:
-    """Contents of the toxic and of the ordinary dictionary.
+    """Contents of the toxic and of the ordinary dictionary, of the same size, each from texts of its class.
 
-    Both hold the commonest words of ordinary text, which match alike in either. The toxic one ends with the beginnings
-    of words that speak for toxic text (`_marks`), where the ordinary one has as many zero bytes.
+    Either holds words of the class's texts, the commonest nearest to the end, where matches are cheapest. The classes share
+    most of them, and the shared ones are in the same places, so that they compress alike. The toxic dictionary begins with
+    the beginnings of words that mark toxic text (`_marks`), and the ordinary one with as many bytes of further words of
+    ordinary text, the next commonest ones.
     """
     lone = collapsed(sample)
     plain, marked = ([_words(t) for t, y in lone if y == k] for k in (0, 1))
-    own = _content(_marks(plain, marked), DICTIONARY // 2)
-    base = _content(_by_count(plain), DICTIONARY - DICTIONARY // 2)
-    return base + own, base + bytes(len(own))
+    marks = tuple(_marks(plain, marked))
+    own = _content(list(marks), DICTIONARY // 2)
+    ordinary = [w for w in _by_count(plain) if not w.startswith(marks)]
+    shared = _content(ordinary, DICTIONARY - len(own))
+    further = _content(ordinary[shared.count(b" ") - 1 :], len(own))
+    size = max(len(own), len(further))
+    return own.rjust(size) + shared, further.rjust(size) + shared
 
 
 def train(sample: list[tuple[str, int]], prevalence: float) -> Model | None:

@@ -7,14 +7,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one is set."""
+    """This application's folder under spark.checkpoint.dir.
+
+    Where that is unset, one machine (tests) takes a temporary folder; a cluster, whose executors would each write to a disk
+    of their own, refuses.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        base = _own[app]
+    return f"{base.rstrip('/')}/tessera-{app}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -35,6 +45,11 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard_all(spark: SparkSession) -> None:
+    """Delete whatever this application has staged; results that still read it must be written before."""
+    discard(spark, shared_dir(spark))
+
+
 def staged_path(df: DataFrame) -> str:
     """Folder of a table that `stage` returned."""
     return df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else ""

@@ -1,4 +1,4 @@
-"""Tokenizer ids of whole texts, by a bounded memo of pieces between which the pre-tokenizer always cuts."""
+"""Tokenizer ids of whole texts, as the tokenizers library gives them for a .json file, without added special tokens."""
 
 from __future__ import annotations
 
@@ -6,18 +6,21 @@ import hashlib
 import json
 import os
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces from which a worker's memo begins a new generation; the one before the last is dropped then.
-MEMO_PIECES = 250_000
-#: White space beyond single blanks and newlines: such a text is encoded whole.
-_RISKY = re.compile(r"[^\S \n]|[ \n]{2}")
-#: A letter and a stop or comma after it that ends a word: every pre-tokenizer here cuts between the two.
-_STOP = re.compile(r"([A-Za-z])([.,])(?=[ \n])")
+#: The split of byte-level pre-tokenizers.
+BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The split of the word-level pre-tokenizer read here, and the same over `_PLAIN` texts in lower case.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: White space, printable ASCII and accented Latin letters: lower case and classes are plain there. Anything else is not.
+_OTHER = re.compile("[^\\x09-\\x0d\\x20-\\x7eÀ-ÖØ-öø-ÿ]")
+END_OF_WORD = "</w>"
 
 
 def default_path(name: str) -> str:
@@ -35,114 +38,88 @@ def version_digest(path: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter by which byte-level vocabularies write each byte: itself where printable, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def _ranks(vocab: dict[str, int], suffix: str | None) -> dict[bytes, int]:
+    """Vocabulary by bytes; the end of a word is written as a blank, which no word holds."""
+    letters = byte_letters()
+    out = {}
+    for token, i in vocab.items():
+        last = suffix is not None and token.endswith(suffix)
+        raw = bytes(letters[c] for c in (token[: -len(suffix)] if last else token))
+        out[raw + b" " if last else raw] = i
+    return out
+
+
 class Coder:
     """Encodes as the tokenizers library does, without added special tokens.
 
-    A byte-level pre-tokenizer never carries a match over a single blank or newline between two visible
-    characters, so the pieces there can be encoded apart; a word-level one drops white space altogether. Both cut
-    between a letter and a stop or comma.
-    Pieces that the memo lacks are encoded by the library in one call for many texts. Any other text is
-    encoded whole.
+    A file whose merges are in the order of their ids is byte-pair encoding by the ranks of the ids, which a faster
+    encoder does over the file's own vocabulary; a word's end counts as one more byte, which the ids of final letters bind
+    first. Texts that hold an added token's string, or letters beyond those whose lower case is plain, are left to the
+    library, and so are files of other kinds. Nothing is kept from one text to the next.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.lib.no_padding()
-        self.lib.no_truncation()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        added = spec.get("added_tokens", [])
-        plain = not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added)
-        parts = pre.get("pretokenizers", [])
-        self.bytes_level = plain and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.drops_space = plain and bool(parts) and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert", False)
-        self.newline = self._array(["\n"])[0] if self.bytes_level else None
-        self.bytes_level = self.bytes_level and len(self.newline) == 1
-        self.blank = self._array([" "])[0].tobytes()
-        lowers = any(x.get("type") == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", []))
-        #: Added tokens in lower case, where the normalizer lowers and so A-Z may be lowered before; a text that holds one is not.
-        self.folds = [t["content"].lower() for t in added] if lowers and added else []
-        self.mark = None if self.bytes_level or not self.drops_space else self._mark()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _array(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _mark(self) -> tuple[str, int] | None:
-        """A pictograph that is one token, as a mark between pieces: the last of those in the vocabulary."""
-        signs = [chr(x) for x in range(0x1F6FF, 0x1F2FF, -1)]
-        for sign, ids in zip(signs, self._array([f"{x} {x}" for x in signs]), strict=True):
-            if len(ids) == 2 and ids[0] == ids[1] and self._array([f"a {sign} a"])[0].tolist()[1:-1] == [ids[0]]:
-                return sign, int(ids[0])
-        return None
-
-    def _cuts(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """Ids of the pieces in one call, with starts and ends; None if one of them holds the mark's id itself."""
-        if self.bytes_level:
-            ids, mark = self._array(["\n".join(pieces) + "\n"])[0], self.newline[0]
-        elif self.mark:
-            word, mark = self.mark
-            ids = self._array([f" {word} ".join(pieces) + f" {word}"])[0]
-        else:
-            return None
-        ends = np.flatnonzero(ids == mark)
-        return (ids, np.concatenate([[0], ends[:-1] + 1]), ends) if len(ends) == len(pieces) else None
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces (without white space but a leading blank) in one call, and cut the ids at the pieces' ends."""
-        if not pieces:
-            return
-        cuts = self._cuts(pieces)
-        if cuts:
-            ids, starts, ends = cuts
-        else:
-            e = self.lib.encode(" ".join(pieces), add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u4")
-            at = np.fromiter((o[0] for o in e.offsets), dtype=np.int64, count=len(ids))
-            size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) + 1
-            cut = np.searchsorted(at, np.concatenate([[0], np.cumsum(size)]))
-            starts, ends = cut[:-1], cut[1:]
-        raw = ids.tobytes()
-        for p, a, b in zip(pieces, (starts * 4).tolist(), (ends * 4).tolist(), strict=True):
-            self.young[p] = raw[a:b]
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """Pieces, where a newline is a piece; None for a text to be encoded whole."""
-        if self.drops_space:
-            text = text.replace("\n", " ")
-            if self.folds:
-                low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-                text = text if any(x in low for x in self.folds) else low
-            return _STOP.sub(r"\1 \2", text).split(" ")
-        if not self.bytes_level or "\x00" in text or _RISKY.search(text):
-            return None
-        return _STOP.sub("\\1\x00\\2", text).replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
-
-    def ids_many(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.young) >= MEMO_PIECES:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        cut = [self._pieces(t) for t in texts]
-        young[""] = b""
-        if self.bytes_level:
-            young["\n"], young[" "] = self.newline.tobytes(), self.blank
-        missing = set().union(*[p for p in cut if p is not None]) - young.keys()
-        known = missing & old.keys()
-        for p in known:
-            young[p] = old[p]
-        self._learn(sorted(missing - known))
-        get = young.__getitem__
-        return [self._array([t])[0].tobytes() if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut, strict=True)]
+        model, pre = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in spec.get("added_tokens", []))
+        merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model.get("merges", [])]
+        vocab = model.get("vocab", {})
+        order = [vocab.get(a + b, -1) for a, b in merges] if model.get("type") == "BPE" else [-1]
+        plain = plain and order == sorted(set(order)) and order[:1] != [-1] and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        suffix, parts, normal = model.get("end_of_word_suffix"), pre.get("pretokenizers", []), (spec.get("normalizer") or {}).get("normalizers", [])
+        bytes_level = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not suffix
+        words = (
+            suffix == END_OF_WORD and [x.get("type") for x in parts] == ["Split", "ByteLevel"] and parts[0].get("pattern") == {"Regex": WORD_SPLIT} and parts[0].get("behavior") == "Removed"
+            and parts[0].get("invert") and not parts[1].get("use_regex") and not parts[1].get("add_prefix_space") and [x.get("type") for x in normal] == ["NFC", "Replace", "Lowercase"]
+            and normal[1].get("pattern") == {"Regex": r"\s+"} and normal[1].get("content") == " "
+        )
+        self.words = bool(words)
+        self.fast = None
+        if plain and (bytes_level or words):
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("own", pat_str="[^ ]+ " if words else BYTE_SPLIT, mergeable_ranks=_ranks(vocab, suffix), special_tokens={})
+        self._lib = None
+
+    @property
+    def lib(self):
+        if self._lib is None:
+            from tokenizers import Tokenizer
+
+            self._lib = Tokenizer.from_file(self.path)
+            self._lib.no_padding()
+            self._lib.no_truncation()
+        return self._lib
 
     def ids(self, text: str) -> bytes:
-        return self.ids_many([text])[0]
+        """The text's ids as little-endian unsigned 32-bit integers."""
+        if self.fast and not any(x in text for x in self.added):
+            ready = text
+            if self.words:
+                plain = not _OTHER.search(text) and unicodedata.is_normalized("NFC", text)
+                ready = "".join([x + " " for x in _WORDS.findall(text.lower())]) if plain else None
+            if ready is not None:
+                try:
+                    return self.fast.encode_to_numpy(ready).astype("<u4", copy=False).tobytes()
+                except ValueError:  # a run too long for its expressions
+                    pass
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def ids_many(self, texts: list[str]) -> list[bytes]:
+        return [self.ids(t) for t in texts]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def coder(path: str) -> Coder:
+    """One for each file in a worker; it holds vocabularies only."""
     return Coder(path)

@@ -83,13 +83,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         _release()
 
 
-#: Rows of an Arrow batch of texts at most.
-BATCH_ROWS = 1000
-
-
 def map_texts(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow over texts in batches of few rows, as one may be very long. This sets the session's Arrow batch size."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """mapInArrow over texts. Spark bounds its batches by bytes (spark.sql.execution.arrow.maxBytesPerBatch), `slices` those of `run`."""
     return df.mapInArrow(run, schema)
 
 

@@ -76,29 +76,96 @@ def test_token_file_round_trip(spark, docs, none, tmp_path):
 
 def test_codes_give_any_token(tmp_path):
     ids = np.random.default_rng(1).choice([3, 255, 256, 70_000, 2**31], 5000).astype(np.uint32)
-    (tmp_path / "x").write_bytes(dac.encode(ids, [1, None], np.array([2000, 3000])))
+    (tmp_path / "x").write_bytes(dac.encode(ids, [1, None], np.array([2000, 3000]), 4, 77) + b"\n")
     r = dac.Reader(np.memmap(tmp_path / "x", dtype=np.uint8, mode="r"))
     at = np.random.default_rng(2).integers(0, 5000, 800)
-    assert (r.get(at) == ids[at]).all() and (r.all() == ids).all() and r.doc_ids == [1, None]
+    assert (r.get(at) == ids[at]).all() and (r.get(np.arange(5000)) == ids).all() and (r.document(1) == ids[2000:]).all()
+    assert (r.doc_ids, r.shard, r.before, r.crcs()) == ([1, None], 4, 77, [zlib.crc32(ids[:2000].tobytes()), zlib.crc32(ids[2000:].tobytes())])
+    assert len(dac.Reader(dac.encode(ids[:0], [], np.zeros(0, np.int64))).get([])) == 0
+    with pytest.raises(ValueError, match="not a file"):
+        dac.Reader(b"")
+
+
+def test_token_files_are_addressable(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(dac, "ACCESS_IDS", 500)
+    path = f"file://{tmp_path}/t"
+    dac.write_tokens(docs, default_path(WORDS), path)
+    want = []
+    for r in sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")):
+        want += [*lib_ids(WORDS, r["text"]), 2]
+    asked = [0, 5, 5, len(want) - 1, 1234, len(want), -1, None]
+    got = dac.get_tokens(spark, path, spark.createDataFrame([(x,) for x in asked], "place long")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, want[x]) for x in asked if x is not None and 0 <= x < len(want))
+    # a stored code that changes changes what is read
+    at = max(tmp_path.glob("t/part-*"), key=lambda f: f.stat().st_size)
+    before = dac.read_tokens(spark, path).agg(F.sum("ids_crc32")).first()[0]
+    raw = bytearray(at.read_bytes())
+    r = dac.Reader(bytes(raw))
+    raw[raw.find(r.levels[0][1][:64].tobytes())] ^= 1
+    at.write_bytes(bytes(raw))
+    (at.parent / f".{at.name}.crc").unlink(missing_ok=True)
+    assert dac.read_tokens(spark, path).agg(F.sum("ids_crc32")).first()[0] != before
 
 
 def test_packing_holds_limits(docs, none):
     rows = packing.pack(docs, default_path(WORDS), max_tokens=256, max_segments=4, max_loss=250).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
-        by_doc.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["length"]))
+        by_doc.setdefault((r["doc_id"], r["doc_tokens"]), []).append(r)
         by_seq.setdefault(r["sequence_id"], []).append(r)
-    for (_, total), pieces in by_doc.items():
-        covered = sum(n for _, n in pieces)
-        assert covered % total == 0 and min(pieces)[0] == 0
+    whole = {}
+    for r in docs.collect():
+        ids = np.array([*lib_ids(WORDS, r["text"]), 2], "<u4")
+        whole.setdefault((r["doc_id"], len(ids)), []).append(ids)
+    assert set(whole) == set(by_doc)
+    for key, pieces in by_doc.items():
+        crcs = {(a, b): {zlib.crc32(x[a:b].tobytes()) for x in whole[key]} for a, b in {(p["start"], p["start"] + p["length"]) for p in pieces}}
+        assert all(p["ids_crc32"] in crcs[p["start"], p["start"] + p["length"]] for p in pieces)
+        if len(whole[key]) == 1:  # gapless
+            pieces.sort(key=lambda p: p["start"])
+            assert [p["start"] for p in pieces] == [0, *np.cumsum([p["length"] for p in pieces])[:-1].tolist()] and sum(p["length"] for p in pieces) == key[1]
     for seq in by_seq.values():
         seq.sort(key=lambda r: r["offset"])
         assert [r["offset"] for r in seq] == np.concatenate([[0], np.cumsum([r["length"] for r in seq])[:-1]]).tolist()
-        assert sum(r["length"] for r in seq) <= 256 and len(seq) <= 4 and sum(r["loss_tokens"] for r in seq) <= 250
-    assert sum(r["length"] for r in rows) == sum(len(lib_ids(WORDS, r["text"])) + 1 for r in docs.collect())
+        total = sum(r["length"] for r in seq)
+        assert total == 256 or total & (total - 1) == 0  # no padding
+        assert total <= 256 and len(seq) <= 4 and sum(r["loss_tokens"] for r in seq) <= 250
+    assert sum(r["length"] for r in rows) == sum(len(x) for v in whole.values() for x in v)
     assert packing.pack(none, default_path(WORDS)).isEmpty()
 
 
+def test_packing_of_prompts_binds_on_loss(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, rng.randint(1, 60)), prose(rng, rng.randint(0, 200)) if i % 3 else None) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, question string").coalesce(1)
+    got = packing.pack(df, default_path(WORDS), max_tokens=512, max_segments=8, max_loss=100, prompt="question").collect()
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r["sequence_id"], []).append(r)
+    use = [(sum(r["length"] for r in q), len(q), sum(r["loss_tokens"] for r in q)) for q in seqs.values()]
+    assert all(t <= 512 and n <= 8 and k <= 100 and (t == 512 or t & (t - 1) == 0) for t, n, k in use)
+    assert any(k == 100 and t < 512 for t, _, k in use)  # the loss-bearing tokens bind
+    loss = sum(len(lib_ids(WORDS, t)) + 1 - (0 if lib_ids(WORDS, q or "") else 1) for _, t, q in rows)
+    assert sum(k for _, _, k in use) == loss
+    with pytest.raises(ValueError, match="at least 1"):
+        packing.pack(df, default_path(WORDS), max_loss=0)
+
+
+def test_packing_many_tiny_texts_is_linear():
+    import time
+
+    took = []
+    for n in (20_000, 40_000):
+        p = packing.Packer(4096, 512, 4096)
+        began = time.perf_counter()
+        for i in range(n):
+            list(p.add(i, memoryview(b"abcd"), 1, 1))
+        out = list(p.drain(last=True))
+        took.append(time.perf_counter() - began)
+        assert sum(len(x) for x in out) == n
+    assert took[1] < 4 * took[0] + 0.5
+
+
 def test_covering_masks_cover():
     rng = random.Random(1)
     for bits, radius in ((64, 2), (48, 5)):

@@ -416,21 +416,59 @@ def test_toxicity(spark, none):
     assert toxicity.reject(docs, model).columns == docs.columns
 
 
-def test_elias_fano():
-    x = np.sort(np.random.default_rng(3).integers(0, 10**9, 3000))
+@pytest.mark.parametrize(("n", "top"), [(3000, 10**9), (3000, 5000), (1, 7), (700, 2**62)])
+def test_elias_fano(n, top):
+    x = np.sort(np.random.default_rng(3).integers(0, top, n))
     s = elias_fano.Sequence(elias_fano.Sequence.encode(x))
-    assert (s.all() == x).all() and [s.get(i) for i in range(0, 3000, 37)] == x[::37].tolist()
-    assert s.successor(int(x[1500]), 0, 3000) == np.searchsorted(x, x[1500])
-    assert elias_fano.Sequence(elias_fano.Sequence.encode(x[:0])).all().tolist() == []
-
-
-def test_trie_point_and_bulk_access_agree():
-    pairs = np.unique(np.random.default_rng(4).integers(0, 60, (900, 2)), axis=0)
-    t = elias_fano.Trie(elias_fano.Trie.build(pairs[:, 0], pairs[:, 1], -np.arange(len(pairs)) / 300))
-    asked = np.random.default_rng(5).integers(0, 70, (400, 2))
-    bulk = t.find_many(asked[:, 0], asked[:, 1])
-    point = [t.find(int(a), int(b)) for a, b in asked]
-    assert all((p is None and np.isnan(b)) or p == b for p, b in zip(point, bulk, strict=True))
+    assert (s.get(np.arange(n)) == x).all()
+    asked = np.random.default_rng(4).integers(0, top, 500)
+    assert (s.successor(asked, 0, n) == np.searchsorted(x, asked)).all()
+    lo, hi = n // 3, n - n // 4
+    assert (s.successor(asked, lo, hi) == np.clip(np.searchsorted(x, asked), lo, hi)).all()
+    assert elias_fano.Sequence(elias_fano.Sequence.encode(x[:0])).n == 0
+
+
+def test_trie_searches_within_contexts(tmp_path):
+    rng = np.random.default_rng(4)
+    pairs = np.unique(rng.integers(0, 60, (900, 2)), axis=0)
+    contexts, vocabulary = np.unique(rng.integers(0, 10**12, 60)), np.unique(rng.integers(0, 10**12, 60))
+    pairs = pairs[(pairs < min(len(contexts), len(vocabulary))).all(1)]
+    logp, backoff = -np.arange(len(pairs)) / 300, -np.arange(len(contexts)) / 60
+    (tmp_path / "t").write_bytes(elias_fano.Trie.build(contexts, backoff, vocabulary, pairs[:, 0], pairs[:, 1], logp))
+    t = elias_fano.Trie(np.memmap(tmp_path / "t", dtype=np.uint8, mode="r"))
+    more_v, more_w = np.append(contexts, 5).astype(np.uint64), np.append(vocabulary, 10**13).astype(np.uint64)
+    x, y = rng.integers(0, len(more_v), 800), rng.integers(0, len(more_w), 800)
+    lower = -rng.random(len(more_w)) * 5
+    got = t.log_p(more_v, x, more_w, y, lower)
+    held = {(a, b): p for (a, b), p in zip(pairs.tolist(), logp, strict=True)}
+    for a, b, g in zip(x.tolist(), y.tolist(), got, strict=True):
+        want = held[a, b] if (a, b) in held else (backoff[a] if a < len(contexts) else 0) + lower[b]
+        assert abs(g - want) <= 0.026
+
+
+def test_scores_are_read_from_the_stored_trie(spark, docs, monkeypatch):
+    learns = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
+    plain = {(r["doc_id"], r["n_tokens"]): r["score"] for r in language_model.score(docs, learns, ~learns).collect()}
+    stage = language_model.store.stage
+
+    def corrupt(df, name, path=None):
+        out = stage(df, name, path)
+        if name != "lm-model":
+            return out
+
+        def run(batches):
+            for b in batches:
+                images = []
+                for x in b.column(1).to_pylist():
+                    t = elias_fano.Trie(x)
+                    images.append(x[: len(x) - t.raised.n] + bytes(255 - c for c in x[len(x) - t.raised.n :]))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(images, pa.binary()), b.column(2), b.column(3)], names=b.schema.names)
+
+        return out.mapInArrow(run, out.schema)
+
+    monkeypatch.setattr(language_model.store, "stage", corrupt)
+    other = {(r["doc_id"], r["n_tokens"]): r["score"] for r in language_model.score(docs, learns, ~learns).collect()}
+    assert plain.keys() == other.keys() and sum(abs(plain[k] - other[k]) > 0.5 for k in plain) > 30
 
 
 def test_language_model_against_brute_force(spark, docs, none):

@@ -144,8 +144,8 @@ PRINTS, BITS, RADIUS = 3, 48, 5
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of all fingerprints up to which a pair is a candidate: at that similarity they differ in 21 on average, with a deviation of 4.
 LOOSE = 34
-#: Smallest hashes of a set, by which a text first meets the smallest doc_id of its large group.
-LEASTS = 4
+#: Keys of two smallest hashes of a set each, by which a text first meets the smallest doc_id of its large group, and so many next ones.
+LEASTS, BESIDE = 3, 3
 
 
 def _sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +161,7 @@ def _sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0, f1, f2, m0 to m3): independent fingerprints and least hashes of the set of `SHINGLE`-word shingles."""
+    """(doc_id, f0, f1, f2, m0, m1, m2): independent fingerprints, and keys of two least hashes each, of the set of `SHINGLE`-word shingles."""
     low = np.uint64((1 << BITS) - 1)
     names = [*(f"f{k}" for k in range(PRINTS)), *(f"m{k}" for k in range(LEASTS))]
 
@@ -171,11 +171,12 @@ def word_prints(docs: DataFrame) -> DataFrame:
             salted = lambda k: mix64(s ^ np.uint64(0xA0761D6478BD642F * (k + 1) & (2**64 - 1)))  # noqa: E731, B023
             cols = [pa.array((majority(salted(k), bounds) & low).view(np.int64)) for k in range(PRINTS)]
             some = np.diff(bounds) > 0
-            for k in range(PRINTS, PRINTS + LEASTS):
-                least = np.zeros(len(some), dtype=np.uint64)
+            for k in range(LEASTS):
+                key = np.zeros(len(some), dtype=np.uint64)
                 if some.any():
-                    least[some] = np.minimum.reduceat(salted(k), bounds[:-1][some])
-                cols.append(pa.array(least.view(np.int64), mask=~some))
+                    one, two = (np.minimum.reduceat(salted(PRINTS + 2 * k + j), bounds[:-1][some]) for j in (0, 1))
+                    key[some] = mix64(one * np.uint64(0xD6E8FEB86659FD93) + two)
+                cols.append(pa.array(key.view(np.int64), mask=~some))
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *names])
 
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
@@ -240,6 +241,26 @@ def far(f: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(f[i, k] ^ f[j, k]).astype(np.int16) for k in range(f.shape[1]))
 
 
+def beside(batches):
+    """Edges between rows (key, node, prints) and the next `BESIDE` of the same key, in the order given, that differ in at most `LOOSE` bits."""
+    last: list[np.ndarray] = []
+    for batch in batches:
+        cols = [np.asarray(c) for c in batch.columns]
+        old = len(last[0]) if last else 0
+        if last:
+            cols = [np.concatenate(x) for x in zip(last, cols, strict=True)]
+        key, node, f = cols[0], cols[1], np.stack(cols[2:], 1).view(np.uint64)
+        out = [np.zeros((2, 0), np.int64)]
+        for d in range(1, BESIDE + 1):
+            j = np.arange(max(d, old), len(key))
+            j = j[key[j] == key[j - d]]
+            j = j[far(f, j, j - d) <= LOOSE]
+            out.append(np.stack([node[j], node[j - d]]))
+        a, b = np.concatenate(out, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        last = [c[-BESIDE:] for c in cols]
+
+
 def close(key: np.ndarray, label: np.ndarray, f: np.ndarray, most: int):
     """(i, j), i < j, of all rows of one key, but different labels, that differ in at most `most` bits; sorted by key, then label."""
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -269,9 +290,10 @@ def copies(docs: DataFrame) -> DataFrame:
     Two texts are near copies if their sets of `SHINGLE`-word shingles have a similarity of at least `SIMILARITY`. Candidates
     differ in at most `LOOSE` of all `PRINTS` x `BITS` bits and meet in the covering tables of a fingerprint, where every pair
     within `RADIUS` bits of one collides; each is then judged by the texts. All pairs of a bucket are compared but for
-    those that are in one group already: a text is first judged against the smallest doc_id that shares one of its least
-    hashes, so that a large group doesn't give the square of its size. Equal fingerprints are one text.
-    Rows without a doc_id take no part; rows that repeat a doc_id are one document.
+    those that are in one group already: a text is first judged against the smallest doc_id that shares two of its least
+    hashes, and against the next ones that do, so that a large group doesn't give the square of its size. Equal
+    fingerprints are one text. Null and empty texts are equal texts, very long ones are read whole, rows without a doc_id take no
+    part, and rows that repeat a doc_id are one document. No documents give no rows.
     """
     docs = docs.where("doc_id is not null")
     names = [f"f{k}" for k in range(PRINTS)]
@@ -284,7 +306,8 @@ def copies(docs: DataFrame) -> DataFrame:
     hub = met.groupBy("k", "m").agg(F.min(F.struct("node", *names)).alias("h"), F.count("*").alias("n")).where("n > 1").select("k", "m", "h")
     bits = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"h.{n}"))) for n in names), F.lit(0))
     first = met.join(hub, ["k", "m"]).where((F.col("node") != F.col("h.node")) & (bits <= LOOSE))
-    sure = components(verified(first.select(F.col("node").alias("a"), F.col("h.node").alias("b")), docs), "copies")
+    next_ones = met.select("m", "node", *names).repartitionByRange("m", "node").sortWithinPartitions("m", "node").mapInArrow(beside, EDGES)
+    sure = components(verified(first.select(F.col("node").alias("a"), F.col("h.node").alias("b")).union(next_ones), docs), "copies")
     named = nodes.join(sure, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *names)
 
     family = masks(BITS, RADIUS)

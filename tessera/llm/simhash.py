@@ -135,6 +135,7 @@ def near_groups(prints: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row of `documents`."""
     return near_groups(xxh_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
@@ -142,8 +143,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRINTS, BITS, RADIUS = 3, 48, 5
 #: Words of a shingle, and the similarity from which two texts count as near copies.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits of all fingerprints up to which a pair is a candidate: at that similarity they differ in 21 on average, with a deviation of 4.
-LOOSE = 34
+#: Hash functions of a sketch, and bins of each, of whose least hash it has a bit: 192 bits, of which two texts differ in half of (1 - similarity).
+ROUNDS, BINS = 16, 12
+#: Bits of the sketch up to which a pair is a candidate: at that similarity they differ in 19 on average, with a deviation of 4 to 5.
+LOOSE = 32
 #: Keys of two smallest hashes of a set each, by which a text first meets the smallest doc_id of its large group, and so many next ones.
 LEASTS, BESIDE = 3, 3
 
@@ -160,10 +163,35 @@ def _sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return s[fresh], np.concatenate([[0], np.cumsum(np.bincount(of[fresh], minlength=len(bounds) - 1))]).astype(np.int64)
 
 
+def sketch(s: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """n x 3 words: of each text's shingle set, for each of `ROUNDS` hashes, a bit of the least one in each of `BINS` bins.
+
+    An empty bin takes the least hash of the next one that is not; a text without shingles has zeros.
+    """
+    bits = np.zeros((n, ROUNDS * BINS), dtype=np.uint8)
+    none = np.uint64(2**64 - 1)
+    for k in range(ROUNDS):
+        h = mix64(s ^ np.uint64(0x8EBC6AF09C88C6E3 * (k + 1) & (2**64 - 1)))
+        least = np.full(n * BINS, none, dtype=np.uint64)
+        np.minimum.at(least, of * BINS + (h % np.uint64(BINS)).astype(np.int64), h)
+        least = least.reshape(n, BINS)
+        for _ in range(BINS - 1):
+            empty = least == none
+            if not empty.any():
+                break
+            least = np.where(empty, np.roll(least, -1, axis=1), least)
+        bits[:, k * BINS : (k + 1) * BINS] = (mix64(least + np.arange(BINS, dtype=np.uint64)) >> np.uint64(32)) & np.uint64(1)
+    bits[np.bincount(of, minlength=n) == 0] = 0
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+F_NAMES, S_NAMES, M_NAMES = [f"f{k}" for k in range(PRINTS)], [f"s{k}" for k in range(ROUNDS * BINS // 64)], [f"m{k}" for k in range(LEASTS)]
+
+
 def word_prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0, f1, f2, m0, m1, m2): independent fingerprints, and keys of two least hashes each, of the set of `SHINGLE`-word shingles."""
+    """(doc_id, f0.., s0.., m0..): independent fingerprints, the sketch, and keys of two least hashes each, of the set of `SHINGLE`-word shingles."""
     low = np.uint64((1 << BITS) - 1)
-    names = [*(f"f{k}" for k in range(PRINTS)), *(f"m{k}" for k in range(LEASTS))]
+    names = [*F_NAMES, *S_NAMES, *M_NAMES]
 
     def run(batches):
         for batch in slices(batches, limit=1_000_000):
@@ -171,6 +199,7 @@ def word_prints(docs: DataFrame) -> DataFrame:
             salted = lambda k: mix64(s ^ np.uint64(0xA0761D6478BD642F * (k + 1) & (2**64 - 1)))  # noqa: E731, B023
             cols = [pa.array((majority(salted(k), bounds) & low).view(np.int64)) for k in range(PRINTS)]
             some = np.diff(bounds) > 0
+            cols += [pa.array(x.view(np.int64)) for x in sketch(s, np.repeat(np.arange(len(some)), np.diff(bounds)), len(some)).T.copy()]
             for k in range(LEASTS):
                 key = np.zeros(len(some), dtype=np.uint64)
                 if some.any():
@@ -288,38 +317,37 @@ def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, keeper) of documents that are near copies of another, where keeper, the smallest doc_id of the group, differs.
 
     Two texts are near copies if their sets of `SHINGLE`-word shingles have a similarity of at least `SIMILARITY`. Candidates
-    differ in at most `LOOSE` of all `PRINTS` x `BITS` bits and meet in the covering tables of a fingerprint, where every pair
-    within `RADIUS` bits of one collides; each is then judged by the texts. All pairs of a bucket are compared but for
+    meet in the covering tables of a fingerprint, where every pair within `RADIUS` bits of one collides, and differ in at
+    most `LOOSE` bits of their sketches; each is then judged by the texts. All pairs of a bucket are compared but for
     those that are in one group already: a text is first judged against the smallest doc_id that shares two of its least
     hashes, and against the next ones that do, so that a large group doesn't give the square of its size. Equal
     fingerprints are one text. Null and empty texts are equal texts, very long ones are read whole, rows without a doc_id take no
     part, and rows that repeat a doc_id are one document. No documents give no rows.
     """
     docs = docs.where("doc_id is not null")
-    names = [f"f{k}" for k in range(PRINTS)]
-    leasts = [f"m{k}" for k in range(LEASTS)]
     prints = store.stage(word_prints(docs), "prints")
-    nodes = store.stage(prints.groupBy(*names).agg(F.min("doc_id").alias("node"), *(F.min(m).alias(m) for m in leasts)), "print-nodes")
+    nodes = store.stage(prints.groupBy(*F_NAMES).agg(F.min("doc_id").alias("node"), *(F.min(m).alias(m) for m in (*S_NAMES, *M_NAMES))), "print-nodes")
 
-    one = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(m).alias("m")) for k, m in enumerate(leasts)])).alias("x")
-    met = nodes.select("node", *names, one).select("node", *names, "x.k", "x.m").where("m is not null")
-    hub = met.groupBy("k", "m").agg(F.min(F.struct("node", *names)).alias("h"), F.count("*").alias("n")).where("n > 1").select("k", "m", "h")
-    bits = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"h.{n}"))) for n in names), F.lit(0))
+    one = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(m).alias("m")) for k, m in enumerate(M_NAMES)])).alias("x")
+    met = nodes.select("node", *S_NAMES, one).select("node", *S_NAMES, "x.k", "x.m").where("m is not null")
+    hub = met.groupBy("k", "m").agg(F.min(F.struct("node", *S_NAMES)).alias("h"), F.count("*").alias("n")).where("n > 1").select("k", "m", "h")
+    bits = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"h.{n}"))) for n in S_NAMES), F.lit(0))
     first = met.join(hub, ["k", "m"]).where((F.col("node") != F.col("h.node")) & (bits <= LOOSE))
-    next_ones = met.select("m", "node", *names).repartitionByRange("m", "node").sortWithinPartitions("m", "node").mapInArrow(beside, EDGES)
+    next_ones = met.select("m", "node", *S_NAMES).repartitionByRange("m", "node").sortWithinPartitions("m", "node").mapInArrow(beside, EDGES)
     sure = components(verified(first.select(F.col("node").alias("a"), F.col("h.node").alias("b")).union(next_ones), docs), "copies")
-    named = nodes.join(sure, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *names)
+    named = nodes.join(sure, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *F_NAMES, *S_NAMES)
 
     family = masks(BITS, RADIUS)
     salt = [mix64(np.uint64(1 + t) * np.ones(1, np.uint64))[0] for t in range(PRINTS * len(family))]
 
     def deal(batches):
         for batch in batches:
-            node, label, f = batch.column(0), batch.column(1), [np.asarray(batch.column(2 + k)).view(np.uint64) for k in range(PRINTS)]
+            f = [np.asarray(batch.column(2 + k)).view(np.uint64) for k in range(PRINTS)]
+            rest = [batch.column(0), batch.column(1), *batch.columns[2 + PRINTS :]]
             for k in range(PRINTS):
                 for t, m in enumerate(family):
                     key = mix64((f[k] & np.uint64(m)) ^ salt[k * len(family) + t])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), node, label, *(pa.array(x.view(np.int64)) for x in f)], names=["key", "node", "label", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *rest], names=["key", "node", "label", *S_NAMES])
 
     def meet(batches):
         """Rows of a partition, sorted by key and label: all candidates of different labels."""
@@ -340,12 +368,12 @@ def copies(docs: DataFrame) -> DataFrame:
             if found:
                 yield put(found)
 
-    fields = ", ".join(f"{n} long" for n in ("key", "node", "label", *names))
+    fields = ", ".join(f"{n} long" for n in ("key", "node", "label", *S_NAMES))
     dealt = named.mapInArrow(deal, fields).repartition("key").sortWithinPartitions("key", "label")
     rest = verified(dealt.mapInArrow(meet, EDGES), docs)
     of = components(rest.union(sure.select(F.col("node").alias("a"), F.col("component").alias("b"))), "copies")
-    keeper = nodes.join(of, "node", "left").select(*names, F.coalesce("component", "node").alias("keeper"))
-    return prints.join(keeper, names).where("doc_id <> keeper").select("doc_id", "keeper")
+    keeper = nodes.join(of, "node", "left").select(*F_NAMES, F.coalesce("component", "node").alias("keeper"))
+    return prints.join(keeper, F_NAMES).where("doc_id <> keeper").select("doc_id", "keeper")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ WIDTH, CENTRES = 2, 16
 LEAST_COSINE = 0.2
 #: Candidates reranked for each query and block at least, and the approximate score under the last of the nearest up to which all others are.
 RERANK, MARGIN = 64, 0.12
-#: Vectors and queries that meet in one task.
-DATA_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Vectors and queries that meet in one task: a vector is sent once for each block of queries, a query once for each of vectors.
+DATA_BLOCK, QUERY_BLOCK = 32_768, 8192
 
 
 @dataclass
@@ -91,16 +91,17 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     """(query_id, rank, vec_id, score): the k nearest by cosine of every valid row where `is_query` (over vec_id) holds.
 
     Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor does a row without an id.
-    Vectors meet only vectors of their own length. A row that repeats an id is a candidate again. Equal vectors are one
-    class, of which the k + 1 smallest ids stand for all, as no more of it can be among a query's k nearest; copies
+    Vectors meet only vectors of their own length. Rows that share an id are one query and one candidate: the score of two ids is
+    the largest of their vectors', and an id is never its own neighbour. Ties go to the smaller id. Other columns are ignored;
+    without valid vectors or queries there are no rows. Equal vectors are one class, of which the k + 1 smallest ids stand for all, as no more of it can be among a query's k nearest; copies
     are cut to that many before any shuffle. Codes and vectors are dealt out in blocks, each of which meets each block of
     queries; a task scans the codes by four-bit tables, reranks exactly and gives k rows a query.
     """
     spark = vectors.sparkSession
     valid = _valid(vectors, id_col, vector_col)
     by_vector = Window.partitionBy("v").orderBy("vec_id")
-    classes = valid.withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    queries = valid.where(is_query)
+    classes = valid.withColumn("r", F.dense_rank().over(by_vector)).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    queries = valid.where(is_query).distinct()
     sizes = {r["dim"]: (r["n"], r["q"]) for r in valid.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.coalesce(is_query.cast("long"), F.lit(0))).alias("q")).collect()}
     out = None
     for dim, (n, nq) in sorted(sizes.items()):
@@ -114,6 +115,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
         out = part if out is None else out.union(part)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return out.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -152,6 +154,7 @@ def _dim(classes: DataFrame, queries: DataFrame, q: Quantiser, dim: int, k: int,
             columns = np.ascontiguousarray(codes.T)
             flat, owner = np.array([i for x in ids for i in x]), np.repeat(np.arange(len(ids)), [len(x) for x in ids])
             first = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            # an id's k nearest are among the k nearest of each of its vectors
             for key, raw in sorted(zip(right.column("query_id").to_pylist(), right.column("v").to_pylist(), strict=True)):
                 y = np.frombuffer(raw, dtype=np.float64)
                 size = np.linalg.norm(y)
@@ -172,7 +175,9 @@ def _dim(classes: DataFrame, queries: DataFrame, q: Quantiser, dim: int, k: int,
                 values = np.repeat(exact, first[pick + 1] - first[pick])
                 other = flat[spread] != key
                 found, values = flat[spread][other], values[other]
-                best = np.lexsort((found, -values))[:k]
+                # an id with several vectors may be found several times: its first is its best
+                best = np.lexsort((found, -values))
+                best = best[np.sort(np.unique(found[best], return_index=True)[1])[:k]]
                 out[0] += [key] * len(best)
                 out[1] += found[best].tolist()
                 out[2] += values[best].tolist()
@@ -182,4 +187,5 @@ def _dim(classes: DataFrame, queries: DataFrame, q: Quantiser, dim: int, k: int,
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest by cosine of every row of `embeddings` whose vec_id is divisible by 50, among all rows."""
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)

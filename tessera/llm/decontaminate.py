@@ -226,7 +226,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, without a leak; checked in place."""
+    """The rows of `docs`, all columns, without a leak; checked in place. Null and empty texts stay, repeated rows share their fate, and
+    very long texts are read whole; a text shorter than an item is compared whole, so that most of an item is a leak too."""
     at = docs.columns.index("text")
     for ids, texts in item_slices(benchmark):
 
@@ -242,5 +243,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best windows of every row of `documents` for each item of `benchmark` at or over the similarity."""
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return find_leaks(docs, bench)

@@ -186,7 +186,11 @@ def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows, per_class: int = SAMPLE) -> Rules:
-    """Train on the statistics of up to `per_class` labelled rows of each class; only labels where `train_rows` holds are read."""
+    """Train on the statistics of up to `per_class` labelled rows of each class; only labels where `train_rows` holds are read.
+
+    A null doc_id or label takes no part, of several labels the largest counts, repeated rows count again, and with no labels or
+    one class alone the rules are empty.
+    """
     rows = labels.where(train_rows).where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("y")).where(F.col("y").isin(0, 1))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     some = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
@@ -196,12 +200,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows, per_class: int = SAMPLE)
 
 
 def score(docs: DataFrame, rules: Rules, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, score, predicted) for each row."""
+    """(doc_id, score, predicted) for each row, repeated and null doc_ids too. A null text is an empty one, whose statistics are zeros;
+    very long texts are read whole; other columns are ignored; no documents give no rows."""
     s = with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").select("doc_id", rules.score().alias("score"))
     return s.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every row of `documents`, learnt from labels whose crc32(doc_id) mod 4 is not 2."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     rules = fit(docs, labels, fold("doc_id", 4) != 2)
     return score(docs, rules).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")

@@ -339,7 +339,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows, per_class: int = SAMPLE)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, score, predicted) for each row, in place. A null text is an empty one; without a model all score 0."""
+    """(doc_id, score, predicted) for each row, in place, repeated and null doc_ids too. A null text is an empty one; very long texts
+    are read whole; other columns are ignored; without a model all score 0; no documents give no rows."""
 
     def run(batches):
         s = scorer(model)
@@ -363,6 +364,7 @@ def reject(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> Data
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every row of `documents`, learnt from labels whose crc32(doc_id) mod 3 is not 1."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = fit(docs, labels, fold("doc_id", 3) != 1)
     return score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")

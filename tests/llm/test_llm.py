@@ -1,6 +1,7 @@
 """Operators against brute force and round trips on small fixtures, with nulls, empty and long texts, ties, repeats and empty tables."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -524,3 +525,76 @@ def test_nearest_neighbours(spark):
     assert set(got) == set(range(0, 700, 50)) and right >= 0.9 * 5 * 14
     assert [got[300][k][0] for k in range(1, 6)] == [301, 302, 303, 304, 305]
     assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).isEmpty()
+
+
+def test_repeated_ids_are_one_query_and_one_candidate(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (0, x[7].tolist()), (5, x[9].tolist()), (5, x[5].tolist())]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    for q in (0, 50):
+        best = {}
+        for i, v in rows:
+            for j, w in rows:
+                if i == q and j != q:
+                    best[j] = max(best.get(j, -9), round(float(unit(v) @ unit(w)), 12))
+        want = sorted(best, key=lambda j: (-best[j], j))[:5]
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
+def test_fingerprints_against_brute_force(spark, docs):
+    import xxhash
+
+    want = Counter()
+    for r in docs.collect():
+        w = re.findall("[^\\x20\\x09-\\x0d]+", (r["text"] or "").translate({i: i + 32 for i in range(65, 91)}))
+        s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+        want[r["doc_id"], sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))] += 1
+    assert Counter((r["doc_id"], r["fp"] % 2**64) for r in simhash.xxh_fingerprints(docs).collect()) == want
+
+
+def test_rules_as_columns_equal_their_matrix(spark, docs):
+    rng = random.Random(12)
+    rows = [(i, t.upper() + " $$$ ###" if i % 3 == 0 else t) for i in range(200) for t in [prose(rng, rng.randint(1, 60))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = quality.fit(df, spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)], "doc_id long, quality int"), F.lit(True))
+    assert rules.rules
+    texts = [t for _, t in rows] + ["", None, prose(rng, 20_000)]
+    x = quality.statistics(pa.array(texts))
+    want = 1 / (1 + np.exp(-(rules.matrix(x) @ np.array(rules.weights) + rules.intercept)))
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rules).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], want)
+    t = texts[0]
+    by_hand = [np.log1p(len(t.encode())), np.log1p(len(t.split())), np.mean([len(w) for w in t.split()]), sum(c.isupper() for c in t) / len(t)]
+    assert np.allclose(x[0][:4], by_hand)
+
+
+def test_toxicity_against_brute_force(spark):
+    import zstandard
+
+    rng = random.Random(15)
+    bad = ["slurword", "vileterm", "badnoun"]
+    sample = [(" ".join(rng.choice(bad) if y and rng.random() < 0.2 else w for w in prose(rng, 50, 3000).split()), y) for y in (0, 1) for _ in range(150)]
+    model = toxicity.train(sample, 0.5)
+    # each dictionary holds words of its own class
+    assert b"slurword" in model.toxic and b"slurword" not in model.ordinary and len(model.toxic) == len(model.ordinary) and model.ordinary.count(b" w") > 100
+    texts = [t for t, _ in sample[:20] + sample[-20:]] + ["", "x", "Slurword\n\tVILETERM", prose(rng, 5000)]
+
+    def size(content, window):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        p = zstandard.ZstdCompressionParameters(window_log=14, hash_log=14, chain_log=14, search_log=4, min_match=5, target_length=8, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d.precompute_compress(compression_params=p)
+        return len(zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress(window))
+
+    got = toxicity.Scorer(model)(pa.array(texts))
+    for t, score in zip(texts, got, strict=True):
+        raw = t.translate({i: i + 32 for i in range(65, 91)}).translate(dict.fromkeys(range(9, 14), 32)).encode()
+        starts = [] if not raw else [0] if len(raw) <= 48 else [min(24 * k, len(raw) - 48) for k in range(-(-(len(raw) - 48) // 24) + 1)]
+        lead = model.toxic[-64:-48]
+        llr = [model.odds[min(max(size(model.ordinary, lead + raw[a : a + 48]) - size(model.toxic, lead + raw[a : a + 48]), -8), 12) + 8] for a in starts]
+        total = sum(llr)
+        x = [np.sign(total) * np.log1p(abs(total)), total / max(1, len(llr)), max(llr, default=0), np.log1p(len(llr)), *(np.log1p(sum(v > b for v in llr)) for b in (0.5, 1.5, 2.5))]
+        z = float(np.array(x) / model.scale @ model.coef[:-1] + model.coef[-1])
+        assert abs(score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9

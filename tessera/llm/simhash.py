@@ -146,7 +146,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Hash functions of a sketch, and bins of each, of whose least hash it has a bit: 192 bits, of which two texts differ in half of (1 - similarity).
 ROUNDS, BINS = 16, 12
 #: Bits of the sketch up to which a pair is a candidate: at that similarity they differ in 19 on average, with a deviation of 4 to 5.
-LOOSE = 32
+LOOSE = 31
 #: Keys of two smallest hashes of a set each, by which a text first meets the smallest doc_id of its large group, and so many next ones.
 LEASTS, BESIDE = 3, 3
 
@@ -338,20 +338,26 @@ def copies(docs: DataFrame) -> DataFrame:
     named = nodes.join(sure, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *F_NAMES, *S_NAMES)
 
     family = masks(BITS, RADIUS)
-    salt = [mix64(np.uint64(1 + t) * np.ones(1, np.uint64))[0] for t in range(PRINTS * len(family))]
 
     def deal(batches):
         for batch in batches:
-            f = [np.asarray(batch.column(2 + k)).view(np.uint64) for k in range(PRINTS)]
+            f = [np.asarray(batch.column(2 + k)) for k in range(PRINTS)]
             rest = [batch.column(0), batch.column(1), *batch.columns[2 + PRINTS :]]
-            for k in range(PRINTS):
-                for t, m in enumerate(family):
-                    key = mix64((f[k] & np.uint64(m)) ^ salt[k * len(family) + t])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *rest], names=["key", "node", "label", *S_NAMES])
+            for table in range(PRINTS * len(family)):
+                yield pa.RecordBatch.from_arrays([pa.array(f[table // len(family)] << 8 | table), *rest], names=["at", "node", "label", *S_NAMES])
 
     def meet(batches):
-        """Rows of a partition, sorted by key and label: all candidates of different labels."""
-        for key, node, label, *own in runs(batches):
+        """Rows of a partition, sorted by table, masked fingerprint and label: all candidates of different labels, each in the
+        first of a fingerprint's tables where it meets."""
+        bits = np.array(family, dtype=np.int64)
+
+        def keyed():
+            for batch in batches:
+                at = np.asarray(batch.column(0))
+                key = (at >> 8 & bits[(at & 255) % len(family)]) << 8 | at & 255
+                yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names=["key", *batch.schema.names])
+
+        for key, at, node, label, *own in runs(keyed()):
             found, n = [], 0
 
             def put(found):
@@ -359,6 +365,11 @@ def copies(docs: DataFrame) -> DataFrame:
                 return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
             for i, j in close(key, label, np.stack(own, 1).view(np.uint64), LOOSE):
+                apart, table = at[i] >> 8 ^ at[j] >> 8, (at[i] & 255) % len(family)
+                first = np.ones(len(i), dtype=bool)
+                for t, m in enumerate(family[:-1]):
+                    first &= (t >= table) | (apart & m != 0)
+                i, j = i[first], j[first]
                 if len(i):
                     found.append(np.sort(np.stack([node[i], node[j]]), axis=0))
                     n += len(i)
@@ -368,8 +379,10 @@ def copies(docs: DataFrame) -> DataFrame:
             if found:
                 yield put(found)
 
-    fields = ", ".join(f"{n} long" for n in ("key", "node", "label", *S_NAMES))
-    dealt = named.mapInArrow(deal, fields).repartition("key").sortWithinPartitions("key", "label")
+    fields = ", ".join(f"{n} long" for n in ("at", "node", "label", *S_NAMES))
+    table = F.col("at").bitwiseAND(F.lit(255))
+    masked = F.shiftright("at", 8).bitwiseAND(F.element_at(F.array(*[F.lit(m) for _ in range(PRINTS) for m in family]), (table + 1).cast("int")))
+    dealt = named.mapInArrow(deal, fields).repartition(F.xxhash64(table, masked)).sortWithinPartitions(table, masked, "label")
     rest = verified(dealt.mapInArrow(meet, EDGES), docs)
     of = components(rest.union(sure.select(F.col("node").alias("a"), F.col("component").alias("b"))), "copies")
     keeper = nodes.join(of, "node", "left").select(*F_NAMES, F.coalesce("component", "node").alias("keeper"))

@@ -75,6 +75,16 @@ def phase(c: Column) -> Column:
     return F.when(F.lower(F.trim(c)).isin("1", "2", "3", "r"), F.lower(F.trim(c)))
 
 
+def three_pairs(c: Column) -> Column:
+    """F8: a code of pairs filled with zeros to three of them."""
+    return F.when(F.length(c) < 6, F.rpad(c, 6, "0")).otherwise(c)
+
+
+def counted(n: Column, word: str) -> Column:
+    """a number with its word, in the plural but for one."""
+    return F.concat(n.cast("string"), F.lit(" " + word), F.when(n == 1, "").otherwise("s"))
+
+
 def in_range(first: Column, start: Column, end: Column) -> Column:
     """1 <= first <= start <= end."""
     return (first >= 1) & (first <= start) & (start <= end)

@@ -36,16 +36,25 @@ def reachable(edges: DataFrame, source: str, target: str, most: int = 64) -> Dat
 
 
 def levels(edges: DataFrame, nodes: DataFrame, node: str, before: str, most: int = 1000) -> DataFrame:
-    """The order level of each node after all it waits on; a cycle refuses."""
-    done, level, left = None, 0, nodes.select(node).distinct()
-    while not left.isEmpty():
-        blocked = edges.join(left.select(F.col(node).alias(before)), before, "left_semi").select(node).distinct()
-        ready = left.join(blocked, node, "left_anti").withColumn("level", F.lit(level))
-        if ready.isEmpty() or level > most:
-            raise ValueError("a cycle of waits")
-        done = ready if done is None else done.union(ready)
-        left, level = left.join(ready, node, "left_anti"), level + 1
-    return done if done is not None else nodes.select(node, F.lit(0).alias("level")).limit(0)
+    """The order level of each node after all it waits on; a cycle refuses.
+
+    A node's level is one over the largest of those it waits on: each round raises levels along the edges and is
+    checkpointed (or kept in memory where no folder is set), until none rises; more rounds than nodes mean a cycle.
+    """
+    spark = edges.sparkSession
+    keep = spark.sparkContext.getCheckpointDir() is not None
+    cut = lambda df: df.checkpoint() if keep else df.persist()
+    edges = cut(edges.select(node, before).distinct())
+    now = cut(nodes.select(node).distinct().withColumn("level", F.lit(0)))
+    limit = min(most, now.count())
+    for _ in range(limit + 1):
+        raised = edges.join(now.select(F.col(node).alias(before), (F.col("level") + 1).alias("_up")), before).groupBy(node).agg(F.max("_up").alias("_up"))
+        nxt = cut(now.join(raised, node, "left").select(node, F.greatest("level", F.coalesce("_up", F.lit(0))).alias("level"), (F.coalesce("_up", F.lit(0)) > F.col("level")).alias("_rose")))
+        rose = nxt.where("_rose").limit(1).count()
+        now = nxt.select(node, "level")
+        if not rose:
+            return now
+    raise ValueError("a cycle of waits")
 
 
 def covered_prefix(code: Column) -> Column:

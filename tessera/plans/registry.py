@@ -139,9 +139,9 @@ def _(s, d):
     return table(s, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("kept")).where("copies > 1")
 
 
-@query("a6_unique_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+@query("a6_unique_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n, min(l_partkey) AS one, max(l_partkey) AS other FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def _(s, d):
-    return table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    return table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.min("l_partkey").alias("one"), F.max("l_partkey").alias("other")).where("n > 1")
 
 
 @query("a7_sums", "SELECT p_brand, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
@@ -364,9 +364,13 @@ def _(s, d):
     return R.select_units(table(s, d, "part"), F.col("p_size") > 10, (F.col("p_brand"), ["Brand#11", "Brand#12", "Brand#13"]), (F.col("p_type"), ["S*", "*[!A-M]"])).select("p_partkey")
 
 
-@query("p11_violations", "SELECT 'size' AS rule, count(*) AS offenders FROM part WHERE NOT p_size < 40 HAVING count(*) > 0 UNION ALL SELECT 'price', count(*) FROM part WHERE NOT p_retailprice < 1500 HAVING count(*) > 0")
+@query(
+    "p11_violations",
+    """WITH b AS (SELECT 'size' AS rule, CAST(p_partkey AS VARCHAR) AS k FROM part WHERE NOT p_size < 40 UNION ALL SELECT 'price', CAST(p_partkey AS VARCHAR) FROM part WHERE NOT p_retailprice < 1500),
+    r AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY k) AS n FROM b) SELECT rule, count(*) AS offenders, string_agg(k, ', ' ORDER BY k) FILTER (WHERE n <= 5) AS named FROM r GROUP BY 1""",
+)
 def _(s, d):
-    return R.violations(table(s, d, "part"), {"size": F.col("p_size") < 40, "price": F.col("p_retailprice") < 1500}, F.col("p_partkey").cast("string")).select("rule", "offenders")
+    return R.violations(table(s, d, "part"), {"size": F.col("p_size") < 40, "price": F.col("p_retailprice") < 1500}, F.col("p_partkey").cast("string")).select("rule", "offenders", "named")
 
 
 @query("o1_rank_order", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 999 END, o_orderkey) AS BIGINT) AS place FROM orders")
@@ -452,9 +456,11 @@ def _(s, d):
     return n.join(table(s, d, "customer").where("c_acctbal > 0"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("r_name").agg(F.countDistinct("c_custkey").alias("companies"))
 
 
-@query("r17_newest_twenty", "SELECT user_id, count(*) > 20 AS cut, least(count(*), 20) AS shown FROM events GROUP BY 1")
+@query("r17_newest_twenty", "SELECT user_id, event_id, cut FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, count(*) OVER (PARTITION BY user_id) > 20 AS cut FROM events) WHERE n <= 20")
 def _(s, d):
-    return table(s, d, "events").groupBy("user_id").agg((F.count("*") > 20).alias("cut"), F.least(F.count("*"), F.lit(20)).alias("shown"))
+    w = Window.partitionBy("user_id")
+    e = table(s, d, "events").withColumn("n", F.row_number().over(w.orderBy(F.desc("ts"), F.desc("event_id")))).withColumn("cut", F.count("*").over(w) > 20)
+    return e.where("n <= 20").select("user_id", "event_id", "cut")
 
 
 @query("r20_tombstones", "SELECT user_id FROM (SELECT user_id, arg_max(event_type, struct_pack(t := ts, i := event_id)) AS s FROM events GROUP BY 1) WHERE s <> 'refund'")

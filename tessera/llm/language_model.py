@@ -15,7 +15,7 @@ from tessera.llm.toxicity import fold
 from tessera.llm.words import mix64, slices, words
 
 #: Text bytes of a batch, whose words are looked up together.
-BATCH = 6_000_000
+BATCH = 8_000_000
 #: Tokens of a shard at most, on average.
 SHARD_TOKENS = 2_000_000
 #: A context's weight of the lower order is its count to this power.
@@ -25,14 +25,14 @@ END = np.uint64(0x5EED5EED5EED5EED)
 BEGIN_ID = 0
 
 BLOBS = "batch long, shard int, blob binary"
-#: A shard of the model with what is asked of it: `image` is the trie.
+#: A shard of the model with what is asked of it: `image` is the trie. Under a shard below zero, batches' own rows go along.
 SHARDS = "shard int, image binary, batches array<long>, asks array<binary>"
 
 
 def _pack(x) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=4).compress(pickle.dumps(x, protocol=5))
+    return zstandard.ZstdCompressor(level=9).compress(pickle.dumps(x, protocol=5))
 
 
 def _unpack(b):
@@ -184,24 +184,29 @@ def build_shard(asks: list[bytes]) -> bytes:
         return Trie.build(kept, np.log10(m / total)[some], vocabulary, place[x], y, np.log10((count + m[x] * 10 ** p[y]) / total[x]))
 
 
-def shards(asked: DataFrame) -> DataFrame:
+def shards(asked: DataFrame, many: int) -> DataFrame:
     """The stored model: for each shard its trie, beside what the batches ask of it."""
 
     def build(group: pa.Table) -> pa.Table:
-        parts = sorted(zip(group.column("batch").to_pylist(), group.column("blob").to_pylist(), strict=True))
-        asks = [b for _, b in parts]
-        cols = [group.column("shard").combine_chunks().slice(0, 1), pa.array([build_shard(asks)], pa.binary()), pa.array([[b for b, _ in parts]], pa.list_(pa.int64())), pa.array([asks], pa.list_(pa.binary()))]
+        parts = sorted(zip(group.column("batch").to_pylist(), group.column("shard").to_pylist(), group.column("blob").to_pylist(), strict=True))
+        asks, shard = [x[2] for x in parts], parts[0][1]
+        cols = [pa.array([shard], pa.int32()), pa.array([build_shard(asks) if shard >= 0 else None], pa.binary()), pa.array([[x[0] for x in parts]], pa.list_(pa.int64())), pa.array([asks], pa.list_(pa.binary()))]
         return pa.Table.from_arrays(cols, names=["shard", "image", "batches", "asks"])
 
-    return asked.groupBy("shard").applyInArrow(build, SHARDS)
+    to = F.when(F.col("shard") < 0, -1 - F.pmod("batch", F.lit(many))).otherwise(F.col("shard"))
+    return asked.withColumn("to", to).groupBy("to").applyInArrow(lambda t: build(t.select(["batch", "shard", "blob"])), SHARDS)
 
 
 def answers(model: DataFrame) -> DataFrame:
-    """For each batch and shard, the sums of log-probabilities of the batch's documents, read from the shard's stored trie."""
+    """For each batch and shard, the sums of log-probabilities of the batch's documents, read from the shard's stored trie; batches' own rows as they are."""
 
     def run(batches):
         for batch in batches:
             for shard, image, asking, asks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if shard < 0:
+                    for b, blob in zip(asking, asks.values, strict=True):
+                        yield _rows([(b, shard, blob.as_py())])
+                    continue
                 trie = Trie(image.as_buffer())
                 for b, blob in zip(asking, asks.values, strict=True):
                     contexts, _, vocabulary, p, x, y, many, of, learn = _asked(blob.as_py())
@@ -271,10 +276,8 @@ def score(docs: DataFrame, learns, held_out) -> DataFrame:
         cols = [pa.array(ids, pa.int64()), pa.array(total.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(out)]
         return pa.Table.from_arrays(cols, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    asked = store.stage(table.groupBy("batch").cogroup(counted.where("batch >= 0").groupBy("batch")).applyInArrow(bigrams, BLOBS), "lm-asked")
-    model = store.stage(shards(asked.where("shard >= 0")), "lm-model")
-    answered = answers(model).union(asked.where("shard < 0"))
-    out = answered.groupBy("batch").applyInArrow(gather, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    asked = table.groupBy("batch").cogroup(counted.where("batch >= 0").groupBy("batch")).applyInArrow(bigrams, BLOBS)
+    out = answers(store.stage(shards(asked, many), "lm-model")).groupBy("batch").applyInArrow(gather, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

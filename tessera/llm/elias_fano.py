@@ -45,6 +45,29 @@ class Sequence:
             at += size
         self.lows, self.high, self.ranks, self.select = views
         self.end = at
+        self.top = int(self.get(np.array([self.n - 1]))[0]) >> self.low if self.n else 0
+
+    @staticmethod
+    def _nth(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th one of each word."""
+        place = np.zeros(len(x), dtype=np.int64)
+        for width in (32, 16, 8, 4, 2, 1):
+            part = x & ((_ONE << np.uint64(width)) - _ONE)
+            ones = np.bitwise_count(part)
+            on = k >= ones
+            k = k - ones * on
+            x = np.where(on, x >> np.uint64(width), part)
+            place += width * on
+        return place
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        """Low bits of the elements at the given places."""
+        if not self.low:
+            return np.zeros(len(i), dtype=np.uint64)
+        bit = i * self.low
+        at, skip = bit >> 6, (bit & 63).astype(np.uint64)
+        more = (self.lows[at + 1] << _ONE) << (np.uint64(63) - skip)
+        return ((self.lows[at] >> skip) | more) & ((_ONE << np.uint64(self.low)) - _ONE)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The elements at the given places: each from the select directory on, then its low bits; no other is decoded."""
@@ -55,35 +78,40 @@ class Sequence:
             if not len(late):
                 break
             word[late] += 1
-        x, k = self.high[word], i - self.ranks[word]
-        place = word << 6
-        for width in (32, 16, 8, 4, 2, 1):
-            part = x & ((_ONE << np.uint64(width)) - _ONE)
-            ones = np.bitwise_count(part)
-            on = k >= ones
-            k = k - ones * on
-            x = np.where(on, x >> np.uint64(width), part)
-            place += width * on
-        out = (place - i).astype(np.uint64) << np.uint64(self.low)
-        if self.low:
-            bit = i * self.low
-            at, skip = bit >> 6, (bit & 63).astype(np.uint64)
-            more = (self.lows[at + 1] << _ONE) << (np.uint64(63) - skip)
-            out |= ((self.lows[at] >> skip) | more) & ((_ONE << np.uint64(self.low)) - _ONE)
+        place = (word << 6) + self._nth(self.high[word], i - self.ranks[word])
+        return (place - i).astype(np.uint64) << np.uint64(self.low) | self._low(i)
+
+    def _from(self, h: np.ndarray) -> np.ndarray:
+        """The first place whose element's high part is at least h: the ones before the zero that ends the part before."""
+        out = np.full(len(h), self.n, dtype=np.int64)
+        out[h == 0] = 0
+        zeros = (np.arange(len(self.high), dtype=np.int64) << 6) - self.ranks[: len(self.high)]
+        ask = np.flatnonzero((h > 0) & (h <= self.top))
+        k = h[ask].astype(np.int64) - 1
+        word = np.searchsorted(zeros, k, "right") - 1
+        place = (word << 6) + self._nth(~self.high[word], k - zeros[word])
+        out[ask] = place - k
         return out
 
     def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """For each x the first place in [lo, hi) whose element is at least x, or hi."""
+        """For each x the first place in [lo, hi) whose element is at least x, or hi.
+
+        The unary part leads to the elements of x's high part, few on average; their low bits are searched.
+        """
         x = np.asarray(x, dtype=np.uint64)
-        lo, hi = (np.broadcast_to(np.asarray(b, dtype=np.int64), x.shape).copy() for b in (lo, hi))
-        open_ = np.flatnonzero(lo < hi)
+        lo, hi = (np.broadcast_to(np.asarray(b, dtype=np.int64), x.shape) for b in (lo, hi))
+        if not self.n or not len(x):
+            return lo.copy()
+        high, low = x >> np.uint64(self.low), x & ((_ONE << np.uint64(self.low)) - _ONE)
+        a, b = np.clip(self._from(high), lo, np.maximum(lo, hi)), np.clip(self._from(high + _ONE), lo, np.maximum(lo, hi))
+        open_ = np.flatnonzero(a < b)
         while len(open_):
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self.get(mid) < x[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-            open_ = open_[lo[open_] < hi[open_]]
-        return lo
+            mid = (a[open_] + b[open_]) >> 1
+            less = self._low(mid) < low[open_]
+            a[open_[less]] = mid[less] + 1
+            b[open_[~less]] = mid[~less]
+            open_ = open_[a[open_] < b[open_]]
+        return a
 
     def find(self, x: np.ndarray, lo, hi) -> np.ndarray:
         """The place of each x in [lo, hi), or -1."""

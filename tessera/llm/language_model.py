@@ -185,7 +185,7 @@ def build_shard(asks: list[bytes]) -> bytes:
 
 
 def shards(asked: DataFrame, many: int) -> DataFrame:
-    """The stored model: for each shard its trie, beside what the batches ask of it."""
+    """The model: for each shard its trie, beside what the batches ask of it."""
 
     def build(group: pa.Table) -> pa.Table:
         parts = sorted(zip(group.column("batch").to_pylist(), group.column("shard").to_pylist(), group.column("blob").to_pylist(), strict=True))
@@ -198,7 +198,7 @@ def shards(asked: DataFrame, many: int) -> DataFrame:
 
 
 def answers(model: DataFrame) -> DataFrame:
-    """For each batch and shard, the sums of log-probabilities of the batch's documents, read from the shard's stored trie; batches' own rows as they are."""
+    """For each batch and shard, the sums of log-probabilities of the batch's documents, read from the shard's trie; batches' own rows as they are."""
 
     def run(batches):
         for batch in batches:
@@ -218,12 +218,13 @@ def answers(model: DataFrame) -> DataFrame:
     return model.select("shard", "image", "batches", "asks").mapInArrow(run, BLOBS)
 
 
-def score(docs: DataFrame, learns, held_out) -> DataFrame:
+def score(docs: DataFrame, learns, held_out, model_path: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     A bigram model: p(w | v) = (c(vw) + m p(w)) / (c(v) + m) with m = c(v) ^ `BACKOFF`, over p(w) by absolute
     discounting. Batches send each distinct bigram, with its corpus-level word counts, to the shard of its context; there
-    the training counts of all batches make the shard's trie, which is stored, and from which every bigram is read. A context
+    the training counts of all batches make the shard's trie, from whose image every bigram is read; with `model_path` the
+    images are written there first, each beside what is asked of it, and read again. A context
     that is more than half a shard's share of all tokens is dealt out by its successors, which its smoothing allows; there
     are as many shards as keep a share under `SHARD_TOKENS`. Nothing but five totals reaches the driver.
 
@@ -277,7 +278,8 @@ def score(docs: DataFrame, learns, held_out) -> DataFrame:
         return pa.Table.from_arrays(cols, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     asked = table.groupBy("batch").cogroup(counted.where("batch >= 0").groupBy("batch")).applyInArrow(bigrams, BLOBS)
-    out = answers(store.stage(shards(asked, many), "lm-model")).groupBy("batch").applyInArrow(gather, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    model = shards(asked, many)
+    out = answers(store.stage(model, "lm-model", model_path) if model_path else model).groupBy("batch").applyInArrow(gather, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

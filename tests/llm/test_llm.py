@@ -447,9 +447,11 @@ def test_trie_searches_within_contexts(tmp_path):
         assert abs(g - want) <= 0.026
 
 
-def test_scores_are_read_from_the_stored_trie(spark, docs, monkeypatch):
+def test_scores_are_read_from_the_stored_trie(spark, docs, monkeypatch, tmp_path):
     learns = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
-    plain = {(r["doc_id"], r["n_tokens"]): r["score"] for r in language_model.score(docs, learns, ~learns).collect()}
+    plain = {(r["doc_id"], r["n_tokens"]): r["score"] for r in language_model.score(docs, learns, ~learns, f"file://{tmp_path}/one").collect()}
+    direct = {(r["doc_id"], r["n_tokens"]): r["score"] for r in language_model.score(docs, learns, ~learns).collect()}
+    assert plain.keys() == direct.keys() and all(abs(plain[k] - direct[k]) < 1e-6 for k in plain)
     stage = language_model.store.stage
 
     def corrupt(df, name, path=None):
@@ -471,7 +473,7 @@ def test_scores_are_read_from_the_stored_trie(spark, docs, monkeypatch):
         return out.mapInArrow(run, out.schema)
 
     monkeypatch.setattr(language_model.store, "stage", corrupt)
-    other = {(r["doc_id"], r["n_tokens"]): r["score"] for r in language_model.score(docs, learns, ~learns).collect()}
+    other = {(r["doc_id"], r["n_tokens"]): r["score"] for r in language_model.score(docs, learns, ~learns, f"file://{tmp_path}/two").collect()}
     assert plain.keys() == other.keys() and sum(abs(plain[k] - other[k]) > 0.5 for k in plain) > 30
 
 

@@ -87,6 +87,7 @@ class Model:
     odds: np.ndarray  # log-likelihood ratio of each clipped gain
     coef: np.ndarray  # of the features; then the intercept
     scale: np.ndarray
+    prevalence: float  # score of a text without windows, of which nothing is known
 
 
 def _compressor(content: bytes):
@@ -298,7 +299,7 @@ def train(sample: list[tuple[str, int]], prevalence: float) -> Model | None:
     x = features(gain, count, odds)
     scale = np.maximum(x.std(0), 1e-6)
     weight = np.where(y == 1, max(prevalence, 1e-3) / max(1, (y == 1).sum()), (1 - prevalence) / max(1, (y == 0).sum())) * len(y)
-    return Model(*dictionaries(sample), odds, fit_logistic(x / scale, y, weight), scale)
+    return Model(*dictionaries(sample), odds, fit_logistic(x / scale, y, weight), scale, float(prevalence))
 
 
 def lowered(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -319,7 +320,8 @@ class Scorer:
         data, off = lowered(col)
         seg, count = self.gains.windows(off)
         x = features(self.gains(data, seg), count, self.model.odds) / self.model.scale
-        return 1 / (1 + np.exp(-np.clip(x @ self.model.coef[:-1] + self.model.coef[-1], -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ self.model.coef[:-1] + self.model.coef[-1], -30, 30)))
+        return np.where(count > 0, p, self.model.prevalence)
 
 
 _scorers: dict[int, Scorer] = {}
@@ -339,8 +341,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows, per_class: int = SAMPLE)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, score, predicted) for each row, in place, repeated and null doc_ids too. A null text is an empty one; very long texts
-    are read whole; other columns are ignored; without a model all score 0; no documents give no rows."""
+    """(doc_id, score, predicted) for each row, in place, repeated and null doc_ids too. A null text is an empty one, which
+    scores the share of label 1 in training; very long texts are read whole; other columns are ignored; without a model all score 0; no documents give no rows."""
 
     def run(batches):
         s = scorer(model)

@@ -602,4 +602,31 @@ def test_toxicity_against_brute_force(spark):
         total = sum(llr)
         x = [np.sign(total) * np.log1p(abs(total)), total / max(1, len(llr)), max(llr, default=0), np.log1p(len(llr)), *(np.log1p(sum(v > b for v in llr)) for b in (0.5, 1.5, 2.5))]
         z = float(np.array(x) / model.scale @ model.coef[:-1] + model.coef[-1])
-        assert abs(score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+        assert abs(score - (1 / (1 + np.exp(-np.clip(z, -30, 30))) if raw else model.prevalence)) < 1e-9
+
+
+def test_pipeline_stages_take_effect(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    bad = ["slurword", "vileterm", "badnoun"]
+    clean = [words_only(rng, 80) for _ in range(60)]
+    toxic = [" ".join(rng.choice(bad) if rng.random() < 0.3 else w for w in words_only(rng, 60).split()) for _ in range(60)]
+    item = words_only(rng, 40)
+    rows = [(i, t + ("\na footer that all of them have" if i < 20 else "")) for i, t in enumerate(clean)]
+    rows += [(100 + i, t) for i, t in enumerate(toxic)] + [(200, clean[30]), (201, clean[31] + " more"), (202, clean[32] + " " + item), (203, None), (None, words_only(rng, 50))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i >= 100)) for i in [*range(60), *range(100, 160)]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at, seen = docs, []
+    for _, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, str(tmp_path))
+        seen.append((at.columns, {r["doc_id"] for r in at.collect()}))
+    assert all(c == docs.columns for c, _ in seen[:-1])
+    kept = {*range(60), 203, None}
+    assert len(seen[0][1] & set(range(100, 160))) <= 3
+    assert (kept | {200, 201, 202}) - seen[0][1] == set()
+    assert seen[2][1] >= kept and not seen[2][1] & {200, 201} and 202 not in seen[3][1] and seen[3][1] >= kept and seen[4][1] == seen[3][1]
+    packed = {r["doc_id"]: r["doc_tokens"] for r in at.collect()}
+    assert packed[3] == len(lib_ids(WORDS, clean[3])) + 1 and packed[203] == 1  # the footer is gone

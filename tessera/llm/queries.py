@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, dac, decontaminate, language_model, line_dedup, packing, quality, simhash, token_counts, toxicity
+from tessera.llm import ann, byte_bpe, centroids, dac, decontaminate, language_model, line_dedup, packing, quality, simhash, spelling, token_counts, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         packing.op8_packing,
         toxicity.op9_toxicity,
         dac.op10_token_file,
+        centroids.op11_centroids,
+        byte_bpe.op12_byte_bpe,
+        spelling.op13_spelling,
     )
 }
 

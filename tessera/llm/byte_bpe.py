@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from functools import lru_cache
 
@@ -18,8 +19,15 @@ from tessera.llm.words import slices
 KEPT = 300_000
 #: Matches of more bytes are not kept.
 KEPT_BYTES = 64
+#: Matches that are merged at once.
+ROWS = 8192
 #: No pair: over every rank and position.
-NONE = 1 << 64
+NONE = (1 << 63) - 1
+#: Widths of the trees that many short matches are merged in at once; a longer match has a tree of its own.
+WIDTHS = (8, 16, 32)
+#: BYTE_SPLIT over texts of white space, printable ASCII and accented Latin letters, whose classes are plain, and any other sign.
+_PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\s0-9A-Za-zÀ-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
+_OTHER = re.compile("[^\\x09-\\x0d\\x20-\\x7eÀ-ÖØ-öø-ÿ]")
 
 
 class Ranks:
@@ -32,6 +40,7 @@ class Ranks:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.find = regex.compile(pattern).findall
+        self.plain = pattern == BYTE_SPLIT
         self.pairs = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -39,8 +48,65 @@ class Ranks:
                 if a is not None and b is not None:
                     self.pairs[a << 32 | b] = rank
         self.single = [self.ranks[bytes([b])] for b in range(256)]
+        self.keys = np.array(sorted(self.pairs), dtype=np.int64)
+        self.values = np.array([self.pairs[k] for k in self.keys.tolist()], dtype=np.int64)
         self.kept: dict[str, bytes] = {}
 
+    def matches(self, text: str) -> list[str]:
+        return _PLAIN_SPLIT.findall(text) if self.plain and not _OTHER.search(text) else self.find(text)
+
+    def leaves(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Rank and place of each pair that is a token, NONE for the others."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at] << 32 | place, NONE)
+
+    def merge_many(self, raws: list[bytes], width: int) -> list[bytes]:
+        """`merge` of many matches of 2 to `width` bytes, none a token by itself: a tree each, one merge of all at a time."""
+        m = len(raws)
+        text = np.frombuffer(b"".join([r.ljust(width, b"\0") for r in raws]), dtype=np.uint8).reshape(m, width)
+        size = np.array([len(r) for r in raws])
+        ids = np.array(self.single, dtype=np.int64)[text]
+        tree = np.full((m, 2 * width), NONE, dtype=np.int64)
+        place = np.arange(width - 1)
+        row, at = np.nonzero(place < size[:, None] - 1)
+        tree[row, width + at] = self.leaves(ids[row, at], ids[row, at + 1], at)
+        half = width // 2
+        while half:
+            tree[:, half : 2 * half] = np.minimum(tree[:, 2 * half : 4 * half : 2], tree[:, 2 * half + 1 : 4 * half : 2])
+            half //= 2
+        ids[np.arange(width) >= size[:, None]] = -1
+        after, before = np.tile(np.arange(1, width + 1), (m, 1)), np.tile(np.arange(-1, width - 1), (m, 1))
+        tree, ids_, after, before = tree.ravel(), ids.ravel(), after.ravel(), before.ravel()
+        live = np.flatnonzero(tree[1 :: 2 * width] != NONE)
+        while len(live):
+            base, root = live * width, live * 2 * width
+            least = tree[root + 1]
+            i, new = least & 0xFFFFFFFF, least >> 32
+            j = after[base + i]
+            k = after[base + j]
+            ids_[base + i], ids_[base + j] = new, -1
+            after[base + i] = k
+            inside = k < size[live]
+            before[(base + k)[inside]] = i[inside]
+            p = before[base + i]
+            first = p >= 0
+            right, left = np.full(len(live), NONE), np.full(len(live), NONE)
+            right[inside] = self.leaves(new[inside], ids_[(base + k)[inside]], i[inside])
+            left[first] = self.leaves(ids_[(base + p)[first]], new[first], p[first])
+            tree[root + width + j] = NONE
+            tree[root + width + i] = right
+            tree[(root + width + p)[first]] = left[first]
+            nodes = [width + j, width + i, width + np.where(first, p, i)]
+            for _ in range(width.bit_length() - 1):
+                nodes = [x >> 1 for x in nodes]
+                for x in nodes:
+                    tree[root + x] = np.minimum(tree[root + 2 * x], tree[root + 2 * x + 1])
+            live = live[tree[root + 1] != NONE]
+        left = ids >= 0
+        flat, ends = ids[left].astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(left.sum(1))]) * 4
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
     def merge(self, raw: bytes) -> list[int]:
         """Ids of one match: while any adjacent pair is a token, the leftmost pair of the smallest rank is merged.
 
@@ -93,15 +159,26 @@ class Ranks:
                 put(p, NONE if rank is None else rank << 32 | p)
         return [x for x in ids if x >= 0]
 
-    def encode(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers, each match of the pattern by itself."""
-        found, kept = self.find(text), self.kept
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers, each match of the pattern by itself."""
+        found, kept = [self.matches(t) for t in texts], self.kept
+        sizes: dict[int, list] = {w: [] for w in WIDTHS}
         long = {}
-        for x in set(found):
-            if x not in kept:
-                ids = self.merge(x.encode())
+        for x in set().union(*found).difference(kept):
+            raw = x.encode()
+            whole = self.ranks.get(raw)
+            if whole is not None:
+                kept[x] = struct.pack("<I", whole)
+            elif len(raw) > WIDTHS[-1]:
+                ids = self.merge(raw)
                 (kept if len(x) <= KEPT_BYTES else long)[x] = struct.pack(f"<{len(ids)}I", *ids)
-        out = b"".join([kept.get(x) or long[x] for x in found] if long else map(kept.__getitem__, found))
+            else:
+                sizes[next(w for w in WIDTHS if len(raw) <= w)].append((x, raw))
+        for width, some in sizes.items():
+            for i in range(0, len(some), ROWS):
+                part = some[i : i + ROWS]
+                kept.update(zip([x for x, _ in part], self.merge_many([raw for _, raw in part], width), strict=True))
+        out = [b"".join([kept.get(x) or long[x] for x in f] if long else map(kept.__getitem__, f)) for f in found]
         if len(kept) >= KEPT:
             kept.clear()
         return out
@@ -126,7 +203,7 @@ def encode(docs: DataFrame, path: str, pattern: str = BYTE_SPLIT) -> DataFrame:
     def run(batches):
         coder = ranks(path, pattern)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.encode(x or "") for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coder.encode([x or "" for x in batch.column(1).to_pylist()]), pa.binary())], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 

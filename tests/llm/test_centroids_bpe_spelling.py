@@ -120,8 +120,9 @@ def odd_texts():
 
 def test_ids_equal_the_library(library):
     coder = byte_bpe.ranks(default_path(RANKS), BYTE_SPLIT)
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(odd_texts())] == [library.encode_ordinary(t) for t in odd_texts()]
     for text in odd_texts():
-        ids = coder.encode(text)
+        ids = coder.encode([text])[0]
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
         assert coder.decode(ids) == text.encode()
 
@@ -150,13 +151,17 @@ def test_merges_of_a_small_file_are_leftmost_and_least(tmp_path):
             if best[0] == 10**9:
                 break
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        assert coder.merge(raw) == [rank[p] for p in parts]
+        want = [rank[p] for p in parts]
+        assert coder.merge(raw) == want
+        for width in byte_bpe.WIDTHS:
+            if raw not in rank and 2 <= n <= width:
+                assert np.frombuffer(coder.merge_many([raw, b"ba" * 4 + b"!"[: width - 8], raw], width)[2], "<u4").tolist() == want
 
 
 def test_long_runs_take_logarithmic_merges(library):
     text = "".join(random.Random(6).choice("abcdefgh") for _ in range(100_000))
     began = time.process_time()
-    ids = byte_bpe.Ranks(default_path(RANKS), BYTE_SPLIT).encode(text)
+    ids = byte_bpe.Ranks(default_path(RANKS), BYTE_SPLIT).encode([text])[0]
     assert time.process_time() - began < 20
     assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
 

@@ -81,14 +81,19 @@ def index_citations(pages: DataFrame, record: DataFrame, cited: DataFrame, cap:
     `pages`: (page, text, is_sheet, replaced, drawable); `record`: (subject, kind, code), kind `definition` or `item`, whose code is
     its tag; `cited`: (subject, page). A page that prints a code is cited onto each subject that carries the code, unless it
     is already cited there. Left open, and never cited, are: codes too short, codes that print as a word (one row a subject);
-    a definition's code on no page, or only on replaced ones; an item's tag that is on no page, told apart where it is the first
-    words of some definition's code and no definition's whole code; pages that are no sheets, and hits that can't be drawn (one
-    row a hit); what lies beyond `cap` citations in the order of subject and page. A flag that is null reads as false; subjects
+    an item's tag that is the first words of a definition's code and no definition's whole code (one row a subject); a definition's
+    code on no page, or only on replaced ones; an item's tag on no page; pages that are no sheets, and hits that can't be drawn (one row a hit); what lies beyond `cap` citations in the order of subject and page. A flag that is null reads as false; subjects
     without a code, pages without an id and repeated rows count for nothing; other columns are ignored; empty tables give none.
     """
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     record = record.where("subject is not null and code is not null").select("subject", "kind", F.col("code").alias("print"), code_key(F.col("code")).alias("code")).where("code <> ''").distinct()
     record = record.withColumn("aside", F.when(too_short(F.col("print")), "codeTooShort").when(is_word(F.col("print")), "codeIsAWord")).drop("print")
+    # an item's tag that is the first words of a longer code can't be told from it on a page
+    own = record.where("kind = 'definition' and aside is null").select("code").distinct()
+    parts = F.split("code", " ")
+    first = own.where(F.size(parts) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), " "))).alias("code")).distinct()
+    pieces = first.join(own, "code", "left_anti").withColumn("piece", F.lit("fragmentUnresolvable"))
+    record = record.join(pieces, "code", "left").withColumn("aside", F.coalesce("aside", F.when(F.col("kind") == "item", F.col("piece")))).drop("piece")
     asked = record.where("aside is null").drop("aside")
     pages = pages.where("page is not null")
     hits = find_codes(pages.select("page", "text"), asked).join(pages.select("page", flag("is_sheet").alias("is_sheet"), flag("replaced").alias("replaced"), flag("drawable").alias("drawable")), "page")
@@ -105,14 +110,10 @@ def index_citations(pages: DataFrame, record: DataFrame, cited: DataFrame, cap:
 
     found = hits.groupBy("code").agg(F.bool_or(~F.col("replaced")).alias("stands"))
     seen = asked.join(found, "code", "left")
-    lost = seen.where("kind = 'definition' and not coalesce(stands, false)").select(F.when(F.col("stands").isNull(), "codeNoLocation").otherwise("codeOnlyOnReplacedPages").alias("kind"), "subject", "code", F.lit(None).cast(pages.schema["page"].dataType).alias("page"))
-    loose = seen.where("kind = 'item' and stands is null").select("subject", "code")
-    own = asked.where("kind = 'definition'").select("code").distinct()
-    parts = F.split("code", " ")
-    first = own.where(F.size(parts) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), " "))).alias("code")).distinct()
-    pieces = first.join(own, "code", "left_anti").withColumn("piece", F.lit(True))
-    tags = loose.join(own, "code", "left_anti").join(pieces, "code", "left").select(F.when(F.col("piece"), "fragmentUnresolvable").otherwise("unmatchedTag").alias("kind"), "subject", "code", F.lit(None).cast(pages.schema["page"].dataType).alias("page"))
-    aside = record.where("aside is not null").select(F.col("aside").alias("kind"), "subject", "code", F.lit(None).cast(pages.schema["page"].dataType).alias("page"))
+    none = F.lit(None).cast(pages.schema["page"].dataType).alias("page")
+    lost = seen.where("kind = 'definition' and not coalesce(stands, false)").select(F.when(F.col("stands").isNull(), "codeNoLocation").otherwise("codeOnlyOnReplacedPages").alias("kind"), "subject", "code", none)
+    tags = seen.where("kind = 'item' and stands is null").select(F.lit("unmatchedTag").alias("kind"), "subject", "code", none)
+    aside = record.where("aside is not null").select(F.col("aside").alias("kind"), "subject", "code", none)
     bad = standing.where("not (is_sheet and drawable)").select(F.when(F.col("is_sheet"), "hitNotDrawable").otherwise("pageNotASheet").alias("kind"), blank.alias("subject"), "code", "page")
     left = lost.unionByName(tags).unionByName(aside).unionByName(bad)
     if over is not None:

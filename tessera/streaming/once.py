@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _exists(df: DataFrame, path: str) -> bool:
@@ -20,7 +21,7 @@ def write_batch(batch: DataFrame, number: int, path: str, key: list[str], order:
     row = F.struct(*[F.col(c) for c in batch.columns])
     first = batch.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.min_by(row, F.struct(*order)).alias("_r")).select("_r.*")
     if _exists(batch, path):
-        before = batch.sparkSession.read.schema(batch.schema.add("batch", "long")).parquet(path).where(F.col("batch") != number)
+        before = batch.sparkSession.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(path).where(F.col("batch") != number)
         same = [first[k].eqNullSafe(before[k]) for k in key]
         first = first.join(before.select(*key), same, "left_anti")
     first.write.mode("overwrite").parquet(f"{path}/batch={number}")

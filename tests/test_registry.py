@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.plans import registry, scans  # noqa: F401  scans adds its queries to the registry
+from tessera.plans import project, registry, scans  # noqa: F401  the others add their queries to the registry
 
 DATA = "/root/testdata/sf0.001"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import citations, continuations
 from tessera.plans.registry import query, table
+from tessera.sources import comparison, grid, plan
 from tessera.sources.shared import fresh_folder
 from tessera.streaming import once, tail
 
@@ -69,16 +70,16 @@ def _(s, d):
     "w12_continuations",
     """WITH RECURSIVE req AS (SELECT l_suppkey AS pass, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS ord, l_partkey AS review, least(s_nationkey, 10) AS units, CAST(p_size AS BIGINT) AS high
         FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey),
-    st AS (SELECT pass, 0::BIGINT AS ord, NULL::BIGINT AS review, CAST(NULL AS BIGINT) AS own, CAST(NULL AS BIGINT) AS place, list_transform(range(26), lambda i: CASE WHEN i = 0 THEN units ELSE 0 END) AS held, list_transform(range(26), lambda i: 0::BIGINT) AS reach, MAP([-1::BIGINT], [0::BIGINT]) AS at, [0::BIGINT] AS seen, NULL::BIGINT AS high
+    st AS (SELECT pass, 0::BIGINT AS ord, NULL::BIGINT AS review, CAST(NULL AS BIGINT) AS own, CAST(NULL AS BIGINT) AS place, list_transform(range(26), lambda i: CASE WHEN i = 0 THEN units ELSE 0 END) AS held, list_transform(range(26), lambda i: 0::BIGINT) AS reach, MAP([-1::BIGINT], [0::BIGINT]) AS placed, NULL::BIGINT AS high
         FROM (SELECT DISTINCT pass, units FROM req)
         UNION ALL
         SELECT pass, ord, review, p, t,
             CASE WHEN t IS NULL THEN held ELSE list_transform(held, lambda x, i: CASE WHEN i - 1 = t THEN x + 1 ELSE x END) END,
             CASE WHEN t IS NULL OR t = p THEN reach ELSE list_transform(reach, lambda x, i: CASE WHEN i - 1 = t OR (x >> t) & 1 = 1 THEN x | (1::BIGINT << p) | reach[p + 1] ELSE x END) END,
-            CASE WHEN t IS NULL THEN at ELSE map_concat(at, MAP([review], [t])) END, seen, high
-        FROM (SELECT r.pass, r.ord, r.review, r.high, held, reach, at, seen, p,
+            CASE WHEN t IS NULL THEN placed ELSE map_concat(placed, MAP([review], [t])) END, high
+        FROM (SELECT r.pass, r.ord, r.review, r.high, held, reach, placed, p,
                 CASE WHEN held[p + 1] < 10 THEN p ELSE list_filter(range(p + 1, 26), lambda j: held[j + 1] = 0 OR (held[j + 1] < 10 AND (reach[j + 1] >> p) & 1 = 1))[1] END AS t
-            FROM (SELECT st.*, coalesce(at[req.review], 0) AS p, req.review AS nr, req.high AS nh FROM st JOIN req ON req.pass = st.pass AND req.ord = st.ord + 1) x
+            FROM (SELECT st.*, coalesce(placed[req.review], 0) AS p, req.review AS nr, req.high AS nh FROM st JOIN req ON req.pass = st.pass AND req.ord = st.ord + 1) x
             JOIN req r ON r.pass = x.pass AND r.ord = x.ord + 1))
     SELECT CAST(pass AS VARCHAR) AS pass, ord AS ordinal, CAST(review AS VARCHAR) AS review, CASE WHEN place IS NOT NULL THEN high + count(place) OVER w END AS number,
         CASE WHEN place IS NOT NULL THEN review || 'c-' || (high + count(place) OVER w) END AS continuation, CASE WHEN place IS NOT NULL THEN pass || substr(' bcdefghijklmnopqrstuvwxyz', 1 + place, CAST(place > 0 AS INT)) END AS bound_pass,
@@ -141,3 +142,197 @@ def _(s, d):
         once.write_batch(batch, number, path, ["user_id", "event_type"], ["event_id"])
     once.write_batch(part, 1, path, ["user_id", "event_type"], ["event_id"])
     return s.read.parquet(path).drop("batch")
+
+
+# -- nested pages -----------------------------------------------------------------------------------------------------------------
+# An order is a row of a grid on a page of its own; its lines are the further pages that it lists, in the order of their numbers.
+
+PAGE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag"
+PAGES_SQL = f"""WITH o AS (SELECT *, 'S-' || o_orderkey AS number, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS lists,
+        CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN CASE WHEN o_orderstatus = 'P' THEN 'not one page is its own' WHEN o_orderpriority = '1-URGENT' THEN 'its own page is another' END END AS whole FROM orders),
+    l AS (SELECT *, l_orderkey AS row_ord, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {PAGE_ORDER}) AS INT) AS pos, 'f' || l_suppkey AS file_id, CAST(l_partkey + 1 AS VARCHAR) AS page FROM lineitem),
+    e AS (SELECT l.*, number, l_returnflag IN ('N', 'A') AS read, row_number() OVER (PARTITION BY row_ord, file_id, page ORDER BY pos) > 1 AS again,
+        CASE WHEN l_tax = 0 THEN 'no deliveryId' WHEN l_tax = 0.01 THEN 'deliveryId is neither null nor an id' END AS given,
+        concat_ws(' and ', CASE WHEN l_discount = 0 THEN 'no key it opens as' END, CASE WHEN l_discount = 0.01 THEN 'no page number' END) AS lacks FROM l JOIN o ON o_orderkey = row_ord AND whole IS NULL),
+    r AS (SELECT *, CASE WHEN given IS NOT NULL THEN given WHEN read AND lacks <> '' THEN lacks WHEN again THEN 'listed twice' END AS rule FROM e),
+    p AS (SELECT *, row_number() OVER (PARTITION BY file_id, page ORDER BY row_ord, pos) > 1 AS owned FROM r WHERE rule IS NULL AND read)"""
+
+
+def _nested(s, d):
+    c = F.col
+    delivery = F.when(c("l_tax") == 0, "").when(c("l_tax") == 0.01, ',"deliveryId":" "').when(c("l_returnflag") == "N", ',"deliveryId":null').when(c("l_returnflag") == "A", ',"deliveryId":"D1"').otherwise(',"deliveryId":"D9"')
+    page = F.concat(F.when(c("l_discount") == 0.01, '"').otherwise(""), (c("l_partkey") + 1).cast("string"), F.when(c("l_discount") == 0.01, '"').otherwise(""))
+    other = F.concat(F.lit('{"fileId":"f'), c("l_suppkey").cast("string"), F.lit('","pageInPdf":'), page, delivery, F.when(c("l_discount") == 0, "").otherwise(',"opensAs":"k"'), F.lit("}"))
+    listed = table(s, d, "lineitem").select("l_orderkey", F.struct(*PAGE_ORDER.split(", "), other.alias("x")).alias("x")).groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["x"]).alias("others"))
+    own = F.concat(F.lit('{"fileId":"g","pageInPdf":'), F.when(c("o_orderpriority") == "1-URGENT", "0").otherwise(c("o_orderkey").cast("string")), F.when(c("o_orderstatus") == "P", "").otherwise(',"selected":true'), F.lit("}"))
+    raw = F.concat(F.lit('{"pageOccurrences":['), F.when(c("others").isNotNull(), F.concat_ws(",", own, F.array_join("others", ","))).otherwise(""), F.lit("]}"))
+    rows = table(s, d, "orders").join(listed, c("l_orderkey") == c("o_orderkey"), "left")
+    rows = rows.select(c("o_orderkey").alias("row_ord"), F.concat(F.lit("S-"), "o_orderkey").alias("number"), F.lit("S").alias("discipline"), F.lit("g").alias("file_id"), c("o_orderkey").alias("page"), F.parse_json(raw).alias("raw"))
+    return grid.further_pages(rows, ["D1", "D2"])
+
+
+@query("j7_further_pages", f"{PAGES_SQL} SELECT row_ord, pos, file_id, page, number || '@' || file_id || '#' || page AS unit_key FROM p WHERE NOT owned")
+def _(s, d):
+    return _nested(s, d)[0].select("row_ord", "pos", "file_id", "page", "unit_key")
+
+
+@query("j7_carried", f"{PAGES_SQL} SELECT row_ord, pos, number, file_id, page, 'D9' AS delivery_id FROM r WHERE rule IS NULL AND NOT read")
+def _(s, d):
+    return _nested(s, d)[1]
+
+
+@query(
+    "j7_refusals",
+    f"""{PAGES_SQL} SELECT o_orderkey AS row_ord, CAST(NULL AS INT) AS pos, whole AS rule FROM o WHERE whole IS NOT NULL UNION ALL SELECT row_ord, pos, rule FROM r WHERE rule IS NOT NULL
+    UNION ALL SELECT row_ord, pos, 'already another row''s page' FROM p WHERE owned""",
+)
+def _(s, d):
+    return _nested(s, d)[2]
+
+
+# -- comparison pages -------------------------------------------------------------------------------------------------------------
+# A supplier's lines are a comparison of two deliveries, in pages of 200 rows; returned ones are the manual's. By nation some pages are broken.
+
+COMPARE_SQL = """WITH x AS (SELECT s_suppkey AS folder, s_nationkey AS n, CASE WHEN l_returnflag = 'R' THEN 'manualRows' ELSE 'referenceRows' END AS list, l_orderkey, l_linenumber, l_discount,
+        row_number() OVER (PARTITION BY s_suppkey, l_returnflag = 'R' ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS ord FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+    f AS (SELECT folder, n, max(ord) // 200 AS last, coalesce(max(ord) FILTER (WHERE list = 'referenceRows'), -1) AS refs, coalesce(max(ord) FILTER (WHERE list = 'manualRows'), -1) AS manuals FROM x GROUP BY ALL),
+    p AS (SELECT *, unnest(range(last + 1)) AS k FROM f),
+    bad AS (
+        SELECT folder, k, CASE n WHEN 1 THEN 'not complete' WHEN 2 THEN 'another rule version' WHEN 8 THEN 'another delivery' END AS rule FROM p WHERE n IN (1, 2, 8)
+        UNION ALL SELECT folder, k, 'starts elsewhere' FROM p WHERE n = 3 AND k > 1 AND (200 * k <= refs OR 200 * k <= manuals)
+        UNION ALL SELECT folder, NULL, 'rows are missing' FROM p WHERE n = 3 AND k = 1
+        UNION ALL SELECT folder, k, 'its total changes' FROM p WHERE n = 4 AND k = last AND k > 0
+        UNION ALL SELECT folder, ord // 200, 'a row has no open flag or no subject' FROM x WHERE n = 5 AND l_discount = 0
+        UNION ALL SELECT folder, ord // 200, 'a manual row names no section' FROM x WHERE n = 6 AND list = 'manualRows'
+        UNION ALL SELECT folder, max(ord // 200), 'a row is there twice' FROM x WHERE n = 7 GROUP BY folder, list, l_linenumber HAVING count(*) > 1)"""
+
+
+def _compared(s, d):
+    c, n = F.col, F.col("s_nationkey")
+    lines = table(s, d, "lineitem").join(table(s, d, "supplier"), c("s_suppkey") == c("l_suppkey"))
+    manual = c("l_returnflag") == "R"
+    ord_ = F.row_number().over(Window.partitionBy("s_suppkey", manual).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")) - 1
+    x = lines.withColumn("ord", ord_).withColumn("manual", manual)
+    row = F.struct(
+        F.lit("scopeItem").alias("kind"), F.when((n != 5) | (c("l_discount") != 0), c("l_linestatus") == "O").alias("open"), F.concat(F.lit("scopeItem:"), F.when(n == 7, c("l_linenumber")).otherwise(c("l_orderkey")).cast("string")).alias("subject"),
+        F.array(F.when(n != 7, F.concat(F.lit("e"), "ord"))).alias("entryIds"), F.when(~c("manual"), F.concat(F.lit("S-"), "l_linenumber")).alias("sheetNumber"), F.when(c("manual"), F.when(n != 6, F.concat(F.lit("09 "), "l_linenumber"))).alias("section"),
+    )
+    pages = x.groupBy("s_suppkey", "s_nationkey", F.floor(c("ord") / 200).alias("k")).agg(*[F.transform(F.array_sort(F.collect_list(F.when(c("manual") == m, F.struct("ord", row.alias("row"))))), lambda r: r["row"]).alias(name) for m, name in ((False, "refs"), (True, "manuals"))])
+    ends = x.groupBy("s_suppkey").agg(F.count_if(~c("manual")).alias("n_refs"), F.count_if("manual").alias("n_manuals"), F.floor(F.max("ord") / 200).alias("last"))
+    pages = pages.join(ends, "s_suppkey").where((n != 3) | (c("k") != 1))
+    listed = lambda rows, total: F.struct(total.alias("total"), (c("k") * 200).alias("offset"), c(rows).alias("rows"))
+    body = F.to_json(F.struct(
+        F.struct(F.when(n == 8, "d-other").otherwise(F.concat(F.lit("d-"), "s_suppkey")).alias("id")).alias("delivery"), F.when(n == 2, "6").otherwise("7").alias("ruleVersion"), (n != 1).alias("complete"),
+        listed("refs", c("n_refs") + F.when((n == 4) & (c("k") == c("last")) & (c("k") > 0), 1).otherwise(0)).alias("referenceRows"), listed("manuals", c("n_manuals")).alias("manualRows"),
+    ))
+    runs = ends.select(c("s_suppkey").alias("folder"), F.concat(F.lit("d-"), "s_suppkey").alias("delivery_id"), F.lit("7").alias("rule_version"))
+    return comparison.scan_comparison(pages.select(c("s_suppkey").alias("folder"), F.format_string("page-%06d.json", "k").alias("file"), body.alias("json")), runs)
+
+
+@query("s13_refusals", f"{COMPARE_SQL} SELECT DISTINCT folder, 'page-' || lpad(CAST(k AS VARCHAR), 6, '0') || '.json' AS file, rule FROM bad")
+def _(s, d):
+    return _compared(s, d)[1]
+
+
+@query(
+    "s13_comparison_rows",
+    f"""{COMPARE_SQL} SELECT folder, list, ord, 'scopeItem:' || l_orderkey AS subject, CASE WHEN list = 'manualRows' THEN '09 ' || l_linenumber END AS section, CASE WHEN list <> 'manualRows' THEN 'S-' || l_linenumber END AS sheet
+    FROM x WHERE folder NOT IN (SELECT folder FROM bad)""",
+)
+def _(s, d):
+    rows, refusals = _compared(s, d)
+    return rows.join(refusals.select("folder").distinct(), "folder", "left_anti").select("folder", "list", "ord", "subject", "section", "sheet")
+
+
+# -- read plans and summaries -----------------------------------------------------------------------------------------------------
+# Forty customers are a read plan, each market segment a pass. The windows are 1 to 3; a pass of furniture miscounts where a balance is overdrawn.
+
+PLAN_SQL = """WITH c AS (SELECT *, c_custkey // 40 AS f, c_custkey // 40 % 3 + 1 AS w FROM customer),
+    p AS (SELECT f AS file, w, c_mktsegment AS pass, count(*) AS listed, count(*) + CASE WHEN c_mktsegment = 'FURNITURE' AND min(c_acctbal) < 0 THEN 1 ELSE 0 END AS units FROM c GROUP BY f, w, c_mktsegment)"""
+
+
+def _plans(s, d):
+    c = F.col
+    f = F.floor(c("c_custkey") / 40)
+    x = table(s, d, "customer").select("*", f.alias("f"), (f % 3 + 1).alias("w"))
+    line = lambda part, name, order, text: (F.lit(part).alias("part"), name.alias("pass"), order.cast("long").alias("o"), text.alias("line"))
+    none, zero = F.lit(""), F.lit(0)
+    first = x.select("f", "w").distinct().select("f", *line(0, none, zero, F.concat(F.lit("\n# Read plan: window "), "w", F.lit("\n\nWritten for a test.\nunits: 99\n"))))
+    own = Window.partitionBy("f", "c_mktsegment").orderBy("c_custkey")
+    g = x.groupBy("f", "w", "c_mktsegment").agg((F.count("*") + F.when((c("c_mktsegment") == "FURNITURE") & (F.min("c_acctbal") < 0), 1).otherwise(0)).alias("n"))
+    heads = g.select("f", *line(1, c("c_mktsegment"), F.lit(-1), F.concat(F.lit("### "), "c_mktsegment", F.lit(". Customers, all: of them\n\nreads for: the vocabulary\nunits: "), "n", F.lit("\nunits verified: 0\n"))))
+    about = F.concat("c_name", F.lit(", page "), F.col("c_nationkey").cast("string"), F.lit(": (no title). Notes"))
+    unit = F.when(c("w") == 3, F.concat(F.row_number().over(own).cast("string"), F.lit(". rev-"), "c_custkey", F.lit("-1: "), about)).otherwise(F.concat(F.lit("C-"), (c("c_custkey") + 1).cast("string"), F.lit(". "), about))
+    units = x.select("f", *line(1, c("c_mktsegment"), c("c_custkey"), unit))
+    last = x.groupBy("f").agg(F.min("c_custkey").alias("k")).select("f", *line(2, none, zero, F.concat(F.lit("\n## Deliberately left out\n\nL-"), (c("k") + 1).cast("string"), F.lit(". left out\nunits: 7\n### LATE. Not a pass"))))
+    text = first.union(heads).union(units).union(last).groupBy("f").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "pass", "o", "line"))), lambda r: r["line"]), "\n").alias("text"))
+    lines = text.select(c("f").alias("file"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return plan.scan_plan(lines)
+
+
+@query("s9_plan_units", f"{PLAN_SQL} SELECT f AS file, c_mktsegment AS pass, CAST(row_number() OVER (PARTITION BY f, c_mktsegment ORDER BY c_custkey) AS INT) AS ord, CASE WHEN w = 3 THEN 'rev-' || c_custkey || '-1' ELSE 'C-' || (c_custkey + 1) END AS unit, c_name || ', page ' || c_nationkey || ': (no title). Notes' AS text FROM c")
+def _(s, d):
+    return _plans(s, d)[1]
+
+
+@query("s9_plan_passes", f"{PLAN_SQL} SELECT file, CAST(w AS VARCHAR) AS window, pass, CAST(row_number() OVER (PARTITION BY file ORDER BY pass) AS INT) AS ord, units, listed FROM p")
+def _(s, d):
+    return _plans(s, d)[0]
+
+
+@query("s9_plan_refusals", f"{PLAN_SQL} SELECT file, pass, 'units and unit lines differ' AS rule FROM p WHERE units <> listed")
+def _(s, d):
+    return _plans(s, d)[3]
+
+
+# A supplier's lines are a pass, their numbers its units; by nation its window differs, or a line of its summary is missing.
+
+SUMMARY_SQL = """WITH x AS (SELECT s_suppkey AS file, s_nationkey AS n, l_linenumber AS u, l_returnflag AS code, l_quantity, l_orderkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+    g AS (SELECT file, n, count(*) AS lines, count(DISTINCT l_orderkey) AS orders, max(u) AS units FROM x GROUP BY ALL)"""
+
+
+def _summaries(s, d):
+    c, n = F.col, F.col("n")
+    x = table(s, d, "lineitem").join(table(s, d, "supplier"), c("s_suppkey") == c("l_suppkey")).select(c("s_suppkey").alias("file"), c("s_nationkey").alias("n"), c("l_linenumber").alias("u"), c("l_returnflag").alias("code"), "l_quantity", "l_orderkey")
+    g = x.groupBy("file", "n").agg(F.count("*").alias("lines"), F.countDistinct("l_orderkey").alias("orders"), F.max("u").alias("units"))
+    unit = F.concat(F.lit("per unit: U-"), c("u").cast("string"), F.lit(" created "), F.when(F.count("*") > 80, F.count("*").cast("string")).otherwise("-"), F.lit(" items 1 conflicts 0 verified "), F.when(F.max("l_quantity") >= 50, "yes").otherwise("no"))
+    units = x.groupBy("file", "u").agg(unit.alias("line")).groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("u", "line"))), lambda r: r["line"]), "\n").alias("units_text"))
+    trades = x.groupBy("file", "code").agg(F.count("*").alias("k")).groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code", "k"))), lambda r: F.concat(F.lit("09 "), r["code"], F.lit(" x"), r["k"].cast("string"))), ", ").alias("trades_text"))
+    window = F.when(n.isin(5, 6), "3").when(n.isin(7, 9), "r").otherwise("2")
+    text = F.concat_ws(
+        "\n", F.when(n != 10, F.concat(F.lit("window: "), window, F.lit("   pass: P-"), c("file").cast("string"))).otherwise("# something else"), "units_text",
+        F.when(n != 1, F.concat(F.lit("totals verified: created "), c("lines").cast("string"), F.lit(" (entry count under the unit prefixes), items "), c("units").cast("string"), F.lit(" (reader's own item count), updated "), c("orders").cast("string"), F.lit(", questions 4 replied 3"))),
+        F.when(n == 2, "trades: no trades file for this pass").when(n == 3, "trades: no trade on any unit of this pass").when(n == 4, "trades: 09 10").otherwise(F.concat(F.lit("trades: "), "trades_text")),
+        F.when(n == 5, F.concat(F.lit("review: pages opened "), c("lines").cast("string"), F.lit(", searches 2"))), F.when(n == 7, F.concat(F.lit("recheck: rows recited "), c("lines").cast("string"), F.lit(", updated 2, removed 0, not found 1; items retired 5, kept 6, refused 7"))),
+        F.when(n != 0, F.concat(F.lit("ledger lines: "), c("lines").cast("string"), F.lit(" sha256 "), F.sha2(c("file").cast("string"), 256))),
+    )
+    lines = g.join(units, "file").join(trades, "file").select("file", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return plan.scan_summaries(lines)
+
+
+@query(
+    "s10_summaries",
+    f"""{SUMMARY_SQL} SELECT file, CASE WHEN n = 5 THEN '3' WHEN n = 7 THEN 'r' ELSE '2' END AS window, 'P-' || file AS pass, lines AS created, CAST(units AS BIGINT) AS items_read, orders AS updated, 4 AS questions, 3 AS replied, CASE WHEN n = 3 THEN 0 ELSE lines END AS items,
+    CASE WHEN n = 5 THEN lines END AS pages_opened, CASE WHEN n = 5 THEN 2 END AS searches, CASE WHEN n = 7 THEN lines END AS recited, CASE WHEN n = 7 THEN 1 END AS not_found, lines AS ledger_lines, sha256(CAST(file AS VARCHAR)) AS ledger_hash FROM g WHERE n NOT IN (0, 1, 2, 4, 6, 9, 10)""",
+)
+def _(s, d):
+    return _summaries(s, d)[0].withColumn("recited", F.col("recheck")["recited"]).withColumn("not_found", F.col("recheck")["not found"]).drop("recheck")
+
+
+@query("s10_summary_units", f"{SUMMARY_SQL} SELECT file, 'U-' || u AS unit, CASE WHEN count(*) > 80 THEN count(*) END AS created, max(l_quantity) >= 50 AS verified FROM x WHERE n NOT IN (0, 1, 2, 4, 6, 9, 10) GROUP BY file, u")
+def _(s, d):
+    return _summaries(s, d)[1]
+
+
+@query("s10_summary_trades", f"{SUMMARY_SQL} SELECT file, '09 ' || code AS code, count(*) AS n FROM x WHERE n NOT IN (0, 1, 2, 3, 4, 6, 9, 10) GROUP BY file, code")
+def _(s, d):
+    return _summaries(s, d)[2]
+
+
+@query(
+    "s10_refusals",
+    f"""{SUMMARY_SQL} SELECT file, CASE n WHEN 10 THEN 'no summary' WHEN 0 THEN 'no ledger line' WHEN 1 THEN 'no totals' WHEN 2 THEN 'summed with no trades file' WHEN 4 THEN 'not the shape of a trades line' WHEN 6 THEN 'no review line' WHEN 9 THEN 'no recheck line' END AS rule
+    FROM g WHERE n IN (0, 1, 2, 4, 6, 9, 10)""",
+)
+def _(s, d):
+    return _summaries(s, d)[3]

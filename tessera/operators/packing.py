@@ -2,57 +2,57 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordinals import folded, numbered
+
 
 def even_split(df: DataFrame, key: list[str], order: list[str], most: int = 12) -> DataFrame:
-    """Parts of at most `most` rows, sizes within one of each other, the earlier ones larger; from counts alone."""
-    w = Window.partitionBy(*key)
-    i, n = F.col("_i"), F.col("_n")
+    """Parts of at most `most` rows, sizes within one of each other, the earlier ones larger; from ordinals and counts alone."""
+    i, n = F.col("_i") - 1, F.col("_n")
     parts = F.ceil(n / most)
     base, extra = F.floor(n / parts), n % parts
     big = extra * (base + 1)
     part = F.when(i < big, F.floor(i / (base + 1))).otherwise(extra + F.floor((i - big) / base))
-    return df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w)).withColumn("part", part.cast("long")).drop("_i", "_n")
+    rows = numbered(df, order, key, "_i").alias("r")
+    sizes = rows.groupBy(*key).agg(F.max("_i").alias("_n")).alias("n")
+    joined = rows.join(sizes, [F.col(f"r.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key]).select("r.*", "n._n")
+    return joined.withColumn("part", part.cast("long")).drop("_i", "_n")
 
 
 def batches(df: DataFrame, key: list[str], order: list[str], size: int) -> DataFrame:
     """Fixed batches in order."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1) / size).cast("long"))
+    return numbered(df, order, key, "_i").withColumn("batch", F.floor((F.col("_i") - 1) / size).cast("long")).drop("_i")
 
 
 def fold_small(parts: DataFrame, key: list[str], order: str, size: str, least: int = 3, most: int = 12) -> DataFrame:
     """Adjoining parts joined while either is under `least` and both fit in `most`; (key, order, pass).
 
-    A pass depends on all before it, so each key's parts are folded in order in one expression.
+    The state is what the open pass has built: nothing, 0 to `most`, or more than that, where nothing can join.
     """
-    items = F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("n"))))
-    start = F.struct(F.lit(0).cast("long").alias("built"), F.lit(0).cast("long").alias("pass"), F.array().cast("array<struct<o:bigint,pass:bigint>>").alias("out"))
 
-    def step(a, x):
-        joins = (F.size(a["out"]) > 0) & (F.least(a["built"], x["n"]) < least) & (a["built"] + x["n"] <= most)
-        number = F.when(joins, a["pass"]).otherwise(a["pass"] + 1)
-        return F.struct(F.when(joins, a["built"] + x["n"]).otherwise(x["n"]).alias("built"), number.alias("pass"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), number.alias("pass")))).alias("out"))
+    def step(state, n):
+        built = state - 1
+        joins = (state > 0) & (np.minimum(built, n) < least) & (built + n <= most)
+        return np.minimum(np.where(joins, built + n, n), most + 1) + 1, ~joins
 
-    return parts.groupBy(*key).agg(F.aggregate(items, start, step, lambda a: a["out"]).alias("_x")).select(*key, F.explode("_x").alias("_x")).select(*key, F.col("_x.o").alias(order), F.col("_x.pass").alias("pass"))
+    return folded(parts.select(*key, order, size), [order], key, [F.greatest(F.col(size).cast("long"), F.lit(0))], most + 3, step, "pass").drop(size)
 
 
 def bins(groups: DataFrame, key: list[str], order: str, reviews: str, units: str, most_reviews: int = 8, most_units: int = 10) -> DataFrame:
-    """Whole groups put in the open bin while both limits hold, else in the next."""
-    items = F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(reviews).cast("long").alias("r"), F.col(units).cast("long").alias("u"))))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("r"), zero.alias("u"), zero.alias("bin"), F.array().cast("array<struct<o:bigint,bin:bigint>>").alias("out"))
-
-    def step(a, x):
-        fits = (F.size(a["out"]) > 0) & (a["r"] + x["r"] <= most_reviews) & (a["u"] + x["u"] <= most_units)
-        number = F.when(fits, a["bin"]).otherwise(a["bin"] + 1)
-        return F.struct(
-            F.when(fits, a["r"] + x["r"]).otherwise(x["r"]).alias("r"), F.when(fits, a["u"] + x["u"]).otherwise(x["u"]).alias("u"),
-            number.alias("bin"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), number.alias("bin")))).alias("out"),
-        )
-
-    return groups.groupBy(*key).agg(F.aggregate(items, start, step, lambda a: a["out"]).alias("_x")).select(*key, F.explode("_x").alias("_x")).select(*key, F.col("_x.o").alias(order), F.col("_x.bin").alias("bin"))
+    """Whole groups put in the open bin while both limits hold, else in the next; (key, order, bin). The state is what the open bin holds of both."""
+    wide = most_units + 2
+
+    def step(state, r, u):
+        have_r, have_u = (state - 1) // wide, (state - 1) % wide
+        fits = (state > 0) & (have_r + r <= most_reviews) & (have_u + u <= most_units)
+        new_r, new_u = np.where(fits, have_r + r, r), np.where(fits, have_u + u, u)
+        return np.minimum(new_r, most_reviews + 1) * wide + np.minimum(new_u, most_units + 1) + 1, ~fits
+
+    amounts = [F.greatest(F.col(c).cast("long"), F.lit(0)) for c in (reviews, units)]
+    return folded(groups.select(*key, order, reviews, units), [order], key, amounts, 1 + (most_reviews + 2) * wide, step, "bin").drop(reviews, units)
 
 
 def bind_ids(rows: DataFrame, key: str, part: str, order: str, ledger: DataFrame, plan: DataFrame) -> DataFrame:

@@ -83,3 +83,27 @@ def check_in_due(log: DataFrame, key: list[str], order: list[str], marker: Colum
     last = log.where(marker).groupBy(*key).agg(F.max(at).alias("_last"))
     g = log.join(last, key, "left").groupBy(*key).agg(F.count_if(counted & (F.col("_last").isNull() | (at > F.col("_last")))).alias("since"))
     return g.withColumn("due", F.col("since") >= every)
+
+
+def live_locations(entries: DataFrame) -> DataFrame:
+    """(subject, state, entry_id, value) of every subject of `entries` (entry_id, subject, predicate, supersedes_id, asserted_at, value, names).
+
+    A `locatedAt` entry is live unless an entry of its own subject and predicate supersedes it, or a standing retraction names it: a
+    `retractedBy` entry whose `names` (a list of ids) has its id stands unless a `retractionReversal` entry names it in turn. The
+    newest live one counts, of equal times the lowest id. Three states are kept apart: `never located`, `removed` (located once,
+    none is live) and `located`, which alone has an entry_id and value. What supersedes across subjects has no effect; ids in
+    `names` that no entry has name nothing; null subjects are passed over, a null time is the oldest.
+    """
+    e = entries.where("subject is not null")
+    named = lambda p: e.where(F.col("predicate") == p).select(F.col("entry_id").alias("by"), F.explode("names").alias("entry_id"))
+    undone = named("retractionReversal").select(F.col("entry_id").alias("by")).distinct()
+    gone = named("retractedBy").join(undone, "by", "left_anti").select("entry_id").distinct()
+    places = e.where("predicate = 'locatedAt'").select("entry_id", "subject", "supersedes_id", "asserted_at", "value")
+    old = places.where("supersedes_id is not null").select("subject", F.col("supersedes_id").alias("entry_id")).distinct()
+    live = places.join(old, ["subject", "entry_id"], "left_anti").join(gone, "entry_id", "left_anti")
+    # of the newest time the lowest id: ids are numbers or texts, so the order is told in two steps
+    newest = live.groupBy("subject").agg(F.max("asserted_at").alias("_t"))
+    best = live.join(newest, "subject").where(F.col("asserted_at").eqNullSafe(F.col("_t"))).groupBy("subject").agg(F.min(F.struct("entry_id", "value")).alias("_b"))
+    ever = e.groupBy("subject").agg(F.bool_or(F.col("predicate") == "locatedAt").alias("_ever"))
+    state = F.when(F.col("_b").isNotNull(), "located").when(F.col("_ever"), "removed").otherwise("never located")
+    return ever.join(best, "subject", "left").select("subject", state.alias("state"), F.col("_b.entry_id").alias("entry_id"), F.col("_b.value").alias("value"))

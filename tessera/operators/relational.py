@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import glob
+from tessera.operators.ordinals import numbered, running
 
 
 def select_units(df: DataFrame, discipline: Column | None = None, types: tuple[Column, list[str]] | None = None, patterns: tuple[Column, list[str]] | None = None) -> DataFrame:
@@ -84,9 +85,29 @@ def current_values(entries: DataFrame, slot: list[str], entry: str, supersedes:
 
 
 def running_cap(df: DataFrame, key: list[str], order: list[str], line: str, cap: int) -> DataFrame:
-    """The lines that fit whole under a cap on characters, a line break counted for each."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("used", F.sum(F.length(line) + 1).over(w)).where(F.col("used") <= cap)
+    """The lines that fit whole under a cap on characters, a line break counted for each; a null line is passed over."""
+    return running(df.where(F.col(line).isNotNull()), order, F.length(line) + 1, key, "used").where(F.col("used") <= cap)
+
+
+def capped_print(df: DataFrame, key: list[str], order: list[str], line: str, cap: int, from_line: int = 1, from_char: int = 0) -> DataFrame:
+    """K6: (key, printed, next_line, next_char) of one call of a resumable print, from a cursor on: whole lines while they fit in `cap`.
+
+    A line that does not fit by itself is cut, at the first place of a call only, so that every call gets on; the cursor then stands
+    within it. next_line and next_char are null where all is printed. Lines are numbered from 1 in each key's order; null lines are empty.
+    """
+    n = numbered(df.withColumn("_text", F.coalesce(line, F.lit(""))), order, key, "_n").where(F.col("_n") >= from_line)
+    n = n.withColumn("_text", F.when(F.col("_n") == from_line, F.substring("_text", F.lit(from_char + 1), F.length("_text"))).otherwise(F.col("_text")))
+    used = running(n.select(*key, "_n", "_text"), ["_n"], F.length("_text") + 1, key, "_used")
+    shown = used.where((F.col("_used") <= cap) | (F.col("_n") == from_line))
+    cut = (F.col("_n") == from_line) & (F.col("_used") > cap)
+    text = F.when(cut, F.substring("_text", 1, cap)).otherwise(F.col("_text"))
+    # what is printed has at most `cap` characters, whatever the key holds
+    got = shown.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", text.alias("t")))), lambda x: x["t"]), "\n").alias("printed"), F.max("_n").alias("_last"), F.bool_or(cut).alias("_cut"))
+    last = used.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.max("_n").alias("_all"))
+    out = got.join(last, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)])
+    more = F.col("_cut") | (F.col("_last") < F.col("_all"))
+    at = F.when(F.col("_cut"), F.col("_last")).otherwise(F.col("_last") + 1)
+    return out.select(*key, "printed", F.when(more, at).alias("next_line"), F.when(more, F.when(F.col("_cut"), from_char + cap).otherwise(0)).alias("next_char"))
 
 
 def fill_down(df: DataFrame, key: list[str], order: list[str], heading: Column) -> DataFrame:

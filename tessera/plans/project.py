@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import citations, continuations
+from tessera.operators import carry, citations, continuations, record
+from tessera.operators import regions as regions_
+from tessera.operators.ordinals import numbered
 from tessera.plans.registry import query, table
 from tessera.sources import comparison, grid, plan
 from tessera.sources.shared import fresh_folder
@@ -336,3 +338,101 @@ def _(s, d):
 )
 def _(s, d):
     return _summaries(s, d)[3]
+
+
+# -- record service ---------------------------------------------------------------------------------------------------------------
+# A user is a section: views locate it, clicks retract the location before them, purchases reverse the retraction before them, signups supersede the location before them.
+
+LOCATED_SQL = """WITH e AS (SELECT *, last_value(CASE WHEN event_type IN ('view', 'signup') THEN event_id END IGNORE NULLS) OVER w AS place, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER w AS taken
+        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    live AS (SELECT * FROM e WHERE event_type IN ('view', 'signup') AND event_id NOT IN (SELECT place FROM e WHERE event_type = 'signup' AND place IS NOT NULL)
+        AND event_id NOT IN (SELECT place FROM e WHERE event_type = 'click' AND place IS NOT NULL AND event_id NOT IN (SELECT taken FROM e WHERE event_type = 'purchase' AND taken IS NOT NULL)))"""
+
+
+@query(
+    "r31_live_locations",
+    f"""{LOCATED_SQL} SELECT c_custkey AS subject, CASE WHEN l.event_id IS NOT NULL THEN 'located' WHEN c_custkey IN (SELECT user_id FROM e WHERE event_type IN ('view', 'signup')) THEN 'removed' ELSE 'never located' END AS state, l.event_id AS entry_id, l.value
+    FROM customer LEFT JOIN (SELECT user_id, arg_min(event_id, struct_pack(d := -epoch_us(ts), i := event_id)) AS event_id FROM (SELECT user_id, event_id, ts FROM live) GROUP BY 1) m ON m.user_id = c_custkey LEFT JOIN e l ON l.event_id = m.event_id""",
+)
+def _(s, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    t = F.col("event_type")
+    before = lambda test: F.last(F.when(test, F.col("event_id")), ignorenulls=True).over(w)
+    e = table(s, d, "events").select("*", before(t.isin("view", "signup")).alias("place"), before(t == "click").alias("taken"))
+    predicate = F.when(t.isin("view", "signup"), "locatedAt").when(t == "click", "retractedBy").when(t == "purchase", "retractionReversal").otherwise("notedAs")
+    names = F.when(t == "click", F.array("place")).when(t == "purchase", F.array("taken")).otherwise(F.array().cast("array<bigint>"))
+    entries = e.select("event_id", F.col("user_id").alias("subject"), predicate.alias("predicate"), F.when(t == "signup", F.col("place")).alias("supersedes_id"), F.col("ts").alias("asserted_at"), "value", names.alias("names")).withColumnRenamed("event_id", "entry_id")
+    known = table(s, d, "customer").select(F.lit(None).cast("long").alias("entry_id"), F.col("c_custkey").alias("subject"), F.lit("listedAs").alias("predicate"), F.lit(None).cast("long").alias("supersedes_id"), F.lit(None).cast("timestamp").alias("asserted_at"), F.lit(None).cast("double").alias("value"), F.array().cast("array<bigint>").alias("names"))
+    out = record.live_locations(entries.unionByName(known.select(*[F.col(c).cast(entries.schema[c].dataType).alias(c) for c in entries.columns])))
+    return out.join(table(s, d, "customer").select(F.col("c_custkey").alias("subject")), "subject", "left_semi")
+
+
+# A customer's orders are a sheet's pages, each taking the place of the one before; an order in part changed it. Lines are references, those without tax to the whole sheet.
+
+CARRY_SQL = """WITH o AS (SELECT *, lead(o_orderkey) OVER w AS nxt, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last,
+        count(*) FILTER (WHERE o_orderstatus = 'P') OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS cut, last_value(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) = 'P' AS last_cut
+        FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+    r AS (SELECT l_partkey AS subject, l_orderkey AS page, CASE WHEN l_tax > 0 THEN l_linenumber END AS box, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS ref, last, cut - CAST(last_cut AS INT) = 0 AS same
+        FROM lineitem JOIN o ON o_orderkey = l_orderkey WHERE nxt IS NOT NULL),
+    t AS (SELECT *, CASE WHEN box IS NULL THEN 'left' WHEN NOT same THEN 'not carried' WHEN (subject, last) IN (SELECT (l_partkey, l_orderkey) FROM lineitem) THEN 'already there'
+        WHEN row_number() OVER (PARTITION BY subject, last, box, same ORDER BY ref) = 1 THEN 'carried' ELSE 'already there' END AS outcome FROM r)"""
+
+
+def _carried(s, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    steps = table(s, d, "orders").select(F.col("o_orderkey").alias("page"), F.lead("o_orderkey").over(w).alias("next_page"), (F.col("o_orderstatus") != "P").alias("same"))
+    lines = numbered(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], name="ref")
+    refs = lines.select("ref", F.col("l_partkey").alias("subject"), F.col("l_orderkey").alias("page"), F.when(F.col("l_tax") > 0, F.col("l_linenumber")).alias("box"))
+    there = table(s, d, "lineitem").select(F.col("l_partkey").alias("subject"), F.col("l_orderkey").alias("page"))
+    return carry.carry_forward(refs, steps, there)
+
+
+@query("r9_carried", f"{CARRY_SQL} SELECT subject, page, box, CASE WHEN same THEN last END AS to_page, outcome FROM t")
+def _(s, d):
+    return _carried(s, d)[0].drop("ref")
+
+
+@query(
+    "r9_balance",
+    f"""{CARRY_SQL} SELECT count(box) AS boxes, count(*) FILTER (WHERE box IS NULL) AS no_box, count(*) FILTER (WHERE outcome = 'carried') AS carried, count(*) FILTER (WHERE outcome = 'already there') AS already_there,
+    count(*) FILTER (WHERE outcome = 'not carried') AS not_carried, count(*) FILTER (WHERE outcome = 'left') AS left, true AS holds FROM t""",
+)
+def _(s, d):
+    return _carried(s, d)[1]
+
+
+# A supplier's lines are the words of a page; each customer of its nation asks for a region of it, of a size by the balance.
+
+SPAN_SQL = """WITH s AS (SELECT l_suppkey AS page, l_orderkey AS ord, l_partkey || 'x' || l_linenumber AS text, l_quantity * 20 AS x0, l_extendedprice / 100 AS y0, l_quantity * 20 + 5 * length(l_partkey || 'x') AS x1, l_extendedprice / 100 + 8 AS y1 FROM lineitem),
+    r AS (SELECT c_custkey || '-' || s_suppkey AS region, s_suppkey AS page, c_acctbal / 10 AS x0, s_acctbal / 10 AS y0, c_acctbal / 10 + 90 AS x1, s_acctbal / 10 + abs(c_acctbal) / 50 AS y1 FROM customer JOIN supplier ON s_nationkey = c_nationkey),
+    f AS (SELECT region, s.* FROM s JOIN r ON s.page = r.page AND s.x0 <= r.x1 AND r.x0 <= s.x1 AND s.y0 <= r.y1 AND r.y0 <= s.y1)"""
+
+
+def _spans(s, d):
+    c = F.col
+    text = F.concat("l_partkey", F.lit("x"), "l_linenumber")
+    x0, y0 = c("l_quantity") * 20, c("l_extendedprice") / 100
+    spans = table(s, d, "lineitem").select(c("l_suppkey").alias("page"), c("l_orderkey").alias("ord"), text.alias("text"), x0.alias("x0"), y0.alias("y0"), (x0 + 5 * F.length(F.concat("l_partkey", F.lit("x")))).alias("x1"), (y0 + 8).alias("y1"))
+    r = table(s, d, "customer").join(table(s, d, "supplier"), c("s_nationkey") == c("c_nationkey"))
+    regions = r.select(F.concat("c_custkey", F.lit("-"), "s_suppkey").alias("region"), c("s_suppkey").alias("page"), (c("c_acctbal") / 10).alias("x0"), (c("s_acctbal") / 10).alias("y0"), (c("c_acctbal") / 10 + 90).alias("x1"), (c("s_acctbal") / 10 + F.abs("c_acctbal") / 50).alias("y1"))
+    return regions_.spans_in(spans, regions), regions
+
+
+@query("r21_spans", f"{SPAN_SQL} SELECT region, page, ord, text FROM f")
+def _(s, d):
+    return _spans(s, d)[0].select("region", "page", "ord", "text")
+
+
+@query(
+    "r21_answers",
+    f"""{SPAN_SQL}, n AS (SELECT *, row_number() OVER w - 1 AS n, sum(length(text) + 1) OVER w AS upto, count(*) OVER (PARTITION BY region) AS total FROM f WINDOW w AS (PARTITION BY region ORDER BY ord, text, x0, y0, x1, y1)),
+    a AS (SELECT region, n AS "offset", upto - length(text) - 1 AS start FROM n WHERE n IN (0, 2)),
+    g AS (SELECT a.region, a."offset", string_agg(n.text, ' ' ORDER BY n.n) AS texts, count(n.n) AS k, max(total) AS total FROM a JOIN n ON n.region = a.region AND n.n >= a."offset" AND (n.upto - a.start <= 30 OR n.n = a."offset") GROUP BY ALL)
+    SELECT r.region, o AS "offset", coalesce(texts, '') AS texts, coalesce(g.total, (SELECT count(*) FROM f WHERE f.region = r.region)) AS span_count, CASE WHEN o + k < g.total THEN o + k END AS next_offset
+    FROM r CROSS JOIN (SELECT unnest([0, 2]) AS o) LEFT JOIN g ON g.region = r.region AND g."offset" = o""",
+)
+def _(s, d):
+    found, regions = _spans(s, d)
+    asked = regions.select("region", F.explode(F.array(F.lit(None).cast("int"), F.lit(2))).alias("offset"))
+    out = regions_.answers(found, asked, 30)
+    return out.select("region", "offset", F.array_join(F.transform("spans", lambda x: x["text"]), " ").alias("texts"), "span_count", "next_offset")

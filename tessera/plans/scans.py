@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import graph, record
+from tessera.operators.ordinals import numbered
 from tessera.plans.registry import query, table
 from tessera.sources import lines as L
 
@@ -17,7 +18,7 @@ from tessera.sources import lines as L
     "s7_ledger_scan",
     """SELECT event_id, CASE event_type WHEN 'click' THEN 'dispatch' WHEN 'purchase' THEN 'verified' WHEN 'refund' THEN 'pass' ELSE 'note' END AS keyword, event_type = 'refund' AS is_lead,
     CASE WHEN event_type <> 'refund' THEN 'U-' || user_id END AS unit_id, CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS BIGINT) END AS created,
-    CASE WHEN event_type = 'purchase' THEN CASE WHEN value < 50 THEN 'mismatch' ELSE 'ok' END END AS result, CASE WHEN event_type = 'click' THEN 'A' || (event_id % 7) || ',B2' END AS sheets,
+    CASE WHEN event_type = 'purchase' THEN CASE WHEN value < 50 THEN 'mismatch' ELSE 'ok' END END AS result, CASE WHEN event_type = 'click' AND event_id % 10 <> 0 THEN 'A' || (event_id % 7) || ',B2' END AS sheets,
     CASE WHEN event_type = 'click' AND event_id % 10 = 0 THEN 'names no sheets' END AS error FROM events""",
 )
 def _(s, d):
@@ -29,8 +30,7 @@ def _(s, d):
         .when(t == "refund", F.lit("pass: P1 created 99")).otherwise(F.concat(F.lit("note"), u, F.lit(" kind clause")))
     )
     got = L.scan_ledger(e.select("event_id", F.lit("ledger.md").alias("file"), F.col("event_id").alias("line_no"), line.alias("line")))
-    sheets = F.when(F.col("keyword") == "dispatch", F.when(F.col("error").isNull(), F.array_join("sheets", ",")).otherwise(F.concat(F.lit("A"), (F.col("event_id") % 7).cast("string"), F.lit(",B2"))))
-    return got.select("event_id", "keyword", "is_lead", "unit_id", "created", "result", sheets.alias("sheets"), "error")
+    return got.select("event_id", "keyword", "is_lead", "unit_id", "created", "result", F.array_join("sheets", ",").alias("sheets"), "error")
 
 
 @query("s11_trades_scan", "SELECT 'u' || l_suppkey AS unit_id, p_type AS code, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
@@ -55,14 +55,14 @@ def _(s, d):
     return L.last_names(L.scan_names(names))
 
 
-@query("s14_outcome_scan", "SELECT o_orderkey, 'k' || o_custkey AS key, CASE o_orderstatus WHEN 'F' THEN 'recited' WHEN 'O' THEN 'not found' END AS outcome, CASE WHEN o_orderstatus <> 'P' THEN 'a \"b\" | ' || o_orderpriority END AS name, o_orderstatus = 'P' AS refused FROM orders")
+@query("s14_outcome_scan", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN 'k' || o_custkey END AS key, CASE o_orderstatus WHEN 'F' THEN 'recited' WHEN 'O' THEN 'not found' END AS outcome, CASE WHEN o_orderstatus <> 'P' THEN 'a \"b\" | ' || o_orderpriority END AS name, o_orderstatus = 'P' AS refused FROM orders")
 def _(s, d):
     o = table(s, d, "orders")
     outcome = F.when(F.col("o_orderstatus") == "F", "recited").when(F.col("o_orderstatus") == "O", "not found").otherwise("lost")
     name = F.substring(F.to_json(F.struct(F.concat(F.lit('a "b" | '), "o_orderpriority").alias("x"))), 6, 10_000)
     line = F.concat(F.lit("row: k"), "o_custkey", F.lit(" | "), outcome, F.lit(" | p 1 | "), F.regexp_replace(name, r"\}$", ""), F.lit(" | what | else"))
     got = L.scan_outcomes(o.select("o_orderkey", "o_custkey", line.alias("line")))
-    return got.select("o_orderkey", F.coalesce("key", F.concat(F.lit("k"), "o_custkey")).alias("key"), "outcome", "name", F.col("error").isNotNull().alias("refused"))
+    return got.select("o_orderkey", "key", "outcome", "name", F.col("error").isNotNull().alias("refused"))
 
 
 @query("s16_fold_report", "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'kept' WHEN 1 THEN 'sealant kept' WHEN 2 THEN 'deleted' END AS label, CASE WHEN n_nationkey % 4 = 2 THEN 'pkg-' || n_regionkey END AS package FROM nation")
@@ -93,8 +93,8 @@ def _grid(s, d, with_offset):
     page = table(s, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(row)).alias("sheets"))
     body = F.to_json(F.struct((-F.col("n_regionkey")).alias("offset"), "sheets")) if with_offset else F.when(F.col("n_regionkey") > 0, F.to_json("sheets")).otherwise(F.to_json(F.struct(F.lit(9).alias("offset"), "sheets")))
     got = L.scan_pages(page.select(F.concat(F.lit("p"), F.col("n_regionkey").cast("string")).alias("file"), body.alias("json")))
-    n = F.row_number().over(Window.orderBy("page_ord", "row_ord")).cast("long")  # a grid is small
-    return got.select(F.try_variant_get("sheet", "$.k", "int").alias("key"), n.alias("place"))
+    placed = numbered(got.select("page_ord", "row_ord", F.try_variant_get("sheet", "$.k", "int").alias("key")), ["page_ord", "row_ord"], name="place")
+    return placed.select("key", "place")
 
 
 @query("s3_pages_by_offset", GRID_SQL.format(order="-n_regionkey"))
@@ -107,21 +107,27 @@ def _(s, d):
     return _grid(s, d, False)
 
 
-@query("s5_packages", "SELECT count(*) FILTER (WHERE s_nationkey < 3) AS no_trade, count(*) FILTER (WHERE n > 1) AS twice FROM (SELECT s_nationkey, count(*) OVER (PARTITION BY s_nationkey, s_suppkey % 5) AS n FROM supplier)")
+@query(
+    "s5_packages",
+    """WITH p AS (SELECT c_nationkey AS file, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place, c_mktsegment || c_custkey // 30 AS id, c_acctbal FROM customer),
+    r AS (SELECT *, c_acctbal < 0 AS bare, row_number() OVER (PARTITION BY file, id ORDER BY place) > 1 AS again FROM p)
+    SELECT 'n' || file AS file, CAST(place AS INT) AS place, CASE WHEN bare THEN 'no tradeCode' WHEN c_acctbal > 9000 THEN 'codes are no list of texts' WHEN again THEN 'an id is there twice' END AS rule, CASE WHEN NOT bare AND c_acctbal <= 9000 AND NOT again THEN id END AS id FROM r""",
+)
 def _(s, d):
-    p = table(s, d, "supplier").select("s_nationkey", F.concat_ws("-", "s_nationkey", F.col("s_suppkey") % 5).alias("id"), F.when(F.col("s_nationkey") >= 3, "03 30 00").alias("tradeCode"))
-    twice = p.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("twice"))
-    return p.agg(F.count_if(F.col("tradeCode").isNull()).alias("no_trade")).join(F.broadcast(twice))
+    c = F.col
+    own = F.concat("c_mktsegment", F.floor(c("c_custkey") / 30).cast("string"))
+    body = F.struct("c_custkey", F.to_json(F.struct(own.alias("id"), F.when(c("c_acctbal") >= 0, "09 65 00").alias("tradeCode"), F.when(c("c_acctbal") <= 9000, F.array(F.lit("09 65 00"))).alias("codes"))).alias("x"))
+    files = table(s, d, "customer").groupBy("c_nationkey").agg(F.transform(F.array_sort(F.collect_list(body)), lambda b: b["x"]).alias("x"))
+    packages, refusals = L.scan_packages(files.select(F.concat(F.lit("n"), "c_nationkey").alias("file"), F.concat(F.lit("["), F.array_join("x", ", "), F.lit("]")).alias("json")))
+    return packages.select("file", "place", F.lit(None).cast("string").alias("rule"), "id").union(refusals.select("*", F.lit(None).cast("string")))
 
 
-@query("s19_deliveries", "SELECT event_id, CASE event_type WHEN 'click' THEN 'set' WHEN 'view' THEN 'addendum' END AS issue, event_type NOT IN ('click', 'view', 'purchase') AS refused FROM events")
+@query("s19_deliveries", "SELECT event_id, CASE event_type WHEN 'click' THEN 'set' WHEN 'view' THEN 'addendum' END AS issue, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN false END AS still_reading, CASE event_type WHEN 'signup' THEN 'no issue' WHEN 'error' THEN 'another issue' END AS error FROM events")
 def _(s, d):
     t = F.col("event_type")
-    body = F.concat(F.lit('{"id":"x","stillReading":false,"issue":'), F.when(t == "click", '"set"').when(t == "view", '"addendum"').when(t == "purchase", "null").otherwise('"other"'), F.lit("}"))
-    v = F.parse_json(body)
-    issue = F.try_variant_get(v, "$.issue", "string")
-    legal = F.coalesce(issue.isin("set", "addendum"), F.contains(body, F.lit('"issue":null')))
-    return table(s, d, "events").select("event_id", F.when(legal, issue).alias("issue"), (~legal).alias("refused"))
+    issue = F.when(t == "click", ',"issue":"set"').when(t == "view", ',"issue" : "addendum"').when(t == "purchase", ',"issue": null').when(t == "signup", "").otherwise(',"issue":"other"')
+    line = F.concat(F.lit('{"id":"x","stillReading":false'), issue, F.lit("}"))
+    return L.scan_deliveries(table(s, d, "events").select("event_id", line.alias("line"))).select("event_id", "issue", "still_reading", "error")
 
 
 @query("s23_labels", "SELECT s_suppkey, n_name || ' and ' || r_name AS label FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
@@ -355,11 +361,10 @@ def _(s, d):
     return record.append(current, entries, ["subject"]).select("o_orderkey", "accepted")
 
 
-@query("r3_search", "SELECT event_id AS entry_id FROM events WHERE starts_with(CAST(user_id AS VARCHAR), '1') AND event_type = 'click' AND contains(props, '7') ORDER BY 1 LIMIT 50 OFFSET 5")
+@query("r3_search", """SELECT event_id AS entry_id FROM events WHERE starts_with(CAST(user_id AS VARCHAR), '1') AND event_type = 'click' AND contains(user_id || ' ' || event_type || ' ' || lower(props), '"k": 7') ORDER BY 1 LIMIT 50 OFFSET 5""")
 def _(s, d):
     e = table(s, d, "events").select(F.col("event_id").alias("entry_id"), F.col("user_id").cast("string").alias("subject"), F.col("event_type").alias("predicate"), F.col("props").alias("value"))
-    only = e.withColumn("subject", F.col("subject"))
-    return record.search(only.where(F.contains("value", F.lit("7"))), prefix="1", predicate="click", limit=50, offset=5).select("entry_id")
+    return record.search(e, prefix="1", predicate="click", text='"K": 7', limit=50, offset=5).select("entry_id")
 
 
 @query("r5_latest_issue", "SELECT l_partkey, arg_max(l_orderkey, struct_pack(a := l_shipdate, b := l_orderkey, c := l_linenumber)) AS latest, count(*) AS occurrences FROM lineitem GROUP BY 1")

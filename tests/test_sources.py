@@ -15,10 +15,53 @@ def test_lines_are_whole_and_in_name_order(spark, tmp_path):
     (tmp_path / "b.txt").write_text("three\nhalf writ")
     (tmp_path / "a.txt").write_text("one\n\ntwo\n")
     (tmp_path / "c.txt").write_text("")
-    got = [tuple(r) for r in L.read_lines(spark, f"file://{tmp_path}").collect()]
+    got = sorted(tuple(r) for r in L.read_lines(spark, f"file://{tmp_path}").collect())
     assert got == [("a.txt", 1, "one"), ("a.txt", 2, ""), ("a.txt", 3, "two"), ("b.txt", 1, "three")]
 
 
+def test_empty_folder_is_refused(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no file"):
+        L.read_lines(spark, f"file://{tmp_path}/none")
+
+
+def test_outcomes_refuse_each_flaw(spark):
+    cases = {
+        "row: k1 | updated | p 1 | \"a | b\" | went | on": None, "row: k1 | updated | p 1 | \"a\\\" | b\" | x": None, "row:  | updated | p 1 | \"a\" | x": "no key", "row: k1 | retired | p 1 | \"a\" | x": "no outcome of its kind",
+        "row: k1 | updated |  | \"a\" | x": "no page", "row: k1 | updated | p 1 | a | x": "no quoted name", "row: k1 | updated | p 1 | \"a\"": "no quoted name", "item: x | kept | y": "no item", "item: scopeItem:1 | updated | y": "no outcome of its kind",
+        "item: scopeItem:1 | kept": "does not say what", "item: scopeItem:1 | kept | y | z": None, "row: k1": "no outcome of its kind",
+    }
+    got = {r["line"]: r for r in L.scan_outcomes(as_lines(spark, *cases)).collect()}
+    assert {x: r["error"] for x, r in got.items()} == cases
+    assert [(r["name"], r["what"]) for x, r in got.items() if x.startswith("row") and cases[x] is None] == [("a | b", "went | on"), ('a" | b', "x")]
+    assert got["item: scopeItem:1 | kept | y | z"]["what"] == "y | z" and got["row: k1 | updated |  | \"a\" | x"]["key"] is None
+
+
+def test_deleted_lines(spark):
+    cases = {
+        "deleted: a door, trade 09 65 00, package pkg-1, no work left": "pkg-1", "deleted: x, trade y, z, trade 09, package pkg-2, why, so": "pkg-2", "deleted: , trade 09, package pkg-1, why": None, "deleted: x, trade <code>, package pkg-1, why": None,
+        "deleted: x, trade 09, package pkg-1": None, "deleted: x, trade 09, package pkg-1, ": None, "deleted: x, package pkg-1, why": None, "deleted: x, trade 09, package p-1, why": None, "deleted: x, trade 09, package pkg-, why": None,
+    }
+    got = {r["line"]: (r["package"], r["error"]) for r in L.scan_fold_report(as_lines(spark, *cases)).collect()}
+    assert got == {x: (p, None if p else "not the shape of a deleted line") for x, p in cases.items()}
+
+
+def test_packages(spark):
+    body = '[{"id":"a","tradeCode":"09","codes":["1","2"],"name":"N"},{"id":"a","tradeCode":"09","codes":[]},{"tradeCode":"09","codes":[]},{"id":"b","tradeCode":" ","codes":[]},{"id":"c","tradeCode":"09","codes":[1]},{"id":"d","tradeCode":"09"}]'
+    packages, refusals = L.scan_packages(spark.createDataFrame([("f", body), ("g", "{}"), ("h", "[")], "file string, json string"))
+    assert [tuple(r) for r in packages.collect()] == [("f", 0, "a", "09", ["1", "2"], "N")]
+    want = {("f", 1, "an id is there twice"), ("f", 2, "no id"), ("f", 3, "no tradeCode"), ("f", 4, "codes are no list of texts"), ("f", 5, "codes are no list of texts"), ("g", None, "no list of packages"), ("h", None, "no list of packages")}
+    assert {tuple(r) for r in refusals.collect()} == want
+
+
+def test_deliveries_keep_three_issues_apart(spark):
+    cases = {'{"id":"x","issue": null,"stillReading":false}': None, '{"id":"x","issue":"set","stillReading":true}': None, '{"id":"x","stillReading":true}': "no issue", '{"id":"x","issue":"other","stillReading":true}': "another issue", '{"id":"x","issue":"set","stillReading":"no"}': "stillReading is no flag", '{"issue":"set"}': "no delivery", "{": "no delivery"}
+    got = {r["line"]: r for r in L.scan_deliveries(as_lines(spark, *cases)).collect()}
+    assert {x: r["error"] for x, r in got.items()} == cases
+    lenient = {r["line"]: (r["issue"], r["still_reading"], r["error"]) for r in L.scan_deliveries(as_lines(spark, *cases), strict=False).collect()}
+    assert lenient['{"id":"x","issue":"other","stillReading":true}'] == (None, True, None) and lenient['{"id":"x","issue":"set","stillReading":"no"}'] == ("set", False, None) and lenient["{"][2]
+
+
 def test_broken_json_is_refused(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"a": 1}')
     assert L.read_strict(spark, f"file://{tmp_path}/x.json", "a long").first()["a"] == 1

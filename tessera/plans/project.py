@@ -9,7 +9,7 @@ from tessera.operators import carry, citations, continuations, record
 from tessera.operators import regions as regions_
 from tessera.operators.ordinals import numbered
 from tessera.plans.registry import query, table
-from tessera.sources import comparison, grid, plan
+from tessera.sources import comparison, grid, plan, standard
 from tessera.sources.shared import fresh_folder
 from tessera.streaming import once, tail
 
@@ -436,3 +436,84 @@ def _(s, d):
     asked = regions.select("region", F.explode(F.array(F.lit(None).cast("int"), F.lit(2))).alias("offset"))
     out = regions_.answers(found, asked, 30)
     return out.select("region", "offset", F.array_join(F.transform("spans", lambda x: x["text"]), " ").alias("texts"), "span_count", "next_offset")
+
+
+# -- standard lines ---------------------------------------------------------------------------------------------------------------
+# A supplier is a trade's file, its lines the table's rows; nations and regions are the names of trades, a nation's package the smallest of its suppliers with a good balance.
+
+STANDARD_SQL = """WITH x AS (SELECT s_suppkey, s_name, s_nationkey AS a, (s_nationkey + 1) % 25 AS b, s_acctbal < 0 AS bad, l.*, row_number() OVER (PARTITION BY s_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS ord FROM lineitem l JOIN supplier ON s_suppkey = l_suppkey),
+    region_trades AS (SELECT r_regionkey, r_name, list('t' || n_nationkey ORDER BY n_nationkey) AS ts FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY ALL),
+    y AS (SELECT x.*, r_name, ts, CASE WHEN l_returnflag = 'N' THEN 'Which Trade' WHEN l_returnflag = 'A' THEN 'Pricing' ELSE 'Incidental' END AS kind, l_tax = 0 AS price,
+        CASE l_linenumber WHEN 1 THEN 'Set by NATION_' || a WHEN 2 THEN 'Set by NATION_' || a || ' or NATION_' || b || ' Not ' || r_name WHEN 3 THEN 'Set by Owner, wired with ' || r_name WHEN 4 THEN 'Set by the ' || r_name WHEN 5 THEN 'Set by Nobody' ELSE 'NATION_' || b || ' Install with NATION_' || a END AS line,
+        CASE WHEN l_linestatus = 'O' THEN 'see nation_' || b ELSE '' END AS condition FROM x JOIN nation ON n_nationkey = a JOIN region_trades ON r_regionkey = n_regionkey),
+    h AS (SELECT 'S-' || s_suppkey AS file, ord, 0 AS half, CASE l_linenumber WHEN 2 THEN 'or' WHEN 3 THEN 'owner' WHEN 4 THEN 'each' ELSE 'one' END AS shape, CASE l_linenumber WHEN 2 THEN ['t' || a, 't' || b] WHEN 3 THEN [] WHEN 4 THEN ts ELSE ['t' || a] END AS trades,
+            list_distinct(['t' || a] || CASE WHEN l_linenumber IN (2, 3, 4) THEN ts ELSE [] END || CASE WHEN l_linenumber > 5 OR l_linenumber = 2 OR l_linestatus = 'O' THEN ['t' || b] ELSE [] END) AS involved FROM y WHERE kind = 'Which Trade' AND NOT price AND l_linenumber <> 5
+        UNION ALL SELECT 'S-' || s_suppkey, ord, 1, 'each', ts, list_distinct(['t' || a] || ts || CASE WHEN l_linestatus = 'O' THEN ['t' || b] ELSE [] END) FROM y WHERE kind = 'Which Trade' AND NOT price AND l_linenumber = 3)"""
+
+
+def _standard(s, d):
+    c = F.col
+    own, nxt = c("s_nationkey").cast("string"), ((c("s_nationkey") + 1) % 25).cast("string")
+    names = table(s, d, "nation").join(F.broadcast(table(s, d, "region")), c("r_regionkey") == c("n_regionkey"))
+    x = table(s, d, "lineitem").join(table(s, d, "supplier"), c("s_suppkey") == c("l_suppkey")).join(F.broadcast(names.select("n_nationkey", "r_name")), c("n_nationkey") == c("s_nationkey"))
+    x = numbered(x, ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"], ["s_suppkey"], "ord")
+    n = c("l_linenumber")
+    line = (
+        F.when(n == 1, F.concat(F.lit("Set by NATION_"), own)).when(n == 2, F.concat(F.lit("Set by NATION_"), own, F.lit(" or NATION_"), nxt, F.lit(" Not "), "r_name")).when(n == 3, F.concat(F.lit("Set by Owner, wired with "), "r_name"))
+        .when(n == 4, F.concat(F.lit("Set by the "), "r_name")).when(n == 5, "Set by Nobody").otherwise(F.concat(F.lit("NATION_"), nxt, F.lit(" Install with NATION_"), own))
+    )
+    which = c("l_returnflag") == "N"
+    kind = F.when(c("l_tax") == 0, "Price").when(which, "Which Trade").when(c("l_returnflag") == "A", "Pricing").otherwise("Incidental")
+    row_name = F.concat(F.lit("row "), "ord", F.when(which & (n == 3), F.concat(F.lit("; Row "), "ord", F.lit(" b"))).otherwise(""))
+    row = F.concat(F.lit("| "), kind, F.lit(" | "), line, F.lit(" | "), F.when(c("l_linestatus") == "O", F.concat(F.lit("see nation_"), nxt)).otherwise(""), F.lit(" | | "), row_name, F.lit(" |"))
+    number = F.concat(F.lit("09 "), F.lpad(own, 2, "0"))
+    top = F.concat(F.lit("# "), "s_name", F.lit("\nNumbers: 09 99, "), number, F.lit("\nHome: "), F.when(c("s_acctbal") < 0, "08 00").otherwise(number), F.lit("\n" + standard.HEADER + "\n|---|---|---|---|---|"))
+    tops = table(s, d, "supplier").select(F.concat(F.lit("S-"), "s_suppkey").alias("file"), F.posexplode(F.split(top, "\n")).alias("line_no", "line"))
+    lines = tops.select("file", F.col("line_no").cast("long"), "line").union(x.select(F.concat(F.lit("S-"), "s_suppkey"), c("ord") + 10, row))
+    nations = names.select("n_nationkey", "r_name").orderBy("n_nationkey").collect()  # 25 names
+    trades = {f"NATION_{r['n_nationkey']}": [f"t{r['n_nationkey']}"] for r in nations}
+    for r in nations:
+        trades.setdefault(r["r_name"], []).append(f"t{r['n_nationkey']}")
+    return standard.scan_standard_lines(lines), trades
+
+
+@query("s17_standard_rows", f"{STANDARD_SQL} SELECT 'S-' || s_suppkey AS file, ord, kind, line, condition, len(CASE WHEN kind = 'Which Trade' AND l_linenumber = 3 THEN [1, 2] ELSE [1] END) AS n_names FROM y WHERE NOT price")
+def _(s, d):
+    return _standard(s, d)[0][1].select("file", F.col("ord").cast("long").alias("ord"), "kind", "line", "condition", F.size("names").alias("n_names"))
+
+
+@query("s17_refusals", f"{STANDARD_SQL} SELECT 'S-' || s_suppkey AS file, ord, 'no such kind' AS rule FROM y WHERE price UNION ALL SELECT 'S-' || s_suppkey, NULL, CASE WHEN s_acctbal < 0 THEN 'a home is under none of the numbers' ELSE 'no line' END FROM supplier WHERE s_acctbal < 0 OR s_suppkey NOT IN (SELECT l_suppkey FROM lineitem)")
+def _(s, d):
+    return _standard(s, d)[0][2].select("file", F.col("ord").cast("long").alias("ord"), "rule")
+
+
+@query("p16_halves", f"{STANDARD_SQL} SELECT file, ord, half, shape, array_to_string(trades, ',') AS trades, len(involved) AS n_involved FROM h")
+def _(s, d):
+    (_, rows, _), trades = _standard(s, d)
+    halves = standard.which_trade(rows, trades, ["Owner"])[0]
+    own = table(s, d, "supplier").select(F.concat(F.lit("S-"), "s_suppkey").alias("file"), F.concat(F.lit("t"), "s_nationkey").alias("t"))
+    involved = F.array_union(F.array_union("named", "condition_trades"), F.array("t"))
+    return halves.join(own, "file").select("file", F.col("ord").cast("long").alias("ord"), "half", "shape", F.array_join("trades", ",").alias("trades"), F.size(involved).alias("n_involved"))
+
+
+@query(
+    "j18_half_writers",
+    f"""{STANDARD_SQL}, place AS (SELECT 't' || s_nationkey AS trade, 'p' || lpad(CAST(min(s_suppkey) AS VARCHAR), 9, '0') AS package FROM supplier WHERE s_acctbal > 3000 GROUP BY 1),
+    e AS (SELECT file, ord, half, shape, trades, unnest(involved) AS trade FROM h),
+    g AS (SELECT file, ord, half, shape, coalesce(list_sort(list_distinct(list(package) FILTER (WHERE list_contains(trades, trade)))), []) AS live, coalesce(list_sort(list_distinct(list(package) FILTER (WHERE NOT list_contains(trades, trade)))), []) AS rest FROM e LEFT JOIN place USING (trade) GROUP BY ALL),
+    o AS (SELECT *, list_filter(rest, lambda p: NOT list_contains(live, p)) AS others FROM g),
+    w AS (SELECT *, CASE WHEN shape = 'owner' THEN NULL WHEN shape = 'each' AND len(live) > 0 THEN live WHEN len(live) > 0 THEN [live[1]] WHEN len(others) > 0 THEN [others[1]] ELSE [] END AS writers,
+        CASE WHEN shape = 'each' THEN len(others) * greatest(1, len(live)) WHEN shape = 'or' AND len(live) > 0 THEN 1 + len(others) ELSE len(others) END AS n FROM o)
+    SELECT w.file, w.ord, w.half, w.shape, array_to_string(coalesce(w.writers, b.writers), ',') AS writers, CASE WHEN w.shape = 'owner' THEN len(b.writers) ELSE w.n END AS n_records, w.shape <> 'owner' AND (w.shape = 'or' OR len(w.live) = 0) AS left
+    FROM w LEFT JOIN w b ON b.file = w.file AND b.ord = w.ord AND b.half <> w.half""",
+)
+def _(s, d):
+    (_, rows, _), trades = _standard(s, d)
+    halves = standard.which_trade(rows, trades, ["Owner"])[0]
+    supplier = table(s, d, "supplier")
+    own = supplier.select(F.concat(F.lit("S-"), "s_suppkey").alias("file"), F.concat(F.lit("t"), "s_nationkey").alias("trade"))
+    carriers = rows.select("file", "ord").join(own, "file")
+    places = supplier.where("s_acctbal > 3000").groupBy(F.concat(F.lit("t"), "s_nationkey").alias("trade")).agg(F.concat(F.lit("p"), F.lpad(F.min("s_suppkey").cast("string"), 9, "0")).alias("package"))
+    homes = table(s, d, "nation").select(F.concat(F.lit("t"), "n_nationkey").alias("trade"), F.concat(F.lit("09 "), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("home"))
+    out = standard.half_writers(halves, carriers, places, homes)
+    return out.select("file", F.col("ord").cast("long").alias("ord"), "half", "shape", F.array_join("writers", ",").alias("writers"), F.size("records").alias("n_records"), "left")

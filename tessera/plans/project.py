@@ -9,7 +9,8 @@ from tessera.operators import carry, citations, continuations, record
 from tessera.operators import regions as regions_
 from tessera.operators.ordinals import numbered
 from tessera.plans.registry import query, table
-from tessera.sources import comparison, grid, plan, standard
+from tessera.sources import comparison, grid, plan, sinks, standard
+from tessera.sources import lines as L
 from tessera.sources.shared import fresh_folder
 from tessera.streaming import once, tail
 
@@ -517,3 +518,42 @@ def _(s, d):
     homes = table(s, d, "nation").select(F.concat(F.lit("t"), "n_nationkey").alias("trade"), F.concat(F.lit("09 "), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("home"))
     out = standard.half_writers(halves, carriers, places, homes)
     return out.select("file", F.col("ord").cast("long").alias("ord"), "half", "shape", F.array_join("writers", ",").alias("writers"), F.size("records").alias("n_records"), "left")
+
+
+# -- sinks ------------------------------------------------------------------------------------------------------------------------
+# A supplier's line numbers are the units of a pass, a line each of its log; both are written to files and read again.
+
+
+@query(
+    "k5_summaries",
+    """WITH u AS (SELECT l_suppkey AS f, l_linenumber AS ord, count(*) AS created, count(DISTINCT l_orderkey) AS items, count(*) FILTER (WHERE l_returnflag = 'A') AS updated, count(*) FILTER (WHERE l_returnflag = 'R') AS questions, count(*) FILTER (WHERE l_discount = 0) AS conflicts, max(l_quantity) >= 50 AS ok FROM lineitem GROUP BY ALL),
+    t AS (SELECT l_suppkey AS f, string_agg('09 ' || l_returnflag || ' x' || n, ', ' ORDER BY n DESC, l_returnflag) AS x FROM (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1),
+    line AS (SELECT f, 1 AS a, 0 AS b, 'window: 2   pass: P-' || f AS line FROM u GROUP BY f UNION ALL SELECT f, 2, 0, 'units read: ' || string_agg('U-' || ord, ', ' ORDER BY ord) FROM u GROUP BY f
+        UNION ALL SELECT f, 3, ord, 'per unit: U-' || ord || ' created ' || created || ' items ' || items || ' updated ' || updated || ' questions ' || questions || ' replied 0 conflicts ' || conflicts || ' verified ' || CASE WHEN ok THEN 'yes' ELSE 'no' END FROM u
+        UNION ALL SELECT f, 4, 0, 'totals verified: created ' || sum(created) || ' (entry count under the unit prefixes), items ' || sum(items) || ' (reader''s own item count), updated ' || sum(updated) || ', questions ' || sum(questions) || ' replied 0' FROM u GROUP BY f
+        UNION ALL SELECT f, 5, 0, 'trades: ' || x FROM t
+        UNION ALL SELECT f, 6, 0, CASE WHEN sum(conflicts) > 0 THEN 'conflicting rows: ' || sum(conflicts) || ', on units ' || string_agg('U-' || ord, ', ' ORDER BY ord) FILTER (WHERE conflicts > 0) ELSE 'conflicting rows: none' END FROM u GROUP BY f)
+    SELECT 'pass-' || f || '.md' AS file, row_number() OVER (PARTITION BY f ORDER BY a, b) AS line_no, line FROM line""",
+)
+def _(s, d):
+    c, flag = F.col, F.col("l_returnflag")
+    lines = table(s, d, "lineitem").withColumn("file", F.concat(F.lit("pass-"), "l_suppkey", F.lit(".md")))
+    counts = [F.count("*").alias("created"), F.countDistinct("l_orderkey").alias("items"), F.count_if(flag == "A").alias("updated"), F.count_if(flag == "R").alias("questions"), F.lit(0).alias("replied"), F.count_if(c("l_discount") == 0).alias("conflicts"), F.when(F.max("l_quantity") >= 50, "ok").otherwise("mismatch").alias("result")]
+    units = lines.groupBy("file", "l_suppkey", "l_linenumber").agg(*counts)
+    units = units.select("*", F.lit("2").alias("window"), F.concat(F.lit("P-"), "l_suppkey").alias("pass"), c("l_linenumber").alias("ord"), F.concat(F.lit("U-"), "l_linenumber").alias("unit"), F.lit(1).alias("reads"))
+    trades = lines.groupBy("file", F.concat(F.lit("09 "), flag).alias("code")).agg(F.count("*").alias("n"))
+    none = s.createDataFrame([], "file string, ledger string, last_line string, lines int, hash string")
+    path = fresh_folder(s, "summaries")
+    sinks.write_lines(sinks.render_summaries(units, trades, none), path)
+    return L.read_lines(s, path).select("file", c("line_no").cast("long").alias("line_no"), "line")
+
+
+@query("k4_appended_logs", "SELECT 'log-' || user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_type IN ('click', 'view') DESC, ts, event_id) AS line_no, event_type || ' ' || event_id AS line FROM events")
+def _(s, d):
+    """Logs that are begun with clicks and views, then have all else appended."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(s, d, "events").select(F.concat(F.lit("log-"), "user_id").alias("file"), F.row_number().over(w).alias("line_no"), F.concat("event_type", F.lit(" "), "event_id").alias("line"), F.col("event_type").isin("click", "view").alias("first"))
+    path = fresh_folder(s, "logs")
+    sinks.write_lines(e.where("first"), path)
+    sinks.write_lines(e.where("not first"), path, append=True)
+    return L.read_lines(s, path).select("file", F.col("line_no").cast("long").alias("line_no"), "line")

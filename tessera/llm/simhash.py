@@ -139,7 +139,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(xxh_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
-#: The general operator's fingerprints: so many, of so many bits, each met within so many bits.
+#: The general operator's fingerprints: so many, of so many bits, each met within so many bits. The first is a SimHash; the others are
+#: bits of the sketch, of which two texts at the similarity below differ in 5 of 48 on average, and in 7 of a SimHash's.
 PRINTS, BITS, RADIUS = 3, 48, 5
 #: Words of a shingle, and the similarity from which two texts count as near copies.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -185,20 +186,26 @@ def sketch(s: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
-F_NAMES, S_NAMES, M_NAMES = [f"f{k}" for k in range(PRINTS)], [f"s{k}" for k in range(ROUNDS * BINS // 64)], [f"m{k}" for k in range(LEASTS)]
+E_NAMES, S_NAMES, M_NAMES = ["e0", "e1"], [f"s{k}" for k in range(ROUNDS * BINS // 64)], [f"m{k}" for k in range(LEASTS)]
 
 
 def word_prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0.., s0.., m0..): independent fingerprints, the sketch, and keys of two least hashes each, of the set of `SHINGLE`-word shingles."""
+    """(doc_id, e0, e1, f0, s0.., m0..): a digest, the SimHash, the sketch, and keys of two least hashes each, of the set of `SHINGLE`-word shingles."""
     low = np.uint64((1 << BITS) - 1)
-    names = [*F_NAMES, *S_NAMES, *M_NAMES]
+    names = [*E_NAMES, "f0", *S_NAMES, *M_NAMES]
 
     def run(batches):
         for batch in slices(batches, limit=1_000_000):
             s, bounds = _sets(batch.column(1))
             salted = lambda k: mix64(s ^ np.uint64(0xA0761D6478BD642F * (k + 1) & (2**64 - 1)))  # noqa: E731, B023
-            cols = [pa.array((majority(salted(k), bounds) & low).view(np.int64)) for k in range(PRINTS)]
             some = np.diff(bounds) > 0
+            cols = []
+            for k in (0, 1):  # sums over the set: the same for equal sets alone, but for chance
+                total = np.zeros(len(some), dtype=np.uint64)
+                if some.any():
+                    total[some] = np.add.reduceat(mix64(s + np.uint64(0x9E6C63D0876A9A47 * (k + 1) & (2**64 - 1))), bounds[:-1][some])
+                cols.append(pa.array(total.view(np.int64)))
+            cols.append(pa.array((majority(salted(0), bounds) & low).view(np.int64)))
             cols += [pa.array(x.view(np.int64)) for x in sketch(s, np.repeat(np.arange(len(some)), np.diff(bounds)), len(some)).T.copy()]
             for k in range(LEASTS):
                 key = np.zeros(len(some), dtype=np.uint64)
@@ -317,16 +324,16 @@ def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, keeper) of documents that are near copies of another, where keeper, the smallest doc_id of the group, differs.
 
     Two texts are near copies if their sets of `SHINGLE`-word shingles have a similarity of at least `SIMILARITY`. Candidates
-    meet in the covering tables of a fingerprint, where every pair within `RADIUS` bits of one collides, and differ in at
-    most `LOOSE` bits of their sketches; each is then judged by the texts. All pairs of a bucket are compared but for
-    those that are in one group already: a text is first judged against the smallest doc_id that shares two of its least
-    hashes, and against the next ones that do, so that a large group doesn't give the square of its size. Equal
-    fingerprints are one text. Null and empty texts are equal texts, very long ones are read whole, rows without a doc_id take no
+    meet in the covering tables of the fingerprints (a SimHash, and two of the sketch's bits), where every pair within `RADIUS` bits of
+    one collides, and differ in at most `LOOSE` bits of their sketches; each is then judged by the texts. All pairs of a bucket are
+    compared but for those that are in one group already: a text is first judged against the smallest doc_id that shares two of its
+    least hashes, and against the next ones that do, so that a large group doesn't give the square of its size. Texts of equal
+    sets are one. Null and empty texts are equal texts, very long ones are read whole, rows without a doc_id take no
     part, and rows that repeat a doc_id are one document. No documents give no rows.
     """
     docs = docs.where("doc_id is not null")
     prints = store.stage(word_prints(docs), "prints")
-    nodes = store.stage(prints.groupBy(*F_NAMES).agg(F.min("doc_id").alias("node"), *(F.min(m).alias(m) for m in (*S_NAMES, *M_NAMES))), "print-nodes")
+    nodes = store.stage(prints.groupBy(*E_NAMES).agg(F.min("doc_id").alias("node"), *(F.min(m).alias(m) for m in ("f0", *S_NAMES, *M_NAMES))), "print-nodes")
 
     one = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(m).alias("m")) for k, m in enumerate(M_NAMES)])).alias("x")
     met = nodes.select("node", *S_NAMES, one).select("node", *S_NAMES, "x.k", "x.m").where("m is not null")
@@ -335,14 +342,14 @@ def copies(docs: DataFrame) -> DataFrame:
     first = met.join(hub, ["k", "m"]).where((F.col("node") != F.col("h.node")) & (bits <= LOOSE))
     next_ones = met.select("m", "node", *S_NAMES).repartitionByRange("m", "node").sortWithinPartitions("m", "node").mapInArrow(beside, EDGES)
     sure = components(verified(first.select(F.col("node").alias("a"), F.col("h.node").alias("b")).union(next_ones), docs), "copies")
-    named = nodes.join(sure, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *F_NAMES, *S_NAMES)
+    named = nodes.join(sure, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "f0", *S_NAMES)
 
     family = masks(BITS, RADIUS)
 
     def deal(batches):
         for batch in batches:
-            f = [np.asarray(batch.column(2 + k)) for k in range(PRINTS)]
-            rest = [batch.column(0), batch.column(1), *batch.columns[2 + PRINTS :]]
+            f = [np.asarray(batch.column(2 + k)) & np.int64((1 << BITS) - 1) for k in range(PRINTS)]  # the SimHash, then words of the sketch
+            rest = [batch.column(0), batch.column(1), *batch.columns[3:]]
             for table in range(PRINTS * len(family)):
                 yield pa.RecordBatch.from_arrays([pa.array(f[table // len(family)] << 8 | table), *rest], names=["at", "node", "label", *S_NAMES])
 
@@ -385,10 +392,10 @@ def copies(docs: DataFrame) -> DataFrame:
     dealt = named.mapInArrow(deal, fields).repartition(F.xxhash64(table, masked)).sortWithinPartitions(table, masked, "label")
     rest = verified(dealt.mapInArrow(meet, EDGES), docs)
     of = components(rest.union(sure.select(F.col("node").alias("a"), F.col("component").alias("b"))), "copies")
-    keeper = nodes.join(of, "node", "left").select(*F_NAMES, F.coalesce("component", "node").alias("keeper"))
-    return prints.join(keeper, F_NAMES).where("doc_id <> keeper").select("doc_id", "keeper")
+    keeper = nodes.join(of, "node", "left").select(*E_NAMES, F.coalesce("component", "node").alias("keeper"))
+    return prints.join(keeper, E_NAMES).where("doc_id <> keeper").select("doc_id", "keeper")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each group of near copies: that of the smallest doc_id."""
-    return docs.join(copies(docs).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(copies(docs).select("doc_id"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

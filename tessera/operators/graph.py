@@ -66,3 +66,19 @@ def prefix_join(items: DataFrame, code: str, packages: DataFrame, package_code:
     """Items with the packages that cover their code, by an equi-join on the prefixes that a code can have."""
     keyed = items.withColumn("_p", F.explode(F.array(*[F.substring(F.col(code), 1, k) for k in (2, 3, 4)], F.col(code))))
     return keyed.join(packages.withColumn("_p", covered_prefix(F.col(package_code))), "_p").drop("_p")
+
+
+def waits_of_reviews(units: DataFrame) -> DataFrame:
+    """(pass, waits_on) of `units` (pass, position, unit, continues, trade): a pass of reviews waits on each earlier one that holds a unit one of
+    its units continues, or a unit of a trade it holds.
+
+    Units meet by what is continued, and passes by their trades, one row for each pass and trade; null trades and units meet nothing. Only
+    earlier passes are waited on, so there is no cycle. Rows that repeat count once.
+    """
+    p, q = units.alias("p"), units.select("pass", "position", "unit").where("unit is not null").alias("q")
+    continued = p.where(F.col("p.continues").isNotNull()).join(q, (F.col("p.continues") == F.col("q.unit")) & (F.col("q.position") < F.col("p.position")))
+    each = units.where("trade is not null").select("pass", "position", "trade").distinct()
+    a, b = each.alias("p"), each.alias("q")
+    shared = a.join(b, (F.col("p.trade") == F.col("q.trade")) & (F.col("q.position") < F.col("p.position")))
+    pick = (F.col("p.pass").alias("pass"), F.col("q.pass").alias("waits_on"))
+    return continued.select(*pick).union(shared.select(*pick)).distinct()

@@ -107,3 +107,47 @@ def live_locations(entries: DataFrame) -> DataFrame:
     ever = e.groupBy("subject").agg(F.bool_or(F.col("predicate") == "locatedAt").alias("_ever"))
     state = F.when(F.col("_b").isNotNull(), "located").when(F.col("_ever"), "removed").otherwise("never located")
     return ever.join(best, "subject", "left").select("subject", state.alias("state"), F.col("_b.entry_id").alias("entry_id"), F.col("_b.value").alias("value"))
+
+
+def revision(heads: DataFrame, named: DataFrame, modes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(writes, refusals) of revised proposals: `heads` (party, package, line, entry_id, value) are what stands, `named` (party, package, line, value) what
+    a revision says, `modes` (party, package, mode) how it is meant.
+
+    writes: (party, package, line, value, cleared, supersedes_id). A line that the revision names is written, in place of what stands there; a `wholesale` one
+    also clears every line of the party and package that stands and is not named, and a `surgical` one leaves them. What is written
+    as it stands is no write. refusals: (party, package, rule): a revision without a mode, or another; two modes; a line named twice with
+    different values. A refused revision writes nothing. A value cleared before (null) is not cleared again.
+    """
+    key = ["party", "package"]
+    m = modes.groupBy(*key).agg(F.collect_set("mode").alias("m"))
+    said = named.groupBy(*key, "line").agg(F.max("value").alias("value"), F.countDistinct(F.coalesce(F.col("value"), F.lit("")), F.col("value").isNull()).alias("n"))
+    two = said.where("n > 1").select(*key).distinct().withColumn("_twice", F.lit(True))
+    all_ = said.select(*key).distinct().join(m, key, "full_outer").join(two, key, "left")
+    rule = F.when(F.col("m").isNull() | (F.size("m") == 0), "no mode").when(F.size("m") > 1, "two modes").when(~F.get("m", F.lit(0)).isin("wholesale", "surgical"), "another mode").when(F.col("_twice"), "a line is named twice")
+    all_ = all_.withColumn("rule", rule)
+    good = all_.where("rule is null").select(*key, F.get("m", F.lit(0)).alias("mode"))
+    stand = heads.select(*key, "line", F.col("entry_id").alias("supersedes_id"), F.col("value").alias("before"), F.lit(True).alias("stands")).join(good, key)
+    new = said.select(*key, "line", "value", F.lit(True).alias("named")).join(good.select(*key), key)
+    j = new.join(stand, [*key, "line"], "full_outer")
+    change = F.col("named") & ~(F.col("stands").isNotNull() & F.col("value").eqNullSafe(F.col("before")))
+    clear = F.col("named").isNull() & (F.col("mode") == "wholesale") & F.col("before").isNotNull()
+    j = j.withColumn("cleared", clear).where(F.coalesce(change, F.lit(False)) | clear)
+    return j.select(*key, "line", F.when(~F.col("cleared"), F.col("value")).alias("value"), "cleared", "supersedes_id"), all_.where("rule is not null").select(*key, "rule")
+
+
+def bid_totals(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(totals, refusals) of bidders' rows (party, row, additional, amount, direction, alternate, accepted).
+
+    totals: (party, base, accepted_alternates, total): an alternate, `direction` add or deduct and a magnitude, moves nothing until it is accepted, and
+    never the base. base is null where a party has no amount, which is not a base of 0. refusals: (party, row, rule): a negative magnitude, a magnitude without
+    a direction or the other way round, another direction, and an additional item that has both an amount and an alternate. Refused rows count for nothing.
+    """
+    c = F.col
+    rule = (
+        F.when(c("alternate") < 0, "a negative magnitude").when(c("alternate").isNull() & c("direction").isNotNull(), "no magnitude").when(c("alternate").isNotNull() & c("direction").isNull(), "no direction")
+        .when(~c("direction").isin("add", "deduct"), "another direction").when(F.coalesce(c("additional"), F.lit(False)) & c("amount").isNotNull() & c("alternate").isNotNull(), "an additional item with an amount and an alternate")
+    )
+    r = rows.withColumn("rule", rule)
+    taken = F.when(F.coalesce(c("accepted"), F.lit(False)), F.when(c("direction") == "deduct", -c("alternate")).otherwise(c("alternate")))
+    t = r.where("rule is null").groupBy("party").agg(F.sum("amount").alias("base"), F.coalesce(F.sum(taken), F.lit(0)).alias("accepted_alternates"))
+    return t.withColumn("total", c("base") + c("accepted_alternates")), r.where("rule is not null").select("party", "row", "rule")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import carry, citations, continuations, record
+from tessera.operators import carry, citations, continuations, graph, placement, record, runs
 from tessera.operators import regions as regions_
 from tessera.operators.ordinals import numbered
 from tessera.plans.registry import query, table
@@ -557,3 +557,144 @@ def _(s, d):
     sinks.write_lines(e.where("first"), path)
     sinks.write_lines(e.where("not first"), path, append=True)
     return L.read_lines(s, path).select("file", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+# -- placement, runs, revisions -------------------------------------------------------------------------------------------------
+# Suppliers are packages with codes by nation and key, customers trades' files with homes by theirs.
+
+PLACE_SQL = """WITH p AS (SELECT lpad(CAST(5 + s_nationkey // 5 AS VARCHAR), 2, '0') AS d, lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0') AS m, * FROM supplier),
+    code AS (SELECT d || ' ' || m || ' 00' AS tc, d || ' ' || m || ' 00' AS code FROM p UNION SELECT d || ' ' || m || ' 00', d || ' ' || left(m, 1) || '0 00' FROM p UNION SELECT d || ' ' || m || ' 00', d || ' 00 00' FROM p WHERE s_acctbal > 8000 UNION SELECT d || ' ' || m || ' 00', d || ' ' || m || ' 16.13' FROM p WHERE s_acctbal < 2000),
+    k AS (SELECT DISTINCT *, regexp_replace(code, '[ .]', '', 'g') AS dg FROM code),
+    k2 AS (SELECT *, CASE WHEN length(dg) > 2 AND ends_with(dg, '0000') THEN left(dg, 2) WHEN length(dg) > 2 AND ends_with(dg, '00') THEN left(dg, length(dg) - 2) ELSE dg END AS t FROM k),
+    k3 AS (SELECT *, CASE WHEN length(t) >= 4 AND ends_with(t, '0') THEN left(t, length(t) - 1) ELSE t END AS h FROM k2),
+    f AS (SELECT 'C-' || c_custkey AS file, lpad(CAST(5 + c_nationkey // 5 AS VARCHAR), 2, '0') || ' ' || lpad(CAST(c_custkey // 7 % 100 AS VARCHAR), 2, '0') AS h1, CASE WHEN c_acctbal < 0 THEN lpad(CAST(5 + c_nationkey % 6 AS VARCHAR), 2, '0') END AS h2, CASE WHEN c_mktsegment = 'FURNITURE' THEN 'C-' || c_custkey // 2 END AS other FROM customer),
+    home AS (SELECT file, 0 AS pos, h1 AS home FROM f UNION ALL SELECT file, 1, h2 FROM f WHERE h2 IS NOT NULL),
+    n AS (SELECT file, pos, tc, code, replace(home, ' ', '') AS num, dg, t, h FROM home CROSS JOIN k3),
+    near AS (SELECT *, CASE WHEN t = num THEN 0 WHEN length(t) = 2 THEN NULL WHEN starts_with(num, h) THEN 1 + length(num) - length(h) WHEN starts_with(dg, num) THEN 100 + length(t) - length(num) END AS near FROM n),
+    a AS (SELECT file, arg_min(tc, struct_pack(a := pos, b := CAST(code <> tc AS INT), c := near, d := tc)) AS a FROM near WHERE near IS NOT NULL GROUP BY 1),
+    b AS (SELECT file, arg_min(tc, struct_pack(a := pos, b := CAST(code <> tc AS INT), d := tc)) AS b FROM near WHERE code = left(num, 2) || ' 00 00' GROUP BY 1),
+    c AS (SELECT file, tc, count(DISTINCT num) AS k FROM near WHERE starts_with(num, h) OR starts_with(dg, num) GROUP BY 1, 2),
+    m AS (SELECT file, arg_min(tc, struct_pack(a := -k, b := tc)) AS m FROM c GROUP BY 1),
+    j AS (SELECT f.file, other, a, b, m FROM f LEFT JOIN a USING (file) LEFT JOIN b USING (file) LEFT JOIN m USING (file))"""
+
+
+@query(
+    "j5_placement",
+    f"""{PLACE_SQL} SELECT j.file, coalesce(j.a, j.b, o.a, o.b, o.m, j.m) AS package, CASE WHEN j.a IS NOT NULL THEN 'home' WHEN j.b IS NOT NULL THEN 'division' WHEN coalesce(o.a, o.b, o.m) IS NOT NULL THEN 'else' WHEN j.m IS NOT NULL THEN 'numbers' END AS step
+    FROM j LEFT JOIN j o ON o.file = j.other AND o.other IS NULL""",
+)
+def _(s, d):
+    c, two = F.col, lambda x: F.lpad(x.cast("string"), 2, "0")
+    pd_, pm = two(5 + F.floor(c("s_nationkey") / 5)), two(c("s_suppkey") % 100)
+    tc = F.concat(pd_, F.lit(" "), pm, F.lit(" 00"))
+    codes = F.array(tc, F.concat(pd_, F.lit(" "), F.substring(pm, 1, 1), F.lit("0 00")), F.when(c("s_acctbal") > 8000, F.concat(pd_, F.lit(" 00 00"))), F.when(c("s_acctbal") < 2000, F.concat(pd_, F.lit(" "), pm, F.lit(" 16.13"))))
+    packages = table(s, d, "supplier").select(tc.alias("trade_code"), codes.alias("codes"))
+    h1 = F.concat(two(5 + F.floor(c("c_nationkey") / 5)), F.lit(" "), two(F.floor(c("c_custkey") / 7) % 100))
+    homes = F.array_compact(F.array(h1, F.when(c("c_acctbal") < 0, two(5 + c("c_nationkey") % 6))))
+    files = table(s, d, "customer").select(F.concat(F.lit("C-"), "c_custkey").alias("file"), homes.alias("homes"), homes.alias("numbers"), F.when(c("c_mktsegment") == "FURNITURE", F.concat(F.lit("C-"), F.floor(c("c_custkey") / 2).cast("string"))).alias("otherwise"))
+    return placement.place(files, packages)
+
+
+# A customer is a project, its orders the deliveries in the order of their dates; those of low priority have a run, which a settled order closes.
+
+RUNS_SQL = """WITH d AS (SELECT o_custkey AS project, row_number() OVER w AS ord, o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'set' WHEN 'O' THEN 'addendum' END AS issue, last_value(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END IGNORE NULLS) OVER w AS set_id,
+        o_orderpriority = '1-URGENT' AND o_totalprice > 300000 AS reading, o_orderpriority = '5-LOW' AS run, o_orderstatus <> 'P' AS closed FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+    l AS (SELECT project, arg_max(id, ord) FILTER (WHERE issue = 'set') AS last, count(*) FILTER (WHERE run AND NOT closed) AS open, arg_min(id, CAST(id AS VARCHAR)) FILTER (WHERE run AND NOT closed) AS flight, arg_min(id, ord) FILTER (WHERE reading) AS reading, max(ord) FILTER (WHERE run) AS top FROM d GROUP BY 1),
+    n AS (SELECT l.*, CASE WHEN bool_or(d.id = last AND NOT run) THEN max(last) ELSE arg_min(d.id, d.ord) FILTER (WHERE set_id = last AND issue = 'addendum' AND NOT run) END AS nxt FROM l JOIN d USING (project) GROUP BY ALL),
+    a AS (SELECT *, CASE WHEN open > 1 THEN 'refusal' WHEN open = 1 THEN 'resume' WHEN reading IS NOT NULL THEN 'wait' WHEN nxt IS NOT NULL THEN 'start' ELSE 'none' END AS action FROM n)"""
+
+
+def _projects(s, d):
+    c, w = F.col, Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(s, d, "orders").withColumn("ord", F.row_number().over(w)).withColumn("set_id", F.last(F.when(c("o_orderstatus") == "F", c("o_orderkey")), ignorenulls=True).over(w))
+    issue = F.when(c("o_orderstatus") == "F", "set").when(c("o_orderstatus") == "O", "addendum")
+    deliveries = o.select(c("o_custkey").alias("project"), "ord", c("o_orderkey").alias("delivery_id"), issue.alias("issue"), "set_id", ((c("o_orderpriority") == "1-URGENT") & (c("o_totalprice") > 300000)).alias("still_reading"))
+    return o, deliveries
+
+
+@query("p14_next_actions", f"{RUNS_SQL} SELECT project, action, CASE action WHEN 'resume' THEN flight WHEN 'wait' THEN reading WHEN 'start' THEN nxt END AS delivery_id, CASE WHEN action = 'resume' THEN 'run-' || flight END AS folder, CASE WHEN action = 'start' THEN coalesce(top, 0) + 1 END AS tag_no FROM a")
+def _(s, d):
+    o, deliveries = _projects(s, d)
+    have = o.where("o_orderpriority = '5-LOW'").select(F.col("o_custkey").alias("project"), F.concat(F.lit("run-"), "o_orderkey").alias("folder"), F.col("o_orderkey").alias("delivery_id"), F.col("ord").cast("long").alias("tag_no"), (F.col("o_orderstatus") != "P").alias("closed"))
+    return runs.next_actions(deliveries, have)
+
+
+@query(
+    "s6_runs",
+    """WITH r AS (SELECT o_custkey AS project, o_orderkey AS id, o_orderstatus AS st, o_orderpriority AS pr, 1 + floor(o_totalprice / 20000) AS tag, count(*) OVER (PARTITION BY o_custkey, 1 + floor(o_totalprice / 20000)) AS tags FROM orders)
+    SELECT 'run-' || id AS folder, CASE WHEN st = 'P' THEN 'issue is neither set nor addendum' WHEN pr = '1-URGENT' THEN 'readFrom is no list of distinct deliveries with its own' WHEN pr = '2-HIGH' THEN 'no count under its tag' WHEN pr = '5-LOW' THEN 'its tag is taken on the record' WHEN tags > 1 THEN 'its tag is another run''s' END AS rule FROM r""",
+)
+def _(s, d):
+    c, pr = F.col, F.col("o_orderpriority")
+    own, tag = c("o_orderkey").cast("string"), F.concat(F.lit("i"), (1 + F.floor(c("o_totalprice") / 20000)).cast("string"))
+    check = F.struct(F.concat(F.lit("scopeItem:"), tag, F.when(pr == "2-HIGH", "").otherwise("-")).alias("subjectPrefix"), F.when(pr == "5-LOW", 3).otherwise(0).alias("count"))
+    body = F.to_json(F.struct(own.alias("deliveryId"), F.when(c("o_orderstatus") == "F", "set").when(c("o_orderstatus") == "O", "addendum").otherwise("other").alias("issue"), F.when(pr == "1-URGENT", F.array(own, own)).otherwise(F.array(F.lit("x"), own)).alias("readFrom"), tag.alias("unitTag"), check.alias("unitTagCheck")))
+    good, refused = runs.scan_runs(table(s, d, "orders").select(c("o_custkey").alias("project"), F.concat(F.lit("run-"), own).alias("folder"), body.alias("json")))
+    return good.select("folder", F.lit(None).cast("string").alias("rule")).union(refused.select("folder", "rule"))
+
+
+@query(
+    "j11_review_waits",
+    """WITH u AS (SELECT o_orderkey AS pass, o_orderdate AS dt, o_orderkey AS k, l_partkey AS unit, CASE WHEN l_returnflag = 'R' THEN l_partkey END AS continues, CASE WHEN l_linenumber = 1 THEN o_custkey END AS trade FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+    SELECT DISTINCT p.pass, q.pass AS waits_on FROM u p JOIN u q ON p.continues = q.unit AND (q.dt, q.k) < (p.dt, p.k) UNION SELECT p.pass, q.pass FROM u p JOIN u q ON p.trade = q.trade AND (q.dt, q.k) < (p.dt, p.k)""",
+)
+def _(s, d):
+    c = F.col
+    u = table(s, d, "lineitem").join(table(s, d, "orders"), c("o_orderkey") == c("l_orderkey"))
+    return graph.waits_of_reviews(u.select(c("o_orderkey").alias("pass"), F.struct("o_orderdate", "o_orderkey").alias("position"), c("l_partkey").alias("unit"), F.when(c("l_returnflag") == "R", c("l_partkey")).alias("continues"), F.when(c("l_linenumber") == 1, c("o_custkey")).alias("trade")))
+
+
+# A supplier bids on parts: its first lines stand, returned ones are the revision, which is wholesale for suppliers with a good balance.
+
+REVISE_SQL = """WITH h AS (SELECT l_suppkey AS party, l_linenumber AS package, l_partkey AS line, min(l_orderkey) AS entry_id, CAST(max(l_quantity) AS VARCHAR) AS v FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL),
+    r AS (SELECT l_suppkey AS party, l_linenumber AS package, l_partkey AS line, CAST(max(l_quantity) AS VARCHAR) AS v, count(DISTINCT l_quantity) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
+    p AS (SELECT party, package, max(n) AS n FROM r GROUP BY ALL), m AS (SELECT p.*, CASE WHEN s_acctbal > 4000 THEN 'wholesale' WHEN s_acctbal > 0 THEN 'surgical' WHEN s_acctbal > -500 THEN 'both' END AS mode FROM p JOIN supplier ON s_suppkey = party)"""
+
+
+def _revised(s, d):
+    c, slot = F.col, [F.col("l_suppkey").alias("party"), F.col("l_linenumber").alias("package"), F.col("l_partkey").alias("line")]
+    lines = table(s, d, "lineitem")
+    text = lambda x: x.cast("string")
+    heads = lines.where("l_returnflag <> 'R'").groupBy(*slot).agg(F.min("l_orderkey").alias("entry_id"), text(F.max("l_quantity")).alias("value"))
+    named = lines.where("l_returnflag = 'R'").select(*slot, text(c("l_quantity")).alias("value"))
+    b = c("s_acctbal")
+    modes = named.select("party", "package").distinct().join(table(s, d, "supplier").select(c("s_suppkey").alias("party"), F.when(b > 4000, "wholesale").when(b > 0, "surgical").when(b > -500, "both").alias("mode")), "party")
+    return record.revision(heads, named, modes)
+
+
+@query(
+    "r11_revision",
+    f"""{REVISE_SQL}, g AS (SELECT party, package, mode FROM m WHERE n = 1 AND mode IN ('wholesale', 'surgical'))
+    SELECT party, package, line, r.v AS value, false AS cleared, h.entry_id AS supersedes_id FROM r JOIN g USING (party, package) LEFT JOIN h USING (party, package, line) WHERE h.v IS NULL OR h.v <> r.v
+    UNION ALL SELECT party, package, line, NULL, true, entry_id FROM h JOIN g USING (party, package) WHERE mode = 'wholesale' AND (party, package, line) NOT IN (SELECT (party, package, line) FROM r)""",
+)
+def _(s, d):
+    return _revised(s, d)[0]
+
+
+@query("r11_refusals", f"{REVISE_SQL} SELECT party, package, CASE WHEN mode IS NULL THEN 'no mode' WHEN mode = 'both' THEN 'another mode' ELSE 'a line is named twice' END AS rule FROM m WHERE mode IS NULL OR mode = 'both' OR n > 1")
+def _(s, d):
+    return _revised(s, d)[1]
+
+
+BID_SQL = """WITH b AS (SELECT l_suppkey AS party, l_linenumber > 5 AS additional, CASE WHEN l_returnflag <> 'A' THEN CAST(round(l_quantity) AS BIGINT) END AS amount, CASE WHEN l_discount < 0.05 THEN CASE WHEN l_tax < 0.04 THEN 'add' WHEN l_tax < 0.08 THEN 'deduct' ELSE 'none' END END AS direction,
+        CASE WHEN l_discount < 0.06 THEN CAST(round(l_quantity) AS BIGINT) - 2 END AS alternate, l_linestatus = 'O' AS accepted FROM lineitem),
+    r AS (SELECT *, CASE WHEN alternate < 0 THEN 'a negative magnitude' WHEN alternate IS NOT NULL AND direction IS NULL THEN 'no direction' WHEN direction = 'none' THEN 'another direction' WHEN additional AND amount IS NOT NULL AND alternate IS NOT NULL THEN 'an additional item with an amount and an alternate' END AS rule FROM b)"""
+
+
+def _bids(s, d):
+    c = F.col
+    n = F.round("l_quantity").cast("long")
+    direction = F.when(c("l_discount") < 0.05, F.when(c("l_tax") < 0.04, "add").when(c("l_tax") < 0.08, "deduct").otherwise("none"))
+    rows = table(s, d, "lineitem").select(c("l_suppkey").alias("party"), c("l_orderkey").alias("row"), (c("l_linenumber") > 5).alias("additional"), F.when(c("l_returnflag") != "A", n).alias("amount"), direction.alias("direction"), F.when(c("l_discount") < 0.06, n - 2).alias("alternate"), (c("l_linestatus") == "O").alias("accepted"))
+    return record.bid_totals(rows)
+
+
+@query("r28_totals", f"{BID_SQL} SELECT party, CAST(sum(amount) AS BIGINT) AS base, CAST(coalesce(sum(CASE WHEN direction = 'deduct' THEN -alternate ELSE alternate END) FILTER (WHERE accepted AND alternate IS NOT NULL), 0) AS BIGINT) AS accepted_alternates, CAST(sum(amount) + coalesce(sum(CASE WHEN direction = 'deduct' THEN -alternate ELSE alternate END) FILTER (WHERE accepted AND alternate IS NOT NULL), 0) AS BIGINT) AS total FROM r WHERE rule IS NULL GROUP BY 1")
+def _(s, d):
+    return _bids(s, d)[0]
+
+
+@query("r28_refusals", f"{BID_SQL} SELECT party, rule, count(*) AS n FROM r WHERE rule IS NOT NULL GROUP BY 1, 2")
+def _(s, d):
+    return _bids(s, d)[1].groupBy("party", "rule").agg(F.count("*").alias("n"))

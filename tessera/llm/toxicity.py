@@ -19,8 +19,8 @@ LEAD = 16
 SAMPLE = 3000
 #: Bytes of each dictionary at most, so that all of it is within a window's reach; half may be marks of its class.
 DICTIONARY = 3900
-#: Bytes of the longest text in the training sample.
-SAMPLE_BYTES = 200_000
+#: Bytes of the longest text in the training sample, which has 120 MB at most so.
+SAMPLE_BYTES = 20_000
 #: Bytes, with the blank before it, of the shortest beginning of a word that can speak for a class.
 SHORTEST = 5
 #: How much commoner in toxic texts a beginning must be to speak for them.
@@ -40,7 +40,8 @@ def fold(col: str, parts: int):
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train, per_class: int) -> tuple[list[tuple[str, int]], float]:
     """Texts and labels of up to `per_class` training rows of each class, and the share of label 1 in all training rows.
 
-    Only labels where `train` holds are read. A doc_id with several labels counts with the largest. A text of over
+    Only labels where `train` holds are read. A doc_id with several labels counts with the largest, one with several texts with
+    each different one. A text of over
     `SAMPLE_BYTES` is not picked, so that what reaches the driver is bounded.
     """
     rows = labels.where(train).where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(F.col(target).cast("int")).alias("y")).where(F.col("y").isin(0, 1))

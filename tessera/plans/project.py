@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import carry, citations, continuations, graph, placement, record, runs
+from tessera.operators import carry, citations, continuations, graph, placement, recheck, record, runs
 from tessera.operators import regions as regions_
 from tessera.operators.ordinals import numbered
 from tessera.plans.registry import query, table
@@ -698,3 +698,57 @@ def _(s, d):
 @query("r28_refusals", f"{BID_SQL} SELECT party, rule, count(*) AS n FROM r WHERE rule IS NOT NULL GROUP BY 1, 2")
 def _(s, d):
     return _bids(s, d)[1].groupBy("party", "rule").agg(F.count("*").alias("n"))
+
+
+# -- recheck and delivery plans ---------------------------------------------------------------------------------------------------
+# A part is an item, its lines the rows of a comparison; the lines of later years are the comparison measured again.
+
+RECHECK_SQL = """WITH x AS (SELECT l_partkey AS subject, l_linestatus = 'O' AS open, CASE WHEN l_tax < 0.04 THEN 'same' ELSE 'gone' END AS answer, CASE WHEN l_returnflag = 'R' AND l_discount < 0.01 THEN 'not found' WHEN l_discount > 0.09 AND l_returnflag <> 'R' THEN 'recited' ELSE 'removed' END AS outcome, l_suppkey % 23 AS source, l_quantity FROM lineitem),
+    a AS (SELECT l_partkey AS subject, bool_or(l_quantity > 49) AS current, bool_or(l_quantity < 2) AS on_set FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' GROUP BY 1),
+    g AS (SELECT subject, bool_or(outcome = 'not found') AS lost, bool_or(outcome <> 'removed') AS other, count(DISTINCT source) AS n_sources FROM x WHERE open GROUP BY 1),
+    d AS (SELECT subject, n_sources, CASE WHEN lost THEN 'his' WHEN other THEN 'stays' WHEN current THEN 'kept' WHEN on_set THEN 'kept' WHEN n_sources > 10 THEN 'his' ELSE 'retire' END AS decision,
+        CASE WHEN lost THEN 'a row not found' WHEN other THEN NULL WHEN current THEN 'cited on a current page' WHEN on_set THEN 'cited on another page of the current set' WHEN n_sources > 10 THEN 'shows on more places than one retirement names' END AS why FROM g LEFT JOIN a USING (subject))"""
+
+
+def _rechecked(s, d):
+    c, lines = F.col, table(s, d, "lineitem")
+    outcome = F.when((c("l_returnflag") == "R") & (c("l_discount") < 0.01), "not found").when((c("l_discount") > 0.09) & (c("l_returnflag") != "R"), "recited").otherwise("removed")
+    rows = lines.select(c("l_partkey").alias("subject"), (c("l_linestatus") == "O").alias("open"), F.when(c("l_tax") < 0.04, "same").otherwise("gone").alias("answer"), outcome.alias("outcome"), (c("l_suppkey") % 23).alias("source"))
+    after = lines.where(c("l_shipdate") >= F.lit("2000-01-01").cast("timestamp")).select(c("l_partkey").alias("subject"), (c("l_quantity") <= 49).alias("open"), F.when(c("l_quantity") < 2, True).alias("on_current_page"))
+    return rows, recheck.item_decisions(rows.where("open"), after)
+
+
+@query("j15_decisions", f"{RECHECK_SQL} SELECT subject, decision, why, n_sources FROM d")
+def _(s, d):
+    return _rechecked(s, d)[1]
+
+
+@query(
+    "a16_row_categories",
+    f"""{RECHECK_SQL}, r AS (SELECT CASE WHEN NOT open AND answer = 'same' THEN 'carried' WHEN NOT open THEN 'pass' WHEN outcome = 'recited' THEN 'recited' WHEN outcome = 'not found' THEN 'left' WHEN s_suppkey IS NOT NULL THEN 'refused' WHEN decision = 'retire' THEN 'removed' WHEN decision = 'his' THEN 'held' ELSE 'kept' END AS category
+        FROM x LEFT JOIN d USING (subject) LEFT JOIN supplier ON s_suppkey = x.subject)
+    SELECT category, count(*) AS n, (SELECT count(*) FROM x WHERE open) AS open_rows, true AS agrees FROM r GROUP BY 1""",
+)
+def _(s, d):
+    rows, decisions = _rechecked(s, d)
+    out = recheck.row_categories(rows, decisions, table(s, d, "supplier").select(F.col("s_suppkey").alias("subject")), True)
+    return out.groupBy("category").agg(F.count("*").alias("n")).join(F.broadcast(recheck.open_rows_agree(out).drop("sorted")))
+
+
+@query(
+    "s8_delivery_plans",
+    """SELECT 'plan-' || o_orderkey AS file, 'D-' || o_custkey AS delivery_id, 'Set | ' || o_orderpriority AS label, CASE WHEN o_totalprice > 100000 THEN o_custkey END AS rule_version, CASE WHEN o_orderstatus = 'F' THEN 'full' ELSE 'partial' END AS pass,
+    CASE WHEN o_orderstatus = 'O' THEN CASE WHEN n.c > 0 THEN n.c ELSE 0 END END AS n_read, CASE WHEN o_totalprice > 200000 THEN 'approved' ELSE 'shown' END AS status, CASE WHEN o_totalprice > 200000 THEN 'go | on' END AS approved_words, 'last ' || o_orderkey AS carried
+    FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY 1) n ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'""",
+)
+def _(s, d):
+    c = F.col
+    sheets = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.concat(F.lit("A-"), "l_partkey")), ", ").alias("sheets"))
+    o = table(s, d, "orders").join(sheets, c("l_orderkey") == c("o_orderkey"), "left")
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("plan: D-"), c("o_custkey").cast("string"), F.lit(" | Set | "), "o_orderpriority", F.lit(" | written 10:00")), F.when(c("o_totalprice") > 100000, F.concat(F.lit("measured: last poll, rule version "), c("o_custkey").cast("string"), F.lit(", yes"))).otherwise("measured: none"),
+        F.when(c("o_orderstatus") == "F", "pass: full").when(c("o_orderstatus") == "O", "pass: partial").otherwise("pass: some"), F.concat(F.lit("read: "), F.coalesce("sheets", F.lit("none"))), F.lit("read: X-1\nstatus: shown 10:01\ncarried: first"),
+        F.when(c("o_totalprice") > 200000, 'status: approved 10:02 "go | on"'), F.concat(F.lit("status: lost 10:03\ncarried: last "), c("o_orderkey").cast("string")),
+    )
+    lines = o.select(F.concat(F.lit("plan-"), "o_orderkey").alias("file"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return plan.scan_delivery_plans(lines)[0].select("file", "delivery_id", "label", "rule_version", "pass", F.size("read").alias("n_read"), "status", "approved_words", "carried")

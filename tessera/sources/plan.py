@@ -138,3 +138,45 @@ def scan_summaries(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
     unit = read.where(shape).join(good.select("file"), "file", "left_semi")
     units = unit.groupBy("file", F.get(words, F.lit(2)).alias("unit")).agg(F.max_by(F.struct(F.when(created != "-", created.cast("long")).alias("created"), (verdict == "yes").alias("verified")), "line_no").alias("x")).select("file", "unit", "x.*")
     return summaries, units, trades, g.where("rule is not null").select("file", "rule")
+
+
+def scan_delivery_plans(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(plans, statuses, refusals) of the plan files of deliveries, from their lines (file, line_no, line); many at once.
+
+    A line is `<key>: <value>`. Of `plan`, `measured`, `pass`, `read` and `carry` the first one counts, of `carried` the last, and of `status` all, in order:
+    `shown`, `approved` or `stopped`, a time, and perhaps words in quotes. A plan's value is `<delivery> | <label> | written <time>`; its pass is `full` or
+    `partial`; a partial one reads the sheets listed, `none` or nothing for no sheet.
+
+    plans: (file, delivery_id, label, rule_version, pass, read, carry, status, approved_words, carried): `read` is null for a full pass, which is not an empty list;
+    rule_version, the number after these words in `measured`, null without; the status, and an approval's words, of the last status line. statuses: (file, ord,
+    status, time, words). refusals: (file, rule), the first broken. A status line of another shape is passed over; null lines are blank.
+    """
+    read = lines.where("file is not null and line_no is not null").select("file", "line_no", F.rtrim(F.coalesce("line", F.lit(""))).alias("line"))
+    line = F.col("line")
+    key = F.when(F.contains(line, F.lit(": ")), F.substring_index(line, ": ", 1))
+    value = F.trim(F.substring(line, F.length(F.substring_index(line, ": ", 1)) + 3, F.length(line)))
+    kv = read.select("file", "line_no", key.alias("key"), value.alias("value"))
+    first = lambda k: F.min(F.when(F.col("key") == k, F.struct("line_no", "value")))["value"].alias(f"_{k}")
+    g = kv.groupBy("file").agg(*[first(k) for k in ("plan", "measured", "pass", "read", "carry")], F.max(F.when(F.col("key") == "carried", F.struct("line_no", "value")))["value"].alias("carried"))
+
+    words = F.split("value", " ")
+    word, time = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    rest = F.substring("value", F.length(word) + F.length(time) + 3, F.length("value"))
+    quoted = F.startswith(rest, F.lit('"')) & F.endswith(rest, F.lit('"')) & (F.length(rest) > 1)
+    shape = word.isin("shown", "approved", "stopped") & (F.length(time) > 0) & ((rest == "") | quoted)
+    told = kv.where((F.col("key") == "status") & F.coalesce(shape, F.lit(False))).select("file", F.row_number().over(Window.partitionBy("file").orderBy("line_no")).alias("ord"), word.alias("status"), time.alias("time"), F.when(quoted, F.substring(rest, F.lit(2), F.length(rest) - 2)).alias("words"))
+    last = told.groupBy("file").agg(F.max(F.struct("ord", "status", "words")).alias("s"))
+
+    parts = F.split("_plan", " [|] ")
+    written = F.get(parts, F.size(parts) - 1)
+    own = F.get(parts, F.lit(0))
+    label = F.array_join(F.slice(parts, F.lit(2), F.size(parts) - 2), " | ")
+    headed = (F.size(parts) >= 3) & own.rlike(r"^\S+$") & (F.length(label) > 0) & written.rlike(r"^written \S+$")
+    g = g.join(last, "file", "left")
+    rule = F.when(~F.coalesce(headed, F.lit(False)), "no plan line").when(~F.coalesce(F.col("_pass").isin("full", "partial"), F.lit(False)), "pass is neither full nor partial")
+    sheets = F.when(F.col("_pass") == "partial", F.when(F.coalesce("_read", F.lit("")).isin("", "none"), F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.split("_read", ","), lambda x: F.trim(x)), lambda x: x != "")))
+    version = F.nullif(F.regexp_extract("_measured", r"(?:^|\W)rule version ([0-9]+)(?:\W|$)", 1), F.lit("")).cast("long")
+    status = F.col("s.status")
+    plans = g.where(rule.isNull()).select("file", own.alias("delivery_id"), label.alias("label"), version.alias("rule_version"), F.col("_pass").alias("pass"), sheets.alias("read"), F.col("_carry").alias("carry"), status.alias("status"), F.when(status == "approved", F.col("s.words")).alias("approved_words"), "carried")
+    every = read.select("file").distinct().join(g.select("file", rule.alias("rule")), "file", "left").select("file", F.coalesce("rule", F.lit(None).cast("string")).alias("rule"))
+    return plans, told, every.where("rule is not null")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import carry, citations, continuations, record, regions
+from tessera.operators import carry, citations, continuations, recheck, record, regions
 from tessera.sources import comparison, grid, plan
 
 # -- citation index ---------------------------------------------------------------------------------------------------------------
@@ -296,3 +296,39 @@ def test_answers_go_on_to_the_end(spark):
         offset = a["next_offset"]
     assert seen == [[0], [1], [2, 3], [4]]
     assert regions.answers(found, spark.createDataFrame([("none", None)], "region string, offset int")).first()["spans"] == []
+
+
+# -- recheck and delivery plans ---------------------------------------------------------------------------------------------------
+
+
+def test_decisions_in_their_order(spark):
+    rows = [("lost", "not found", "s1", ""), ("lost", "recited", "s2", ""), ("stays", "removed", "s", ""), ("stays", "updated", "s", ""), ("cur", "removed", "s", ""), ("set", "removed", "s", ""), ("go", "removed", "s", "x" * 2000), ("long", "removed", "s", "x" * 1999 + "\U0001f600"), ("none", None, None, ""), (None, "removed", "s", "")]
+    rows += [("many", "removed", f"s{i}", "") for i in range(11)] + [("ten", "removed", f"s{i % 10}", "") for i in range(20)]
+    after = spark.createDataFrame([("cur", False, None), ("cur", True, True), ("set", True, True), ("go", True, False), ("go", None, None), ("other", False, True)], "subject string, open boolean, on_current_page boolean")
+    got = recheck.item_decisions(spark.createDataFrame(rows, "subject string, outcome string, source string, words string"), after, F.col("words"))
+    assert {r["subject"]: (r["decision"], r["why"]) for r in got.collect()} == {
+        "lost": ("his", "a row not found"), "stays": ("stays", None), "cur": ("kept", "cited on a current page"), "set": ("kept", "cited on another page of the current set"), "go": ("retire", None), "ten": ("retire", None),
+        "many": ("his", "shows on more places than one retirement names"), "long": ("his", "runs past the length of a retirement"), "none": ("stays", None),
+    }
+
+
+@pytest.mark.parametrize("carried", [False, True])
+def test_categories_are_nine(spark, carried):
+    rows = [("a", False, "same", None), ("a", False, "moved", None), ("a", True, "gone", "recited"), ("a", None, "gone", "updated"), ("a", True, "gone", "not found"), ("go", True, "gone", "removed"), ("no", True, "gone", "removed"), ("his", True, "gone", "removed"), ("a", True, "gone", "removed"), ("x", True, "gone", None), ("x", True, "gone", "other")]
+    df = spark.createDataFrame(rows, "subject string, open boolean, answer string, outcome string").withColumn("i", F.monotonically_increasing_id())
+    decisions = spark.createDataFrame([("go", "retire"), ("no", "retire"), ("his", "his"), ("a", "stays")], "subject string, decision string")
+    out = recheck.row_categories(df, decisions, spark.createDataFrame([("no",), ("no",)], "subject string"), carried)
+    assert [r["category"] for r in out.orderBy("i").collect()] == ["carried" if carried else "pass", "pass", "recited", "updated", "left", "removed", "refused", "held", "kept", None, None]
+    assert recheck.open_rows_agree(out).first().asDict() == {"open_rows": 9, "sorted": 7, "agrees": False} and recheck.open_rows_agree(out.where("subject <> 'x'")).first()["agrees"]
+
+
+def test_plans_of_deliveries(spark):
+    text = 'plan: D-2 | Set | two | written 2026-01-05\nmeasured: last poll x, rule version 3, complete\nmeasured: rule version 9\nnote\npass: partial\nread: A-1, , A-2\nread: B-1\ncarry: left out\nstatus: shown 10:03\nstatus: approved 10:04 "go "ahead""\nstatus: lost 1\nstatus: stopped\ncarried: 1\ncarried: 2'
+    files = {"a": text, "b": "plan: D-3 | x | written t\npass: full\nread: A-1\nstatus: approved 1 \"ok\"\nstatus: stopped 2", "c": "plan: D-3 | x | written t\npass: partial\nread: none", "d": "plan: D-3 | written t\npass: full", "e": "plan: D-3 | x | written t\npass: some", "f": ""}
+    plans, statuses, refusals = plan.scan_delivery_plans(as_lines(spark, **files))
+    got = {r["file"]: tuple(r)[1:] for r in plans.collect()}
+    assert got == {
+        "a": ("D-2", "Set | two", 3, "partial", ["A-1", "A-2"], "left out", "approved", 'go "ahead"', "2"), "b": ("D-3", "x", None, "full", None, None, "stopped", None, None), "c": ("D-3", "x", None, "partial", [], None, None, None, None),
+    }
+    assert sorted((r["file"], r["ord"], r["status"], r["time"], r["words"]) for r in statuses.where("file = 'a'").collect()) == [("a", 1, "shown", "10:03", None), ("a", 2, "approved", "10:04", 'go "ahead"')]
+    assert {tuple(r) for r in refusals.collect()} == {("d", "no plan line"), ("e", "pass is neither full nor partial"), ("f", "no plan line")}

@@ -151,3 +151,17 @@ def bid_totals(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     taken = F.when(F.coalesce(c("accepted"), F.lit(False)), F.when(c("direction") == "deduct", -c("alternate")).otherwise(c("alternate")))
     t = r.where("rule is null").groupBy("party").agg(F.sum("amount").alias("base"), F.coalesce(F.sum(taken), F.lit(0)).alias("accepted_alternates"))
     return t.withColumn("total", c("base") + c("accepted_alternates")), r.where("rule is not null").select("party", "row", "rule")
+
+
+def ambiguous_matches(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, n, one, other) of the keys of `left` that several rows of `right` have, with the two smallest of their names; none may pass."""
+    g = right.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(name)), 1, 2).alias("_two")).where("n > 1")
+    return g.join(left.select(key).distinct(), key, "left_semi").select(key, "n", F.get("_two", F.lit(0)).alias("one"), F.get("_two", F.lit(1)).alias("other"))
+
+
+def standing(entries: DataFrame, item: str, order: list[str], retires: Column, restores: Column) -> DataFrame:
+    """(item, state): `standing`, `retired` or `restored`, by the last entry that retires or restores it; a restore without a retirement before it changes nothing."""
+    kind = F.when(retires, "retired").when(restores, "restored")
+    e = entries.where(F.col(item).isNotNull()).select(F.col(item), F.struct(*order).alias("_o"), kind.alias("_kind"))
+    g = e.groupBy(item).agg(F.max_by("_kind", F.when(F.col("_kind").isNotNull(), F.col("_o"))).alias("_last"), F.min(F.when(F.col("_kind") == "retired", F.col("_o"))).alias("_first"))
+    return g.select(item, F.when(F.col("_first").isNull(), "standing").otherwise(F.col("_last")).alias("state"))

@@ -113,3 +113,21 @@ def capped_print(df: DataFrame, key: list[str], order: list[str], line: str, cap
 def fill_down(df: DataFrame, key: list[str], order: list[str], heading: Column) -> DataFrame:
     """The last heading at or above each row."""
     return df.withColumn("block", F.last(heading, ignorenulls=True).over(Window.partitionBy(*key).orderBy(*order)))
+
+
+def dropped_rows(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """A5: the rows that `keep_first` leaves out, each with `kept`, the order of the one that stands for it. Nulls of a key are a key."""
+    first = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.min(F.struct(*order)).alias("kept"))
+    return df.join(first, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]).where(F.struct(*order) > F.col("kept")).select(*[df[c] for c in df.columns], "kept")
+
+
+def include_exclude(df: DataFrame, column: Column, include: list[str], exclude: list[str]) -> DataFrame:
+    """Rows of any glob of `include` (none: all rows) and none of `exclude`, which wins; a null matches nothing."""
+    any_of = lambda globs: reduce(lambda a, b: a | b, [F.coalesce(column.rlike(glob(g)), F.lit(False)) for g in globs], F.lit(False))
+    return df.where((any_of(include) if include else F.lit(True)) & ~any_of(exclude))
+
+
+def pattern_matches(df: DataFrame, column: Column, patterns: list[str]) -> DataFrame:
+    """(pattern, n): how many rows each glob matches, in one pass; one that matches nothing is to be refused."""
+    counts = df.agg(*[F.count_if(F.coalesce(column.rlike(glob(p)), F.lit(False))).alias(f"_{i}") for i, p in enumerate(patterns)])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(f"_{i}").alias("n")) for i, p in enumerate(patterns)])).alias("x")).select("x.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import carry, citations, continuations, graph, placement, recheck, record, runs
 from tessera.operators import regions as regions_
+from tessera.operators import relational as R
 from tessera.operators.ordinals import numbered
 from tessera.plans.registry import query, table
 from tessera.sources import comparison, grid, plan, sinks, standard
@@ -752,3 +753,63 @@ def _(s, d):
     )
     lines = o.select(F.concat(F.lit("plan-"), "o_orderkey").alias("file"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     return plan.scan_delivery_plans(lines)[0].select("file", "delivery_id", "label", "rule_version", "pass", F.size("read").alias("n_read"), "status", "approved_words", "carried")
+
+
+# -- selections and what they leave ---------------------------------------------------------------------------------------------
+
+
+@query("a5_dropped_rows", "SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS kept FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1")
+def _(s, d):
+    keyed = table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return R.dropped_rows(keyed, ["digest"], ["doc_id"]).select("doc_id", F.col("kept.doc_id").alias("kept"))
+
+
+@query("p8_patterns", "SELECT pattern, (SELECT count(*) FROM part WHERE p_name GLOB pattern) AS n FROM (SELECT unnest(['s*', '*ring', '[!a-r]*', 'Z*', '?e*']) AS pattern)")
+def _(s, d):
+    return R.pattern_matches(table(s, d, "part"), F.col("p_name"), ["s*", "*ring", "[!a-r]*", "Z*", "?e*"])
+
+
+@query("p8_selection", "SELECT p_partkey FROM part WHERE (p_name GLOB 's*' OR p_name GLOB '*ring') AND NOT (p_name GLOB '?m*' OR p_name GLOB '*o*')")
+def _(s, d):
+    return R.include_exclude(table(s, d, "part"), F.col("p_name"), ["s*", "*ring"], ["?m*", "*o*"]).select("p_partkey")
+
+
+@query(
+    "j1_ambiguous",
+    "SELECT p_name, count(*) AS n, list_sort(list(DISTINCT p_brand))[1] AS one, list_sort(list(DISTINCT p_brand))[2] AS other FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_size > 40) GROUP BY 1 HAVING count(*) > 1",
+)
+def _(s, d):
+    p = table(s, d, "part")
+    return record.ambiguous_matches(p.where("p_size > 40"), p, "p_name", "p_brand")
+
+
+@query(
+    "r20_restored",
+    """SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') = 0 THEN 'standing' WHEN arg_max(event_type, struct_pack(t := ts, i := event_id)) FILTER (WHERE event_type IN ('error', 'signup')) = 'error' THEN 'retired' ELSE 'restored' END AS state FROM events GROUP BY 1""",
+)
+def _(s, d):
+    return record.standing(table(s, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type") == "signup")
+
+
+@query(
+    "k3_plans",
+    """WITH c AS (SELECT *, c_custkey // 40 AS f, CAST(c_custkey // 40 % 3 + 1 AS VARCHAR) AS w, row_number() OVER (PARTITION BY c_custkey // 40, c_mktsegment ORDER BY c_custkey) AS ord FROM customer WHERE c_acctbal >= 0),
+    b AS (SELECT f, w, c_mktsegment AS p, count(*) AS n, count(*) FILTER (WHERE c_acctbal > 5000) AS done FROM c GROUP BY ALL),
+    l AS (SELECT c_custkey // 40 AS f, c_custkey, row_number() OVER (PARTITION BY c_custkey // 40 ORDER BY c_custkey) AS ord, c_name FROM customer WHERE c_acctbal < 0),
+    x AS (SELECT DISTINCT f, 0 AS a, '' AS p, 0 AS o, unnest(['# Read plan: window ' || w, '', '## Window ' || w, '']) AS line, generate_subscripts([1, 2, 3, 4], 1) AS i FROM b
+        UNION ALL SELECT f, 1, p, 0, unnest(['### ' || p || '. Customers', '', 'window: ' || w, 'reads for: balances', 'units: ' || n, 'units verified: ' || done, '']), generate_subscripts([1, 2, 3, 4, 5, 6, 7], 1) FROM b
+        UNION ALL SELECT f, 1, c_mktsegment, ord, CASE WHEN w = '3' THEN ord || '. rev-' || c_custkey || ': ' || c_name ELSE 'C-' || (c_custkey + 1) || '. ' || c_name END, 1 FROM c UNION ALL SELECT f, 1, p, 1000000, '', 1 FROM b
+        UNION ALL SELECT DISTINCT f, 2, '', 0, unnest(['## Deliberately left out', '']), generate_subscripts([1, 2], 1) FROM b UNION ALL SELECT f, 3, '', ord, ord || '. ' || c_name || ': overdrawn', 1 FROM l WHERE f IN (SELECT f FROM b)
+        UNION ALL SELECT DISTINCT f, 3, '', 0, 'Nothing. This window left nothing out by pattern.', 1 FROM b WHERE f NOT IN (SELECT f FROM l)
+        UNION ALL SELECT f, 4, '', 0, unnest(['', '## Totals', '', 'units planned ' || sum(n) || ', passes ' || count(*)]), generate_subscripts([1, 2, 3, 4], 1) FROM b GROUP BY f)
+    SELECT f AS file, CAST(row_number() OVER (PARTITION BY f ORDER BY a, p, o, i) - 1 AS INT) AS line_no, line FROM x""",
+)
+def _(s, d):
+    c = F.col
+    x = table(s, d, "customer").withColumn("file", F.floor(c("c_custkey") / 40))
+    good, w = x.where("c_acctbal >= 0"), Window.partitionBy("file", "c_mktsegment").orderBy("c_custkey")
+    window = (c("file") % 3 + 1).cast("string")
+    unit = F.when(window == "3", F.concat(F.lit("rev-"), "c_custkey")).otherwise(F.concat(F.lit("C-"), (c("c_custkey") + 1).cast("string")))
+    units = good.select("file", window.alias("window"), c("c_mktsegment").alias("pass_ord"), c("c_mktsegment").alias("pass"), F.lit("Customers").alias("title"), F.lit("balances").alias("reads_for"), F.row_number().over(w).alias("ord"), unit.alias("unit"), c("c_name").alias("text"), (c("c_acctbal") > 5000).alias("verified"))
+    left = x.where("c_acctbal < 0").select("file", F.row_number().over(Window.partitionBy("file").orderBy("c_custkey")).alias("ord"), c("c_name").alias("text"), F.lit("overdrawn").alias("why"))
+    return sinks.render_plans(units, left)

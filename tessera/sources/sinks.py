@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from tessera.sources.plan import NO_TRADE
+from tessera.sources.plan import LEFT_OUT, NO_TRADE
 
 SCHEMA = "file string, line_no long, line string"
 #: Bytes copied at once where a log is appended to.
@@ -168,3 +168,24 @@ def render_summaries(units: DataFrame, trades: DataFrame, ledgers: DataFrame, no
         out = out.join(told, "file", "left")
     lines = F.concat("a", "b", "t", F.coalesce("n", none) if notes is not None else none, F.coalesce("l", none))
     return out.select("file", F.posexplode(lines).alias("line_no", "line"))
+
+
+def render_plans(units: DataFrame, left_out: DataFrame) -> DataFrame:
+    """K3: (file, line_no, line): read plans, in the format that `scan_plan` reads.
+
+    `units`: (file, window, pass_ord, pass, title, reads_for, ord, unit, text, verified); `left_out`: (file, ord, text, why). A plan has its header; a block for every
+    pass, in order, with its fields (window, what it reads for, units, units verified) and a line a unit, by its id, or in window 3 by its
+    place; then what was left out, by place, or a line for nothing; then the totals. A file without units has no plan. Null texts are empty.
+    """
+    c, s = F.col, lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    line = F.when(c("window") == "3", F.concat(s(c("ord")), F.lit(". "), "unit", F.lit(": "), s(c("text")))).otherwise(F.concat("unit", F.lit(". "), s(c("text"))))
+    blocks = units.groupBy("file", "window", "pass_ord", "pass", "title", "reads_for").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("u"), F.count_if(F.coalesce("verified", F.lit(False))).alias("done"))
+    head = F.array(F.concat(F.lit("### "), "pass", F.lit(". "), s(c("title"))), F.lit(""), F.concat(F.lit("window: "), "window"), F.concat(F.lit("reads for: "), s(c("reads_for"))), F.concat(F.lit("units: "), F.size("u").cast("string")), F.concat(F.lit("units verified: "), c("done").cast("string")), F.lit(""))
+    blocks = blocks.select("file", "window", "pass_ord", F.concat(head, F.transform("u", lambda x: x["line"]), F.array(F.lit(""))).alias("lines"), F.size("u").alias("n"))
+    plans = blocks.groupBy("file").agg(F.min("window").alias("window"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pass_ord", "lines"))), lambda x: x["lines"])).alias("blocks"), F.sum("n").alias("units"), F.count("*").alias("passes"))
+    skipped = left_out.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text", "why"))), lambda x: F.concat(x["ord"].cast("string"), F.lit(". "), F.coalesce(x["text"], F.lit("")), F.lit(": "), F.coalesce(x["why"], F.lit("")))).alias("skipped"))
+    j = plans.join(skipped, "file", "left")
+    start = F.array(F.concat(F.lit("# Read plan: window "), "window"), F.lit(""), F.concat(F.lit("## Window "), "window"), F.lit(""))
+    end = F.array(F.lit(""), F.lit("## Totals"), F.lit(""), F.concat(F.lit("units planned "), c("units").cast("string"), F.lit(", passes "), c("passes").cast("string")))
+    lines = F.concat(start, "blocks", F.array(F.lit(LEFT_OUT), F.lit("")), F.coalesce("skipped", F.array(F.lit("Nothing. This window left nothing out by pattern."))), end)
+    return j.select("file", F.posexplode(lines).alias("line_no", "line"))

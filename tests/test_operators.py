@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import graph, packing
+from tessera.operators import graph, packing, record
 from tessera.operators import relational as R
 
 
@@ -57,3 +57,23 @@ def test_scalars(spark):
 def test_partition_check_is_empty_for_a_partition(spark):
     df = spark.range(10)
     assert R.partition_check(df, [df.where("id < 4"), df.where("id >= 4")], ["id"]).isEmpty()
+
+
+def test_dropped_rows_name_what_stands_for_them(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4), (None, 5)], "k string, o int")
+    assert {(r["k"], r["o"], r["kept"]["o"]) for r in R.dropped_rows(df, ["k"], ["o"]).collect()} == {("a", 2, 1), (None, 5, 4)}
+
+
+def test_excludes_win_and_patterns_that_match_nothing_show(spark):
+    df = spark.createDataFrame([("A-1",), ("A-2",), ("B-1",), (None,)], "x string")
+    pick = lambda *a: sorted(r["x"] or "" for r in R.include_exclude(df, F.col("x"), *a).collect())
+    assert pick(["A*"], ["*2"]) == ["A-1"] and pick([], ["A*"]) == ["", "B-1"] and pick(["[!A]*"], []) == ["B-1"]
+    assert {tuple(r) for r in R.pattern_matches(df, F.col("x"), ["A*", "Z*", "?-1"]).collect()} == {("A*", 2), ("Z*", 0), ("?-1", 2)}
+
+
+def test_matches_with_both_named_and_restores(spark):
+    left, right = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "k string"), spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "z"), ("b", "q"), ("d", "1"), ("d", "2"), (None, "n"), (None, "m")], "k string, name string")
+    assert [tuple(r) for r in record.ambiguous_matches(left, right, "k", "name").collect()] == [("a", 3, "x", "y")]
+    rows = [("s", 1, "note"), ("r", 1, "retire"), ("b", 1, "retire"), ("b", 2, "restore"), ("o", 1, "restore"), ("t", 1, "retire"), ("t", 2, "restore"), ("t", 3, "retire"), ("t", 4, "note"), (None, 1, "retire")]
+    got = record.standing(spark.createDataFrame(rows, "i string, o int, w string"), "i", ["o"], F.col("w") == "retire", F.col("w") == "restore")
+    assert {tuple(r) for r in got.collect()} == {("s", "standing"), ("r", "retired"), ("b", "restored"), ("o", "standing"), ("t", "retired")}

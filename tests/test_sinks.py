@@ -65,3 +65,18 @@ def test_summaries_are_read_back(spark, tmp_path):
     summaries, read, sold, refusals = plan.scan_summaries(text)
     assert refusals.collect() == [] and {(r["file"], r["items"], r["created"]) for r in summaries.collect()} == {("s1", 13, 7), ("s2", 0, 1)}
     assert {tuple(r) for r in read.where("file = 's1'").collect()} == {("s1", "A-1", 4, True), ("s1", "A-2", 3, False), ("s1", "A-3", None, False)} and sold.count() == 3
+
+
+def test_plans_are_read_back(spark):
+    units = [("p1", "1", 2, "B1", "Other", None, 1, "B1-1", "x: y", None), ("p1", "1", 1, "A1", "Vocabulary, discipline A", "words", 2, "A1-2", "b", True), ("p1", "1", 1, "A1", "Vocabulary, discipline A", "words", 1, "A1-1", None, True), ("p3", "3", 1, "W3-1", "Package reviews", "package reviews", 1, "rev-09-1", "A, trade 09", False)]
+    df = spark.createDataFrame(units, "file string, window string, pass_ord int, pass string, title string, reads_for string, ord int, unit string, text string, verified boolean")
+    left = spark.createDataFrame([("p1", 1, "A-9", "by pattern"), ("p1", 2, "units: 9", None)], "file string, ord int, text string, why string")
+    out = sinks.render_plans(df, left)
+    assert [r["line"] for r in out.where("file = 'p3'").orderBy("line_no").collect()] == [
+        "# Read plan: window 3", "", "## Window 3", "", "### W3-1. Package reviews", "", "window: 3", "reads for: package reviews", "units: 1", "units verified: 0", "", "1. rev-09-1: A, trade 09", "",
+        "## Deliberately left out", "", "Nothing. This window left nothing out by pattern.", "", "## Totals", "", "units planned 1, passes 1",
+    ]
+    passes, read, fields, refusals = plan.scan_plan(out)
+    assert refusals.collect() == [] and sorted(tuple(r)[1:] for r in passes.collect()) == [("1", "A1", 1, 2, 2), ("1", "B1", 2, 1, 1), ("3", "W3-1", 1, 1, 1)]
+    assert sorted((r["pass"], r["ord"], r["unit"], r["text"]) for r in read.collect()) == [("A1", 1, "A1-1", ""), ("A1", 2, "A1-2", "b"), ("B1", 1, "B1-1", "x: y"), ("W3-1", 1, "rev-09-1", "A, trade 09")]
+    assert {r["value"] for r in fields.where("field = 'units verified'").collect()} == {"2", "0"}

@@ -43,7 +43,7 @@ def count_words(docs: DataFrame, least_length: int = 6, least_count: int = 5, da
 
         for batch in slices(batches):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                mark = b"null:" if i is None else b"%d:" % i
+                mark = b"null:" if i is None else f"{i}:".encode()
                 for word, n in Counter(RUN.findall(lowered(text or ""))).items():
                     if damaged:
                         h = zlib.crc32(mark + word.encode())

@@ -139,7 +139,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(xxh_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
-#: The general operator's fingerprints: so many, of so many bits, each met within so many bits. The first is a SimHash; the others are
+#: The general operator's fingerprints: so many, of so many bits, each met within so many bits. The last is a SimHash; the others are
 #: bits of the sketch, of which two texts at the similarity below differ in 5 of 48 on average, and in 7 of a SimHash's.
 PRINTS, BITS, RADIUS = 3, 48, 5
 #: Words of a shingle, and the similarity from which two texts count as near copies.
@@ -348,14 +348,14 @@ def copies(docs: DataFrame) -> DataFrame:
 
     def deal(batches):
         for batch in batches:
-            f = [np.asarray(batch.column(2 + k)) & np.int64((1 << BITS) - 1) for k in range(PRINTS)]  # the SimHash, then words of the sketch
+            f = [np.asarray(batch.column(k)) & np.int64((1 << BITS) - 1) for k in (*range(3, 2 + PRINTS), 2)]  # words of the sketch, then the SimHash
             rest = [batch.column(0), batch.column(1), *batch.columns[3:]]
             for table in range(PRINTS * len(family)):
                 yield pa.RecordBatch.from_arrays([pa.array(f[table // len(family)] << 8 | table), *rest], names=["at", "node", "label", *S_NAMES])
 
     def meet(batches):
-        """Rows of a partition, sorted by table, masked fingerprint and label: all candidates of different labels, each in the
-        first of a fingerprint's tables where it meets."""
+        """Rows of a partition, sorted by table, masked fingerprint and label: all candidates of different labels, each once, in the
+        first table of the first fingerprint where it meets (earlier fingerprints are words of the sketch, which the rows have)."""
         bits = np.array(family, dtype=np.int64)
 
         def keyed():
@@ -374,6 +374,9 @@ def copies(docs: DataFrame) -> DataFrame:
             for i, j in close(key, label, np.stack(own, 1).view(np.uint64), LOOSE):
                 apart, table = at[i] >> 8 ^ at[j] >> 8, (at[i] & 255) % len(family)
                 first = np.ones(len(i), dtype=bool)
+                for k in range(PRINTS - 1):
+                    before = own[k][i] ^ own[k][j]
+                    first &= ((at[i] & 255) // len(family) <= k) | ~np.logical_or.reduce([before & m == 0 for m in family])
                 for t, m in enumerate(family[:-1]):
                     first &= (t >= table) | (apart & m != 0)
                 i, j = i[first], j[first]

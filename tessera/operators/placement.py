@@ -45,17 +45,22 @@ def place(files: DataFrame, packages: DataFrame) -> DataFrame:
     """
     division = lambda c: F.substring(digits(c), 1, 2)
     p = packages.where("trade_code is not null").select("trade_code", F.explode("codes").alias("code")).where("code is not null").distinct().withColumn("d", division(F.col("code")))
-    homes = files.select("file", F.posexplode("homes").alias("at", "home")).where("home is not null").withColumn("d", division(F.col("home")))
     own = F.when(F.col("code") == F.col("trade_code"), 0).otherwise(1)
-    met = homes.join(p, "d").withColumn("near", nearness(F.col("code"), F.col("home")))
+    # codes meet each home and each set of numbers once, however many files have it
+    at = files.select("file", F.posexplode("homes").alias("at", "home")).where("home is not null")
+    met = at.select("home").distinct().withColumn("d", division(F.col("home"))).join(p, "d").withColumn("near", nearness(F.col("code"), F.col("home")))
     whole = F.concat("d", F.lit(" 00 00")) == F.col("code")
-    best = met.groupBy("file").agg(
-        F.min(F.when(F.col("near").isNotNull(), F.struct("at", own.alias("o"), "near", "trade_code")))["trade_code"].alias("a"), F.min(F.when(whole, F.struct("at", own.alias("o"), "trade_code")))["trade_code"].alias("b"),
+    nearest = met.groupBy("home").agg(
+        F.min(F.when(F.col("near").isNotNull(), F.struct(own.alias("o"), "near", "trade_code")))["trade_code"].alias("a"), F.min(F.when(whole, F.struct(own.alias("o"), "trade_code")))["trade_code"].alias("b"),
     )
-    numbers = files.select("file", F.explode("numbers").alias("number")).where("number is not null").distinct().withColumn("d", division(F.col("number")))
-    held = numbers.join(p, "d").where(holds(F.col("code"), F.col("number"))).groupBy("file", "trade_code").agg(F.countDistinct("number").alias("n"))
-    most = held.groupBy("file").agg(F.min(F.struct((-F.col("n")).alias("n"), "trade_code"))["trade_code"].alias("most"))
-    j = files.select("file", "otherwise").join(best, "file", "left").join(most, "file", "left")
+    best = at.join(nearest, "home").groupBy("file").agg(*[F.min(F.when(F.col(c).isNotNull(), F.struct("at", c)))[c].alias(c) for c in ("a", "b")])
+    has = files.select("file", F.explode("numbers").alias("number")).where("number is not null").groupBy("file").agg(F.sort_array(F.collect_set("number")).alias("set"))
+    sets = has.select("set").distinct()
+    numbers = sets.select("set", F.explode("set").alias("number")).withColumn("d", division(F.col("number")))
+    held = numbers.select("number", "d").distinct().join(p, "d").where(holds(F.col("code"), F.col("number"))).select("number", "trade_code").distinct()
+    counts = numbers.join(held, "number").groupBy("set", "trade_code").agg(F.count("*").alias("n"))
+    most = counts.groupBy("set").agg(F.min(F.struct((-F.col("n")).alias("n"), "trade_code"))["trade_code"].alias("most"))
+    j = files.select("file", "otherwise").join(best, "file", "left").join(has.join(most, "set").drop("set"), "file", "left")
     first = F.coalesce("a", "b")
     # a file that is named by another has no other itself: its own steps are all there are
     named = j.where("otherwise is null").select(F.col("file").alias("otherwise"), F.coalesce(first, "most").alias("c"))

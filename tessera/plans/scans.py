@@ -180,6 +180,8 @@ def _(s, d):
     # home first: the division joins, the nearest code then decides, ties to the lowest package
     items = table(s, d, "part").select("p_partkey", "p_size", (F.col("p_size") % 5).alias("k"))
     packages = table(s, d, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_nationkey") % 5).alias("k"))
+    # packages of one code are equally near to every item, so the lowest of each stands for them: a part meets codes, not packages
+    packages = packages.groupBy("s_nationkey", "k").agg(F.min("s_suppkey").alias("s_suppkey"))
     near = F.struct(F.abs(F.col("s_nationkey") * 80 - F.col("p_size") * 40), F.col("s_suppkey"))
     return items.join(F.broadcast(packages), "k").groupBy("p_partkey").agg(F.min_by("s_suppkey", near).alias("best"))
 

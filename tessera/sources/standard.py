@@ -7,11 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import held
+
 # The kinds of lines, the table's heading and its rule, and the limits of a row's name.
 KINDS = ("Pricing", "Incidental", "Convention", "Which Trade")
 HEADER, RULE = "| Kind | Line | Condition | Where to Look | Row Name |", r"^\|(-+\|){5}$"
 NAME_MOST = 36
 PAIRS = r"^\d\d( \d\d){0,2}$"
+#: Distinct lines or conditions up to which what they say is broadcast to the rows.
+BROADCAST_TEXTS = 100_000
 
 
 def _items(text: Column, mark: str) -> Column:
@@ -22,6 +26,12 @@ def _digits(code: Column) -> Column:
     return F.replace(code, F.lit(" "), F.lit(""))
 
 
+def _said(texts: DataFrame) -> DataFrame:
+    """What each distinct text says, worked out once and written; broadcast if the texts are few."""
+    texts = held(texts)
+    return F.broadcast(texts) if texts.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else texts
+
+
 def scan_standard_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, rows, refusals) of trades' files, from their lines (file, line_no, line); many at once.
 
@@ -82,38 +92,41 @@ def which_trade(rows: DataFrame, trades: Mapping[str, Sequence[str]], owners: Se
     refusals: (file, ord, rule): a list that begins with no known name, has both joiners, keeps the work off the owner, or names the owner beside
     a trade without `or`; a line without a half, or with an owner's half and not just one other; as many row names as halves there must be.
     """
-    names, held = F.array(*[F.lit(x) for x in trades]), F.array(*[F.lit(x) for x in owners])
+    names, owned = F.array(*[F.lit(x) for x in trades]), F.array(*[F.lit(x) for x in owners])
     by_name = F.create_map(*[x for k, v in trades.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))])
     none = F.array().cast("array<string>")
-    w = rows.where("kind = 'Which Trade'").select("file", "ord", "line", "condition", "names", F.split("line", r"(?=\b(?:by|with|Not)\b)").alias("parts"))
+    # lines and conditions recur: each distinct one is read once, however many rows have it
+    w = rows.where("kind = 'Which Trade'").select("file", "ord", "line", F.coalesce("condition", F.lit("")).alias("condition"), "names")
+    texts = held(w.select("line", "condition").distinct())
+    each = texts.select("line").where("line is not null").distinct().withColumn("parts", F.split("line", r"(?=\b(?:by|with|Not)\b)"))
     before = F.trim(F.get("parts", F.lit(0)))
     head = F.when(before.rlike("^.+ Install$"), F.substring(before, F.lit(1), F.length(before) - len(" Install")))
     kept_first = F.when(F.array_contains(names, head), F.element_at(by_name, head)).otherwise(none)
-    w = w.withColumn("kept_first", F.coalesce(kept_first, none))
+    each = each.withColumn("kept_first", F.coalesce(kept_first, none))
 
-    part = w.select("file", "ord", F.posexplode("parts").alias("p", "part")).where(F.col("part").rlike(r"^(by|with|Not)\b"))
+    part = each.select("line", F.posexplode("parts").alias("p", "part")).where(F.col("part").rlike(r"^(by|with|Not)\b"))
     word = F.regexp_extract("part", "^(by|with|Not)", 1)
     pieces = F.split(F.substring("part", F.length(word) + 1, F.length("part")), ",")
     read = F.transform(pieces, lambda x: F.struct(x.alias("text"), F.transform(_items(x, r"\b(?:or|and)\b"), lambda n: F.regexp_replace(n, "^(the|a|an) ", "")).alias("names")))
-    part = part.select("file", "ord", "p", word.alias("word"), read.alias("pieces"))
-    known = F.transform("pieces", lambda x: (F.size(x["names"]) > 0) & ~F.exists(x["names"], lambda n: ~(F.array_contains(names, n) | F.array_contains(held, n))))
+    part = part.select("line", "p", word.alias("word"), read.alias("pieces"))
+    known = F.transform("pieces", lambda x: (F.size(x["names"]) > 0) & ~F.exists(x["names"], lambda n: ~(F.array_contains(names, n) | F.array_contains(owned, n))))
     stop = F.array_position(known, F.lit(False)).cast("int")
     taken = F.slice("pieces", F.lit(1), F.when(stop == 0, F.size("pieces")).otherwise(stop - 1))
-    part = part.select("file", "ord", "p", "word", taken.alias("taken"))
-    part = part.select("file", "ord", "p", "word", F.flatten(F.transform("taken", lambda x: x["names"])).alias("said"), F.exists("taken", lambda x: x["text"].rlike(r"\bor\b")).alias("or_"), F.exists("taken", lambda x: x["text"].rlike(r"\band\b")).alias("and_"))
+    part = part.select("line", "p", "word", taken.alias("taken"))
+    part = part.select("line", "p", "word", F.flatten(F.transform("taken", lambda x: x["names"])).alias("said"), F.exists("taken", lambda x: x["text"].rlike(r"\bor\b")).alias("or_"), F.exists("taken", lambda x: x["text"].rlike(r"\band\b")).alias("and_"))
     own = F.flatten(F.transform(F.filter("said", lambda n: F.array_contains(names, n)), lambda n: F.element_at(by_name, n)))
-    part = part.withColumn("trades", own).withColumn("owner", F.exists("said", lambda n: F.array_contains(held, n)))
+    part = part.withColumn("trades", own).withColumn("owner", F.exists("said", lambda n: F.array_contains(owned, n)))
     shape = F.when(F.size("trades") == 0, "owner").when(F.col("or_"), "or").when(F.size("trades") > 1, "each").otherwise("one")
     part = part.withColumn("shape", shape)
     flaw = F.when(F.size("said") == 0, "names no known trade").when(F.col("or_") & F.col("and_"), "joins one list with both words").when((F.col("word") == "Not") & F.col("owner"), "keeps the work off the owner").when((F.col("word") != "Not") & F.col("owner") & F.col("shape").isin("one", "each"), "names the owner beside a trade")
     part = part.withColumn("flaw", flaw)
-    g = part.groupBy("file", "ord").agg(
+    g = part.groupBy("line").agg(
         F.min(F.when(F.col("flaw").isNotNull(), F.struct("p", "flaw")))["flaw"].alias("flaw"), F.array_sort(F.collect_list(F.when(F.col("word") != "Not", F.struct("p", "shape", "trades", "owner")))).alias("h"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("word") == "Not", F.struct("p", "trades")))), lambda x: x["trades"])).alias("off"),
     )
 
     ordered = sorted(trades, key=lambda x: (-len(x), x))
-    start = F.struct(F.coalesce("condition", F.lit("")).alias("rest"), none.alias("found"))
+    start = F.struct(F.col("condition").alias("rest"), none.alias("found"))
 
     def look(a, x):
         pattern = F.concat(F.lit(r"(?i)(?<![\w-])\Q"), x, F.lit(r"\E(?![\w-])"))
@@ -121,11 +134,13 @@ def which_trade(rows: DataFrame, trades: Mapping[str, Sequence[str]], owners: Se
         return F.struct(F.when(hit, F.regexp_replace(a["rest"], pattern, F.lit(" "))).otherwise(a["rest"]).alias("rest"), F.when(hit, F.array_union(a["found"], F.element_at(by_name, x))).otherwise(a["found"]).alias("found"))
 
     conditions = F.aggregate(F.array(*[F.lit(x) for x in ordered]), start, look, lambda a: a["found"])
-    j = w.join(g, ["file", "ord"], "left").withColumn("h", F.coalesce("h", F.array().cast(g.schema["h"].dataType))).withColumn("off", F.concat("kept_first", F.coalesce("off", none)))
+    read = each.join(g, "line", "left").select("line", "flaw", F.coalesce("h", F.array().cast(g.schema["h"].dataType)).alias("h"), F.concat("kept_first", F.coalesce("off", none)).alias("off"))
+    told = texts.select("condition").distinct().withColumn("condition_trades", conditions)
+    j = w.join(_said(read), "line", "left").join(_said(told), "condition").withColumn("h", F.coalesce("h", F.array().cast(g.schema["h"].dataType))).withColumn("off", F.coalesce("off", none))
     owner_halves = F.size(F.filter("h", lambda x: x["shape"] == "owner"))
     rule = F.coalesce("flaw", F.when(F.size("h") == 0, "names no trade").when((owner_halves > 0) & ((F.size("h") != 2) | (owner_halves != 1)), "an owner half without one other half").when(F.size("h") != F.size("names"), "as many names as halves"))
     j = j.withColumn("rule", rule)
-    good = j.where("rule is null").withColumn("named", F.array_distinct(F.concat("off", F.flatten(F.transform("h", lambda x: x["trades"]))))).withColumn("condition_trades", conditions)
+    good = j.where("rule is null").withColumn("named", F.array_distinct(F.concat("off", F.flatten(F.transform("h", lambda x: x["trades"])))))
     halves = good.select("file", "ord", "names", F.array_distinct("off").alias("kept_off"), "named", "condition_trades", F.posexplode("h").alias("half", "x"))
     halves = halves.select("file", "ord", "half", F.get("names", F.col("half")).alias("name"), "x.shape", "x.trades", "x.owner", "kept_off", "named", "condition_trades")
     return halves, j.where("rule is not null").select("file", "ord", "rule")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import placement
 from tessera.plans import project, registry, scans  # noqa: F401  they add their queries to the registry
+from tessera.sources import standard
 
 
 @pytest.fixture
@@ -77,3 +78,14 @@ def test_regions_are_no_rows_of_a_shuffle(spark, tmp_path):
     plan = registry.QUERIES["r21_answers"](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
     # pages meet stamps by shape and bin at last: nothing that comes of it is dealt out again
     assert "Window" not in plan and plan.index("SortMergeJoin") < plan.index("Aggregate")
+
+
+def test_a_condition_is_read_once(spark, monkeypatch, counted):
+    count, seen = counted
+    real = F.aggregate
+    monkeypatch.setattr(standard.F, "aggregate", lambda *a: F.when(count(F.col("condition")) >= 0, real(*a)))
+    rows = spark.range(200).select(F.lit("f").alias("file"), F.col("id").alias("ord"), F.lit("Which Trade").alias("kind"), F.lit("Set by Tile").alias("line"), F.lit("see paint").alias("condition"), F.array(F.concat(F.lit("n"), "id")).alias("names"))
+    halves, refusals = standard.which_trade(rows, {"Tile": ["t1"], "Paint": ["t2"]}, ["Owner"])
+    got = halves.groupBy("shape", "trades", "condition_trades").count().collect()
+    assert [tuple(r) for r in got] == [("one", ["t1"], ["t2"], 200)] and refusals.isEmpty()
+    assert seen.value <= 4

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import held
@@ -37,7 +37,7 @@ def current_pages(steps: DataFrame) -> DataFrame:
 
 
 def carry_forward(references: DataFrame, steps: DataFrame, there: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, balance) of `references` (ref, subject, page, box) on pages that `steps` replaces; `there`: (subject, page) that are cited.
+    """(outcomes, balance) of `references` (ref, subject, page, box) on pages that `steps` replaces, `ref` of any type that has an order; `there`: (subject, page) that are cited.
 
     outcomes: (ref, subject, page, box, to_page, outcome), one row for each reference: `left` one without a box, which names a whole sheet
     and is not carried; `not carried` where a step on the way changed, or the way is a cycle; `already there` where the subject is on the
@@ -50,11 +50,11 @@ def carry_forward(references: DataFrame, steps: DataFrame, there: DataFrame) ->
     on = references.join(ways, "page")
     known = there.where("subject is not null and page is not null").select("subject", F.col("page").alias("at"), F.lit(True).alias("_there")).distinct()
     on = on.join(known, ["subject", "at"], "left")
-    free = on.where("box is not null and end = 'current' and _there is null").groupBy("subject", "at", "box").agg(F.min("ref").alias("_first"))
-    on = on.join(free, ["subject", "at", "box"], "left")
+    # rows of one subject, current page and box end alike, so the first of them is the one that is carried
+    first = F.row_number().over(Window.partitionBy("subject", "at", "box").orderBy(F.col("ref").asc_nulls_last())) == 1
     outcome = (
         F.when(F.col("box").isNull(), "left").when(F.col("end") != "current", "not carried").when(F.col("_there").isNotNull(), "already there")
-        .when(F.col("ref").eqNullSafe(F.col("_first")), "carried").otherwise("already there")
+        .when(F.col("subject").isNotNull() & first, "carried").otherwise("already there")
     )
     out = on.select("ref", "subject", "page", "box", F.when(F.col("end") == "current", F.col("at")).alias("to_page"), outcome.alias("outcome"))
     due = references.join(ways.select("page"), "page", "left_semi").agg(F.count("box").alias("boxes"), F.count_if(F.col("box").isNull()).alias("no_box"))

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import placement
+from tessera.operators import carry, placement
 from tessera.plans import project, registry, scans  # noqa: F401  they add their queries to the registry
 from tessera.sources import standard
 
@@ -89,3 +89,12 @@ def test_a_condition_is_read_once(spark, monkeypatch, counted):
     got = halves.groupBy("shape", "trades", "condition_trades").count().collect()
     assert [tuple(r) for r in got] == [("one", ["t1"], ["t2"], 200)] and refusals.isEmpty()
     assert seen.value <= 4
+
+
+def test_references_are_told_apart_without_numbers(spark):
+    """Equal references give one that is carried, by whatever orders them; before, each equal one was."""
+    refs = spark.createDataFrame([((1, 1), "a", 1, 5)] * 3 + [((0, 2), "b", 1, 5), ((0, 1), "b", 1, 5)], "ref struct<x:int,y:int>, subject string, page int, box int")
+    out, balance = carry.carry_forward(refs, spark.createDataFrame([(1, 2, True)], "page int, next_page int, same boolean"), spark.createDataFrame([], "subject string, page int"))
+    got = sorted((r["subject"], tuple(r["ref"]), r["outcome"]) for r in out.collect())
+    assert got == [("a", (1, 1), "already there"), ("a", (1, 1), "already there"), ("a", (1, 1), "carried"), ("b", (0, 1), "carried"), ("b", (0, 2), "already there")]
+    assert balance.collect()[0]["holds"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.grid import kind_of
+from tessera.sources.shared import held, worked_out
 
 LISTS = ("referenceRows", "manualRows")
 
@@ -27,7 +28,7 @@ def scan_comparison(pages: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataF
     """
     said = runs.where("folder is not null").select("folder", F.col("delivery_id").alias("_d"), F.col("rule_version").cast("string").alias("_v"), F.lit(True).alias("_run"))
     v = F.col("v")
-    read = pages.where("folder is not null").select("folder", "file", F.try_parse_json("json").alias("v")).join(said, "folder", "left")
+    read = worked_out(pages.where("folder is not null").select("folder", "file", "json"), v=F.try_parse_json("json")).drop("json").join(said, "folder", "left")
     is_object = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
     first = (
         F.when(F.col("_run").isNull(), "no run names its delivery")
@@ -37,8 +38,7 @@ def scan_comparison(pages: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataF
         .when(~(kind_of(v, "$.complete").eqNullSafe("BOOLEAN") & F.try_variant_get(v, "$.complete", "boolean").eqNullSafe(True)), "not complete")
         .when(~F.coalesce(F.startswith(kind_of(v, "$.referenceRows"), F.lit("OBJECT")), F.lit(False)), "no referenceRows list")
     )
-    read = read.withColumn("rule", first)
-    bad_pages = read.where("rule is not null").select("folder", "file", "rule")
+    read = worked_out(read, rule=first)
 
     def listed(name: str):
         got = F.try_variant_get(v, f"$.{name}", "variant")
@@ -51,18 +51,23 @@ def scan_comparison(pages: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataF
         offset = F.when(absent, F.try_variant_get(v, "$.referenceRows.offset", "bigint")).otherwise(field("offset", "bigint")) if name == "manualRows" else field("offset", "bigint")
         return F.struct(F.lit(name).alias("list"), total.alias("total"), offset.alias("offset"), rows.alias("rows"))
 
-    lists = read.where("rule is null").select("folder", "file", F.explode(F.array(*[listed(n) for n in LISTS])).alias("l")).select("folder", "file", "l.*")
+    listed_ = F.array(*[listed(n) for n in LISTS])
+    lists = read.where("rule is null").select("folder", "file", F.explode(listed_).alias("l")).select("folder", "file", "l.*")
+    n = F.when(F.col("rows").isNotNull(), F.size("rows")).otherwise(0)
     before = Window.partitionBy("folder", "list").orderBy("file")
-    n = F.coalesce(F.size("rows"), F.lit(0))
-    held = F.coalesce(F.sum(n).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    so_far = F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # what pages state, without their rows, is written: pages are read once for all of these rules
+    facts = read.select("folder", "file", "rule", F.explode_outer(F.when(F.col("rule").isNull(), listed_)).alias("l")).select("folder", "file", "rule", "l.*")
+    facts = held(facts.select("folder", "file", "rule", "list", "total", "offset", n.alias("n"), F.col("rows").isNotNull().alias("is_list")))
+    bad_pages = facts.where("rule is not null").select("folder", "file", "rule")
     stated = F.first("total", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, 0))
-    lists = lists.withColumn("held", held).withColumn("stated", stated)
-    past = F.coalesce((F.col("offset") >= F.col("stated")) & (n == 0), F.lit(False))
+    told = facts.where("rule is null").withColumn("held", so_far).withColumn("stated", stated)
+    past = F.coalesce((F.col("offset") >= F.col("stated")) & (F.col("n") == 0), F.lit(False))
     starts = past | F.col("offset").eqNullSafe(F.col("held"))
-    rule = F.when(F.col("rows").isNull(), F.concat(F.lit("no "), F.col("list"), F.lit(" list"))).when(~F.col("total").eqNullSafe(F.col("stated")), "its total changes").when(~starts, "starts elsewhere")
-    lists = lists.withColumn("rule", rule)
-    bad_lists = lists.where("rule is not null").select("folder", "file", "rule")
-    ends = lists.groupBy("folder", "list").agg(F.sum(n).alias("n"), F.coalesce(F.max("stated"), F.lit(0)).alias("total")).where("n <> total").select("folder", F.lit(None).cast("string").alias("file"), F.lit("rows are missing").alias("rule")).distinct()
+    rule = F.when(~F.col("is_list"), F.concat(F.lit("no "), F.col("list"), F.lit(" list"))).when(~F.col("total").eqNullSafe(F.col("stated")), "its total changes").when(~starts, "starts elsewhere")
+    told = told.withColumn("rule", rule)
+    bad_lists = told.where("rule is not null").select("folder", "file", "rule")
+    ends = told.groupBy("folder", "list").agg(F.sum("n").alias("n"), F.coalesce(F.max("stated"), F.lit(0)).alias("total")).where("n <> total").select("folder", F.lit(None).cast("string").alias("file"), F.lit("rows are missing").alias("rule")).distinct()
 
     x = F.col("x")
     text = lambda p: F.when(kind_of(x, p) == "STRING", F.try_variant_get(x, p, "string"))
@@ -71,16 +76,21 @@ def scan_comparison(pages: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataF
     # keys of a variant are in one order, whatever the order they came in
     identity = F.sha2(F.to_json(F.struct(text("$.subject").alias("subject"), ids.alias("ids"), part("$.sheetNumber").alias("sheet"), part("$.old").alias("old"), part("$.box").alias("box"), F.nullif(text("$.section"), F.lit("")).alias("section"))), 256)
     on_page = kind_of(x, "$.itemOnCurrentPage")
-    rows = lists.where("rows is not null").select("folder", "file", "list", "held", F.posexplode("rows").alias("i", "x"))
     flaw = (
         F.when(~text("$.kind").eqNullSafe("scopeItem"), "a row is no scope item's")
         .when(~kind_of(x, "$.open").eqNullSafe("BOOLEAN") | text("$.subject").isNull(), "a row has no open flag or no subject")
         .when(on_page.isNotNull() & (on_page != "BOOLEAN"), "itemOnCurrentPage is no flag")
         .when((F.col("list") == "manualRows") & text("$.section").isNull(), "a manual row names no section")
     )
-    rows = rows.select("folder", "file", "list", (F.col("held") + F.col("i")).alias("ord"), text("$.subject").alias("subject"), identity.alias("identity"), F.try_variant_get(x, "$.open", "boolean").alias("open"), F.try_variant_get(x, "$.itemOnCurrentPage", "boolean").alias("on_current_page"), text("$.section").alias("section"), F.try_variant_get(x, "$.sheetNumber", "string").alias("sheet"), flaw.alias("rule"))
-    bad_rows = rows.where("rule is not null").select("folder", "file", "rule")
-    again = rows.where("rule is null").groupBy("folder", "identity").agg(F.count("*").alias("n"), F.max("file").alias("file")).where("n > 1").select("folder", "file", F.lit("a row is there twice").alias("rule"))
+    each = lists.where("rows is not null").select("folder", "file", "list", F.explode("rows").alias("x"))
+    # one pass over the rows: a flawed one counts for its page, each other one for its identity
+    each = worked_out(each, rule=flaw)
+    each = each.select("folder", "file", "rule", F.when(F.col("rule").isNull(), identity).otherwise(F.col("file")).alias("key"))
+    met = each.groupBy("folder", "rule", "key").agg(F.count("*").alias("n"), F.max("file").alias("file")).where("rule is not null or n > 1")
+    bad_rows = met.select("folder", "file", F.coalesce("rule", F.lit("a row is there twice")).alias("rule"))
+
+    rows = lists.withColumn("n", n).withColumn("held", so_far).where("rows is not null").select("folder", "file", "list", "held", F.posexplode("rows").alias("i", "x"))
+    rows = rows.select("folder", "file", "list", (F.col("held") + F.col("i")).alias("ord"), text("$.subject").alias("subject"), identity.alias("identity"), F.try_variant_get(x, "$.open", "boolean").alias("open"), F.try_variant_get(x, "$.itemOnCurrentPage", "boolean").alias("on_current_page"), text("$.section").alias("section"), F.try_variant_get(x, "$.sheetNumber", "string").alias("sheet"))
     none = said.join(pages.select("folder").distinct(), "folder", "left_anti").select("folder", F.lit(None).cast("string").alias("file"), F.lit("no page").alias("rule"))
-    refusals = bad_pages.union(bad_lists).union(ends).union(bad_rows).union(again).union(none).distinct()
-    return rows.drop("rule"), refusals
+    refusals = bad_pages.union(bad_lists).union(ends).union(bad_rows).union(none).distinct()
+    return rows, refusals

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,3 +29,9 @@ def held(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def worked_out(df: DataFrame, **made: Column) -> DataFrame:
+    """`df` and the columns `made`, each worked out once a row: later filters and steps, which would else repeat it at each use, don't pass the generator."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in made]
+    return df.select(*rest, F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))).alias("_made")).select(*rest, "_made.*")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import carry, placement
 from tessera.plans import project, registry, scans  # noqa: F401  they add their queries to the registry
-from tessera.sources import standard
+from tessera.sources import comparison, standard
 
 
 @pytest.fixture
@@ -91,6 +91,17 @@ def test_a_condition_is_read_once(spark, monkeypatch, counted):
     assert seen.value <= 4
 
 
+def test_a_page_is_read_once_for_its_rules(spark):
+    """Before: JSON was read anew at each place that used it, in each of the rules' branches."""
+    row = '{"kind":"scopeItem","open":true,"subject":"s%s","section":"a"}'
+    page = lambda k: '{"delivery":{"id":"d"},"ruleVersion":"7","complete":true,"referenceRows":{"total":80,"offset":%d,"rows":[%s,%s]}}' % (2 * k, row % k, row % (k + (k == 7)))
+    pages = spark.createDataFrame([("f", f"p{k:02}", page(k)) for k in range(40)], "folder string, file string, json string")
+    _, refusals = comparison.scan_comparison(pages, spark.createDataFrame([("f", "d", "7")], "folder string, delivery_id string, rule_version string"))
+    assert {tuple(r) for r in refusals.collect()} == {("f", f"p{k:02}", "a row is there twice") for k in range(40) if k != 7}
+    plan = refusals._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sum(plan.count(w) for w in ("parse_json", "parsejson")) == 1
+
+
 def test_references_are_told_apart_without_numbers(spark):
     """Equal references give one that is carried, by whatever orders them; before, each equal one was."""
     refs = spark.createDataFrame([((1, 1), "a", 1, 5)] * 3 + [((0, 2), "b", 1, 5), ((0, 1), "b", 1, 5)], "ref struct<x:int,y:int>, subject string, page int, box int")

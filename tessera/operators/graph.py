@@ -80,5 +80,7 @@ def waits_of_reviews(units: DataFrame) -> DataFrame:
     each = units.where("trade is not null").select("pass", "position", "trade").distinct()
     a, b = each.alias("p"), each.alias("q")
     shared = a.join(b, (F.col("p.trade") == F.col("q.trade")) & (F.col("q.position") < F.col("p.position")))
-    pick = (F.col("p.pass").alias("pass"), F.col("q.pass").alias("waits_on"))
-    return continued.select(*pick).union(shared.select(*pick)).distinct()
+    # what a pass meets in one unit or trade is one row of the shuffle; those are told apart where the pass is
+    row = lambda met, key: met.groupBy(F.col("p.pass").alias("pass"), F.col(key).alias("_met")).agg(F.collect_set("q.pass").alias("waits_on")).select("pass", "waits_on")
+    rows = row(continued, "q.unit").union(row(shared, "q.trade")).repartition("pass")
+    return rows.select("pass", F.explode("waits_on").alias("waits_on")).distinct()

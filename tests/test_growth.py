@@ -1,10 +1,12 @@
 """Steps that must not meet every pair: rows that are compared are counted."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import carry, placement
+from tessera.operators import carry, graph, placement
 from tessera.plans import project, registry, scans  # noqa: F401  they add their queries to the registry
 from tessera.sources import comparison, standard
 
@@ -109,3 +111,13 @@ def test_references_are_told_apart_without_numbers(spark):
     got = sorted((r["subject"], tuple(r["ref"]), r["outcome"]) for r in out.collect())
     assert got == [("a", (1, 1), "already there"), ("a", (1, 1), "already there"), ("a", (1, 1), "carried"), ("b", (0, 1), "carried"), ("b", (0, 2), "already there")]
     assert balance.collect()[0]["holds"]
+
+
+def test_waits_are_no_rows_of_a_shuffle(spark):
+    """Before: each pair of passes was dealt out, by itself."""
+    units = spark.range(60).selectExpr("id % 20 as pass", "id % 20 as position", "id % 3 as unit", "case when id % 2 = 0 then id % 3 end as continues", "case when id < 20 then id % 4 end as trade")
+    out = graph.waits_of_reviews(units)
+    rows = units.collect()
+    want = {(p["pass"], q["pass"]) for p in rows for q in rows if q["position"] < p["position"] and (p["continues"] is not None and p["continues"] == q["unit"] or p["trade"] is not None and p["trade"] == q["trade"])}
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert not re.search(r"hashpartitioning\(pass#\d+L?, waits_on", out._jdf.queryExecution().executedPlan().toString())

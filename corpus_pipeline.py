@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that recur across unrelated ones; n_chars is counted anew."""
-    out = line_dedup.dedup_lines(docs, report=False)
+    """All documents, without lines that recur across unrelated ones, in near copies too; n_chars is counted anew."""
+    out = line_dedup.dedup_lines(docs, report=False, copies=True)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

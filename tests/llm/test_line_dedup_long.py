@@ -34,3 +34,15 @@ def test_lines_with_fields_go_in_near_copies(spark):
     assert read(True) == {i: t for i, _, t in rows}
     # the SQL of op6 leaves them in the copies
     assert read(False) == {i: t if i < 100 else f"{x}\n{t}" for i, x, t in rows}
+
+
+def test_the_pipeline_takes_them_out_of_near_copies(spark):
+    import corpus_pipeline
+
+    line = lambda k: f"Posted by {word(97 * k)} in the forum today at noon"
+    rows = [(i, line(i), " ".join(word(100_000 + 40 * i + j) for j in range(30))) for i in range(10)]
+    body = " ".join(word(200_000 + j) for j in range(30))
+    rows += [(100 + k, line(50 + k), f"{body} {word(300_000 + k)}") for k in range(8)]
+    df = spark.createDataFrame([(i, f"{x}\n{t}", "d", 0) for i, x, t in rows], "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_lines(spark, df, "").collect()}
+    assert got == {i: (t, len(t)) for i, _, t in rows}

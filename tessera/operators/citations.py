@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ordinals import numbered
+from tessera.sources.shared import BROADCAST_ROWS, dealt, held, looked_up
 
 # The kinds of what an index leaves open.
 LEFTOVERS = (
@@ -14,8 +15,8 @@ LEFTOVERS = (
 )
 #: Words of a code by which it is looked up; a longer one is then compared whole.
 GRAM = 4
-#: Codes up to which their table is broadcast to the pages (about 20 MB); beyond, both are shuffled by the code's words.
-BROADCAST_CODES = 200_000
+#: Hits of a page by which they are dealt out.
+HITS = 4
 
 
 def words(text: Column) -> Column:
@@ -38,16 +39,14 @@ def is_word(code: Column) -> Column:
     return ~code.rlike(r"\p{N}") & ~code.rlike(r"[\p{L}\p{N}]-[\p{L}\p{N}]")
 
 
-def _bounded(small: DataFrame) -> DataFrame:
-    return F.broadcast(small) if small.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES else small
-
-
-def find_codes(pages: DataFrame, codes: DataFrame) -> DataFrame:
+def find_codes(pages: DataFrame, codes: DataFrame, rows: int | None = None) -> DataFrame:
     """(page, code), once each: the codes (code: as `code_key` gives it) that each of `pages` (page, text) prints as whole words in a row.
 
     Each page is cut into runs of as many words as some code has, which meet the codes by an equi-join; neither texts nor pages
-    meet each other. Null texts and empty codes match nothing.
+    meet each other. Runs of words that most pages print pass by the codes, unsorted. Null texts and empty codes match nothing.
+    With `rows`, about so many, what is found is dealt out by page for so many.
     """
+    apart = lambda df: (df if rows is None else dealt(df, rows, "page")).distinct()
     codes = codes.select("code").where("code <> ''").distinct()
     parts = F.split("code", " ")
     codes = codes.select("code", F.array_join(F.slice(parts, 1, GRAM), " ").alias("gram"), F.size(parts).alias("length"))
@@ -58,13 +57,17 @@ def find_codes(pages: DataFrame, codes: DataFrame) -> DataFrame:
     w = pages.where("text is not null").select("page", words(F.col("text")).alias("w"))
     runs = F.concat(*[_runs(F.col("w"), n) for n in lengths])
     grams = w.select("page", F.explode(F.array_distinct(runs)).alias("gram"))
-    met = grams.join(_bounded(codes), "gram")
+    # of longer runs, only those that begin as some code does, if codes begin with few words
+    starts = codes.where(F.size(F.split("gram", " ")) > 1).select(F.substring_index("gram", " ", 1).alias("start")).distinct()
+    if starts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        grams = grams.join(F.broadcast(starts), F.substring_index("gram", " ", 1) == F.col("start"), "left").where(F.col("start").isNotNull() | ~F.contains("gram", F.lit(" "))).select("page", "gram")
+    met = grams.join(looked_up(codes), "gram")
     if all_short:
-        return met.select("page", "code").distinct()
+        return apart(met.select("page", "code"))
     # a code of more words is compared with the page's words, read once more for the few pages where it may stand
     near = met.where(F.col("length") > GRAM).select("page", "code").distinct().join(w, "page")
     whole = near.where(F.contains(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("code"), F.lit(" "))))
-    return met.where(F.col("length") <= GRAM).select("page", "code").union(whole.select("page", "code")).distinct()
+    return apart(met.where(F.col("length") <= GRAM).select("page", "code").union(whole.select("page", "code")))
 
 
 def _runs(w: Column, n: int) -> Column:
@@ -96,12 +99,16 @@ def index_citations(pages: DataFrame, record: DataFrame, cited: DataFrame, cap:
     record = record.join(pieces, "code", "left").withColumn("aside", F.coalesce("aside", F.when(F.col("kind") == "item", F.col("piece")))).drop("piece")
     asked = record.where("aside is null").drop("aside")
     pages = pages.where("page is not null")
-    hits = find_codes(pages.select("page", "text"), asked).join(pages.select("page", flag("is_sheet").alias("is_sheet"), flag("replaced").alias("replaced"), flag("drawable").alias("drawable")), "page")
-    hits = hits.groupBy("code", "page").agg(*[F.bool_or(c).alias(c) for c in ("is_sheet", "drawable")], F.bool_and("replaced").alias("replaced"))
+    rows = HITS * pages.count()
+    flags = dealt(pages.select("page", *[flag(c).alias(c) for c in ("is_sheet", "drawable", "replaced")]), rows, "page")
+    flags = flags.groupBy("page").agg(*[F.bool_or(c).alias(c) for c in ("is_sheet", "drawable")], F.bool_and("replaced").alias("replaced"))
+    # written once, as the leftovers ask for them many times
+    hits = held(find_codes(pages.select("page", "text"), asked, rows).join(flags, "page"))
 
     standing = hits.where(~F.col("replaced"))
-    fine = standing.where("is_sheet and drawable").join(asked, "code").select("subject", "page").distinct()
-    fresh = fine.join(cited.select("subject", "page").distinct(), ["subject", "page"], "left_anti")
+    fine = dealt(standing.where("is_sheet and drawable").select("code", "page"), rows, "code").join(asked, "code").select("subject", "page")
+    fine, known = (dealt(x.select("subject", "page"), rows, "subject", "page").distinct() for x in (fine, cited))
+    fresh = fine.join(known, ["subject", "page"], "left_anti")
     blank = F.lit(None).cast("string")
     over = None
     if cap is not None:

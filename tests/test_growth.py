@@ -6,9 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import carry, graph, placement
+from tessera.operators import carry, citations, graph, placement
 from tessera.plans import project, registry, scans  # noqa: F401  they add their queries to the registry
-from tessera.sources import comparison, standard
+from tessera.sources import comparison, shared, standard
 
 
 @pytest.fixture
@@ -121,3 +121,21 @@ def test_waits_are_no_rows_of_a_shuffle(spark):
     want = {(p["pass"], q["pass"]) for p in rows for q in rows if q["position"] < p["position"] and (p["continues"] is not None and p["continues"] == q["unit"] or p["trade"] is not None and p["trade"] == q["trade"])}
     assert sorted(map(tuple, out.collect())) == sorted(want)
     assert not re.search(r"hashpartitioning\(pass#\d+L?, waits_on", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_words_of_every_page_are_not_sorted(spark, monkeypatch):
+    """Before: beyond some codes, pages' words were sorted to meet them, one that all pages print in one task."""
+    monkeypatch.setattr(citations, "BROADCAST_CODES", 0, raising=False)
+    monkeypatch.setattr(citations, "BROADCAST_ROWS", 0, raising=False)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.range(60).selectExpr("id as page", "concat('Schedule: door ', id % 7, ' b.1; pt-', id, ' of one two three four five') as text")
+        codes = spark.createDataFrame([("door 3 b.1",), ("pt-9",), ("one two three four five",), ("one two three four six",), ("door 8",)], "code string")
+        found = citations.find_codes(pages, codes)
+        got = {tuple(r) for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(i, "one two three four five") for i in range(60)} | {(i, "door 3 b.1") for i in range(3, 60, 7)} | {(9, "pt-9")}
+    assert not re.search(r"SortMergeJoin \[gram", plan)

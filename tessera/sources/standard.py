@@ -46,12 +46,15 @@ def scan_standard_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     read = lines.where("file is not null and line_no is not null").select("file", "line_no", F.coalesce("line", F.lit("")).alias("line"))
     line = F.col("line")
     first = lambda mark: F.min(F.when(F.startswith(line, F.lit(mark)), F.struct("line_no", F.trim(F.substring(line, len(mark) + 1, 100_000)).alias("x"))))["x"]
-    g = read.groupBy("file").agg(first("# ").alias("title"), first("Numbers:").alias("n"), first("Home:").alias("h"), first("Else:").alias("otherwise"))
+    is_bar = F.startswith(F.trim(line), F.lit("|"))
+    placed = read.withColumn("at", (F.count_if(is_bar).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)) - 2).cast("int"))
+    bar = lambda test: F.coalesce(F.bool_or(is_bar & test), F.lit(False))
+    # a file's lines are dealt out and sorted once, for their places and for what it says
+    g = placed.groupBy("file").agg(
+        first("# ").alias("title"), first("Numbers:").alias("n"), first("Home:").alias("h"), first("Else:").alias("otherwise"),
+        (bar((F.col("at") == -1) & (F.trim(line) == HEADER)) & bar((F.col("at") == 0) & F.trim(line).rlike(RULE))).alias("opens"), F.count_if(is_bar & (F.col("at") > 0)).alias("n_rows"),
+    )
     g = g.withColumn("numbers", _items(F.col("n"), ",")).withColumn("homes", _items(F.col("h"), ","))
-    bars = read.where(F.startswith(F.trim("line"), F.lit("|"))).select("file", "line_no", F.trim("line").alias("row"))
-    placed = bars.withColumn("at", F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 2)
-    opens = placed.groupBy("file").agg(F.coalesce(F.bool_or((F.col("at") == -1) & (F.col("row") == HEADER)) & F.bool_or((F.col("at") == 0) & F.col("row").rlike(RULE)), F.lit(False)).alias("opens"), F.count_if(F.col("at") > 0).alias("n_rows"))
-    g = g.join(opens, "file", "left")
     under = F.exists("homes", lambda h: ~F.exists("numbers", lambda n: F.startswith(_digits(h), _digits(n))))
     rule = (
         F.when(F.coalesce("title", F.lit("")) == "", "no title").when(F.col("n").isNull(), "no Numbers line").when(F.size("numbers") == 0, "no number").when(F.exists("numbers", lambda n: ~n.rlike(PAIRS)), "a number is no pairs of digits")
@@ -62,13 +65,13 @@ def scan_standard_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
 
     shut = F.endswith("row", F.lit("|")) & (F.length("row") > 1)
     cells = F.when(shut, F.transform(F.split(F.substring("row", F.lit(2), F.length("row") - 2), "[|]", -1), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
-    rows = placed.where("at > 0").select("file", F.col("at").alias("ord"), cells.alias("c"))
+    rows = placed.where(is_bar & (F.col("at") > 0)).select("file", F.col("at").alias("ord"), F.trim(line).alias("row")).select("file", "ord", cells.alias("c"))
     cell = lambda i: F.get("c", F.lit(i))
     names = F.when(cell(4) != "", F.transform(F.split(cell(4), ";", -1), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
     rows = rows.select("file", "ord", F.size("c").alias("n"), cell(0).alias("kind"), cell(1).alias("line"), cell(2).alias("condition"), cell(3).alias("look"), names.alias("names"))
-    seen = rows.select("file", "ord", F.posexplode(F.transform("names", lambda x: F.lower(x))).alias("i", "name")).withColumn("k", F.row_number().over(Window.partitionBy("file", "name").orderBy("ord", "i")))
-    again = seen.where("k > 1").select("file", "ord", F.lit(True).alias("again")).distinct()
-    rows = rows.join(again, ["file", "ord"], "left")
+    # names are told apart among a file's rows, where these are: neither is dealt out again
+    seen = rows.select("*", F.posexplode_outer(F.transform("names", lambda x: F.lower(x))).alias("i", "name")).withColumn("k", F.row_number().over(Window.partitionBy("file", "name").orderBy("ord", "i")))
+    rows = seen.groupBy(*rows.columns).agg(F.max(F.col("name").isNotNull() & (F.col("k") > 1)).alias("again"))
     flaw = (
         F.when(F.col("n") != 5, "not five cells").when(~F.col("kind").isin(*KINDS), "no such kind").when(F.col("line") == "", "no line in the row").when((F.size("names") == 0) | F.exists("names", lambda x: x == ""), "no row name")
         .when(F.exists("names", lambda x: F.length(x) > NAME_MOST), "a row name is too long").when(F.exists("names", lambda x: F.contains(x, F.lit(","))), "a row name has a comma").when(F.col("again"), "a row name is used twice")

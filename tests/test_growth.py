@@ -139,3 +139,16 @@ def test_words_of_every_page_are_not_sorted(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {(i, "one two three four five") for i in range(60)} | {(i, "door 3 b.1") for i in range(3, 60, 7)} | {(9, "pt-9")}
     assert not re.search(r"SortMergeJoin \[gram", plan)
+
+
+def test_a_files_rows_are_dealt_out_once(spark):
+    """Before: rows and the names that are used again were dealt out by row to meet."""
+    row = "| Pricing | by hand | | | %s |"
+    text = ["# T", "Numbers: 09 65", "Home: 09 65", standard.HEADER, "|---|---|---|---|---|", row % "a", row % "A", row % "", row % "b; c", row % "d"]
+    lines = spark.createDataFrame([(f"f{k}", n, x) for k in range(5) for n, x in enumerate(text[: 10 - k])], "file string, line_no long, line string").repartition(8, "file")
+    files, rows, refusals = standard.scan_standard_lines(lines)
+    flaws = {2: "a row name is used twice", 3: "no row name", 4: "not one row name"}
+    assert {tuple(r) for r in refusals.collect()} == {(f"f{k}", o, r) for k in range(5) for o, r in flaws.items() if o <= 5 - k}
+    assert {(r["file"], r["ord"]) for r in rows.collect()} == {(f"f{k}", o) for k in range(5) for o in (1, 5) if o <= 5 - k} and files.count() == 5
+    plan = refusals._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(file#\d+, ord", plan)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import carry, citations, graph, placement
+from tessera.operators import carry, citations, graph, placement, regions
 from tessera.plans import project, registry, scans  # noqa: F401  they add their queries to the registry
 from tessera.sources import comparison, shared, standard
 
@@ -82,6 +82,28 @@ def test_regions_are_no_rows_of_a_shuffle(spark, tmp_path):
     assert "Window" not in plan and plan.index("SortMergeJoin") < plan.index("Aggregate")
 
 
+def test_stamps_that_meet_the_same_spans_are_one_row(spark, monkeypatch):
+    """Before: a row, and a look at each span near, for each pair of a stamp and a page; a page given with two heights had spans twice."""
+    monkeypatch.setattr(regions, "TOGETHER", 50, raising=False)
+    monkeypatch.setattr(regions, "GROUP", 200, raising=False)
+    words = [(p, i % 7, f"w{i}", 40.0 * (i % 9), 13.0 * (i % 5), 40.0 * (i % 9) + 30, 13.0 * (i % 5) + 8) for p in range(6) for i in range(30)] + [(1, 0, "none", None, 1.0, 5.0, 5.0), (1, None, None, 10.0, 1.0, 50.0, 20.0)]
+    stamps = [(k, k % 2, 25.0 + k / 1000, 115.0 + k / 1000, 20.0) for k in range(700)] + [(900 + k, k % 2, 90.0 * k - 300, 90.0 * k - 210, 77.0 - 30 * k) for k in range(9)]
+    stamps += [(950, 0, None, 80.0, 10.0), (951, 0, 5.0, 80.0, None), (952, 1, 80.0, 5.0, 9.0), (953, 1, float("nan"), float("nan"), float("nan"))]
+    anchors = [(p, p % 2, 9.0 * p) for p in range(6)] + [(3, 1, 40.0), (7, 1, 3.0), (4, 0, None)]
+    s = spark.createDataFrame(words, "page int, ord int, text string, x0 double, y0 double, x1 double, y1 double")
+    found = regions.stamped(s, spark.createDataFrame(stamps, "stamp int, shape int, x0 double, x1 double, high double"), spark.createDataFrame(anchors, "page int, shape int, y double"))
+    rows = found.collect()
+
+    def meets(page, y, x0, x1, high):
+        whole = None not in (y, x0, x1, high) and x0 <= x1 and high >= 0
+        hit = [w for w in words if whole and w[0] == page and w[3] is not None and w[3] <= x1 and x0 <= w[5] and w[4] <= y + high and y <= w[6]]
+        return [w[1:3] for w in sorted(hit, key=lambda w: (w[1] is not None, w[1:]))]
+
+    want = sorted(repr((p, k, meets(p, y, *box))) for p, shape, y in anchors for k, of, *box in stamps if of == shape)
+    assert sorted(repr((r["page"], k, [tuple(x) for x in r["spans"]])) for r in rows for k in r["stamps"]) == want
+    assert len(rows) <= len(want) / 10 and max(len(r["stamps"]) for r in rows) <= 50
+
+
 def test_a_condition_is_read_once(spark, monkeypatch, counted):
     count, seen = counted
     real = F.aggregate

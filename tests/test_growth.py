@@ -82,6 +82,17 @@ def test_regions_are_no_rows_of_a_shuffle(spark, tmp_path):
     assert "Window" not in plan and plan.index("SortMergeJoin") < plan.index("Aggregate")
 
 
+def test_a_page_of_two_anchors_gives_each_its_spans(spark, tmp_path):
+    """Before: a supplier given with two balances near each other had the spans of both regions twice."""
+    con = save(
+        tmp_path, supplier="SELECT range % 9 AS s_suppkey, CAST(range % 2 AS INT) AS s_nationkey, range * 7.0 AS s_acctbal FROM range(20)",
+        customer="SELECT range AS c_custkey, CAST(range % 2 AS INT) AS c_nationkey, 300.0 * (range % 11) AS c_acctbal FROM range(90)",
+        lineitem="SELECT range // 3 AS l_orderkey, range % 40 AS l_partkey, range % 9 AS l_suppkey, CAST(range % 7 AS INT) AS l_linenumber, CAST(range % 20 AS DOUBLE) AS l_quantity, 100.0 * (range % 50) AS l_extendedprice FROM range(400)",
+    )
+    got = sorted(tuple(r) for r in registry.QUERIES["r21_spans"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(registry.ORACLE["r21_spans"]).fetchall())
+
+
 def test_stamps_that_meet_the_same_spans_are_one_row(spark, monkeypatch):
     """Before: a row, and a look at each span near, for each pair of a stamp and a page; a page given with two heights had spans twice."""
     monkeypatch.setattr(regions, "TOGETHER", 50, raising=False)
